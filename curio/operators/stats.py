@@ -48,14 +48,18 @@ def cluster_imbalance(df: DataFrame, keys: list[str] | None = None, cluster_col:
         F.round(F.avg("n"), 6).alias("mean_size"))
 
 
+def _by_key(arr):
+    return F.array_sort(arr, lambda l, r: F.when(l["k"] < r["k"], -1).when(l["k"] > r["k"], 1).otherwise(0))
+
+
 def sizes_json(sizes: DataFrame, outer: str, inner: str, cluster_col: str = "label_cluster",
                count_col: str = "n") -> DataFrame:
     """{outer: {inner: {cluster: count}}} as one JSON string (keys sorted)."""
-    lvl1 = sizes.groupBy(outer, inner).agg(F.map_from_entries(F.array_sort(F.collect_list(
+    lvl1 = sizes.groupBy(outer, inner).agg(F.map_from_entries(_by_key(F.collect_list(
         F.struct(F.col(cluster_col).cast("string").alias("k"), F.col(count_col).alias("v"))))).alias("m"))
-    lvl2 = lvl1.groupBy(outer).agg(F.map_from_entries(F.array_sort(F.collect_list(
+    lvl2 = lvl1.groupBy(outer).agg(F.map_from_entries(_by_key(F.collect_list(
         F.struct(F.col(inner).alias("k"), F.col("m").alias("v"))))).alias("m"))
-    return lvl2.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(
+    return lvl2.agg(F.to_json(F.map_from_entries(_by_key(F.collect_list(
         F.struct(F.col(outer).alias("k"), F.col("m").alias("v")))))).alias("json"))
 
 
