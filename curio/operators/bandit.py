@@ -132,6 +132,16 @@ def choose_arm(posterior: DataFrame, step_col: F.Column | None = None, seed: int
                                        F.max("theta").alias("theta"))
 
 
+def draw_arm(posterior_rows, seed, run_id: str, step: int) -> int:
+    """Driver-side Thompson draw over the K collected posterior rows of one run (K is the arm
+    count, a small bound). Seeded per (seed, run, step) so a restarted round draws the same."""
+    import zlib
+    rows = sorted((int(r["arm"]), float(r["alpha"]), float(r["beta"])) for r in posterior_rows)
+    rng = np.random.default_rng(zlib.crc32(f"{seed}:{run_id}:{step}".encode()))
+    theta = [rng.beta(a, b) for _, a, b in rows]
+    return rows[int(np.argmax(theta))][0]
+
+
 def carry_intervals(labeled: DataFrame, accepted: DataFrame) -> DataFrame:
     """Positive rows of each round with the step that releases them from the carry-over buffer.
 

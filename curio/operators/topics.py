@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 # --- fixed values (model defaults) ----------------------------------------------------------
 N_TOPICS = 10
-VOCAB_SIZE = 1 << 16     # vocabulary cap of the bag of words (most frequent terms)
+VOCAB_SIZE = 1 << 14     # vocabulary cap of the bag of words (most frequent terms)
 MIN_DF = 2               # a term must occur in at least 2 documents
 EMBED_DIM = 64
 MAX_FINE_TOPICS = 200    # upper bound on the fine topic count before reduction
@@ -76,7 +76,7 @@ def lda_topics(df: DataFrame, text_col: str, k: int = N_TOPICS, max_iter: int =
     return out.select(id_col, argmax_index(vector_to_array("_dist")).alias("label_cluster"))
 
 
-def embed_documents(df: DataFrame, text_col: str, dim: int = EMBED_DIM, min_count: int = 2, seed: int = 1,
+def embed_documents(df: DataFrame, text_col: str, dim: int = EMBED_DIM, min_count: int = 5, seed: int = 1,
                     id_col: str = "id", max_iter: int = 1):
     """Mean Word2Vec vector per document (re-aim of the transformer CLS embedding).
     Returns (embeddings DataFrame (id, embedding array<double>), fitted Word2VecModel)."""

@@ -1 +1,69 @@
-"""(filled in below)"""
+"""Registered queries: classifier features, training, inference, evaluation, the Thompson draw,
+one Thompson round and the full active-learning run (rows-only: trained models and draws)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import bandit as BD
+from ..operators import classify as C
+from ..sources import bind as B
+from .flagship import active_learning as _al
+from .flagship import labeled_splits
+from .registry import query
+
+
+def _fit(spark, d, weighted):
+    pool, validation = labeled_splits(spark, d)
+    return C.train_classifier(pool, "title", weighted), pool, validation
+
+
+@query("text_features")
+def text_features(spark, d):
+    pool, _ = labeled_splits(spark, d)
+    f = C.text_features(pool, "title")
+    return f.select("id", F.size(F.col("features").cast("string")).alias("_x")).drop("_x").select("id")
+
+
+@query("train_classifier")
+def train_classifier(spark, d):
+    model, _, validation = _fit(spark, d, False)
+    return C.evaluate(model, validation, "title")
+
+
+@query("train_weighted")
+def train_weighted(spark, d):
+    model, _, validation = _fit(spark, d, True)
+    return C.evaluate(model, validation, "title")
+
+
+@query("predict_pool")
+def predict_pool(spark, d):
+    """Score the whole unlabeled pool with a classifier trained on the labeled split."""
+    model, _, _ = _fit(spark, d, True)
+    return C.predict(model, B.news_pool(spark, d).select("id", "title"), "title").select(
+        "id", "predicted_label", "score")
+
+
+@query("evaluate_classifier")
+def evaluate_classifier(spark, d):
+    model, pool, validation = _fit(spark, d, True)
+    return C.evaluate(model, validation, "title").withColumn("n_train", F.lit(pool.count()))
+
+
+@query("choose_arm")
+def choose_arm(spark, d):
+    """Thompson draw per run of the derived reward log (one arm per run)."""
+    ra = BD.reward_accept(B.results_log(spark, d), B.INITIAL_BASELINE)
+    post = BD.bandit_posterior(ra.select("run_id", "step", "arm", "reward"), 10)
+    return BD.choose_arm(post, F.lit(11), seed=42)
+
+
+@query("thompson_round")
+def thompson_round(spark, d):
+    return _al(spark, d, method="lda", k=10, rounds=1, strategy="thompson", run_id="t1")
+
+
+@query("active_learning")
+def active_learning(spark, d):
+    return _al(spark, d, method="lda", k=10, rounds=10, strategy="thompson", balance=True, run_id="al")
