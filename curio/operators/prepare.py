@@ -36,17 +36,31 @@ def feature_text(df: DataFrame, dataset: str) -> DataFrame:
     return df.withColumn("topic_text", F.coalesce(F.col(col), F.lit("")))
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """Evaluate every column of ``df`` once per row before any later filter.
+
+    Catalyst pushes a filter below a projection by substituting the projected expressions,
+    so a filter on a cleaned text would re-run the cleaning regexes (then the projection runs
+    them again). A filter cannot move below a Generate that produces the columns it reads, so
+    emitting the row through a one-element ``inline`` keeps the expensive text work single.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def clean_corpus(df: DataFrame) -> DataFrame:
     """Raw news corpus -> parsed topics, cleaned article and headline, word count."""
-    return (df.withColumn("topics_list", T.parse_list_literal("topics"))
-            .withColumn("text", T.strip_wire_tag("text"))
-            .withColumn("title", T.clean_headline("title"))
-            .withColumn("n_words", T.word_count("text")))
+    body = T.strip_wire_tag("text")
+    keep = [c for c in df.columns if c not in ("text", "title")]
+    cleaned = df.select(*keep, T.parse_list_literal("topics").alias("topics_list"), body.alias("text"),
+                        T.clean_headline("title").alias("title"), T.word_count(body).alias("n_words"))
+    return computed_once(cleaned)
 
 
 def keep_long(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Drop empty text, empty title and texts under ``min_words`` words (after cleaning)."""
-    return df.filter((F.length("text") > 0) & (F.length("title") > 0) & (T.word_count("text") >= min_words))
+    """Drop empty text, empty title and texts under ``min_words`` words (after cleaning).
+    Reuses ``n_words`` when the cleaner already computed it (one regex pass, not two)."""
+    wc = F.col("n_words") if "n_words" in df.columns else T.word_count("text")
+    return df.filter((F.length("text") > 0) & (F.length("title") > 0) & (wc >= min_words))
 
 
 def drop_short_counts(df: DataFrame, keys: list[str], min_words: int = MIN_WORDS) -> DataFrame:

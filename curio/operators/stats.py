@@ -80,7 +80,7 @@ def class_ratio_flags(df: DataFrame, keys: list[str], label_col: str = "label")
 
 def corpus_stats(df: DataFrame, keys: list[str], text_col: str = "text", label_col: str = "label") -> DataFrame:
     """rows, positives, % positive, negatives, mean and exact median words."""
-    wc = word_count(text_col)
+    wc = F.col("n_words") if "n_words" in df.columns else word_count(text_col)
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(F.when(F.col(label_col) == 1, 1).otherwise(0)).alias("n_pos"),

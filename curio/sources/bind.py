@@ -31,8 +31,23 @@ INITIAL_BASELINE = 0.5
 # ---------------------------------------------------------------------------------------------
 
 
+# text-heavy tables and the key their rows are spread on
+SPREAD_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a scan on ``key`` only when it yields fewer tasks than the cluster's
+    parallelism (a file with one row group is one task). A large table already scans in many
+    splits and is left alone, so at scale this adds no shuffle; on small files it spreads the
+    per-row text work over all cores and pre-partitions joins on the key."""
+    n = df.rdd.getNumPartitions()
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par, key) if n < par else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
 
 
 def arm_of_source(c="source"):
