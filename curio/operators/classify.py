@@ -44,7 +44,8 @@ def feature_stages(feature_col: str = "title", num_features: int = NUM_FEATURES)
 def text_features(df: DataFrame, feature_col: str = "title") -> DataFrame:
     """Fit the feature stages and return (…, features)."""
     model = Pipeline(stages=feature_stages(feature_col)).fit(df.na.fill({feature_col: ""}))
-    return model.transform(df.na.fill({feature_col: ""})).drop("_tok", "_tok512", "_tf")
+    out = model.transform(df.na.fill({feature_col: ""}))
+    return out.withColumn("n_tokens", F.size("_tok512")).drop("_tok", "_tok512", "_tf")
 
 
 def train_classifier(train: DataFrame, feature_col: str = "title", weighted: bool = False,

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import labels as LB
 from ..operators import prepare as P
 from ..operators import topics as TP
-from ..session import scratch_path
+from ..session import checkpoint_dir, scratch_path
 from ..sources import bind as B
 from ..sources import io
 from .loop import LoopConfig, Store, run_loop
@@ -41,9 +43,12 @@ def active_learning(spark: SparkSession, sf_dir: str, method: str = "lda", k: in
                     sample_size: int = 200, run_id: str = "run0") -> DataFrame:
     """Cluster the pool, then run the loop with the stored-label labeler; returns per-round results."""
     root = scratch_path(spark, "al")
+    # the assignment cache is keyed by input folder, method and k, so runs over the same pool
+    # reuse one topic-model fit (as the original reuses its cache file)
+    cache_root = f"{checkpoint_dir(spark)}/cluster-cache/{hashlib.md5(sf_dir.encode()).hexdigest()[:16]}"
     pool, validation = labeled_splits(spark, sf_dir)
     labels = pool.select("id", "label")
-    cp = clustered_pool(spark, pool.drop("label"), root, method, k)
+    cp = clustered_pool(spark, pool.drop("label"), cache_root, method, k)
     n_arms = cp.select("label_cluster").distinct().count()
     cfg = LoopConfig(run_id=run_id, strategy=strategy, sample_size=sample_size, rounds=rounds,
                      balance=balance, filter_label=filter_label)
