@@ -114,12 +114,48 @@ def dead_arms(rewards: DataFrame) -> DataFrame:
                                           F.min("step").alias("first_dead_step")))
 
 
+_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+_CANDIDATES = 12      # rejection-sampling candidates per gamma draw (failure odds below 1e-15)
+
+
+def _uniforms(seed: np.ndarray, n: int) -> np.ndarray:
+    """Counter-based uniforms in (0, 1): splitmix64(seed + j * golden), shape (rows, n)."""
+    with np.errstate(over="ignore"):
+        x = seed.astype(np.uint64)[:, None] + np.arange(1, n + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        z = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z = z ^ (z >> np.uint64(31))
+    return ((z >> np.uint64(11)).astype(np.float64) + 0.5) * (1.0 / (1 << 53))
+
+
+def _gamma(shape: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Vectorised Marsaglia-Tsang gamma draws; shape < 1 boosted by U^(1/shape).
+    ``u`` holds 3 * _CANDIDATES + 1 uniforms per row."""
+    k = _CANDIDATES
+    boost = shape < 1
+    a = np.where(boost, shape + 1.0, shape)
+    d = a - 1.0 / 3.0
+    c = 1.0 / np.sqrt(9.0 * d)
+    u1, u2, u3 = u[:, :k], u[:, k:2 * k], u[:, 2 * k:3 * k]
+    z = np.sqrt(-2.0 * np.log(u1)) * np.cos(2.0 * np.pi * u2)
+    v = (1.0 + c[:, None] * z) ** 3
+    with np.errstate(invalid="ignore", divide="ignore"):
+        ok = (v > 0) & (np.log(u3) < 0.5 * z * z + d[:, None] - d[:, None] * v + d[:, None] * np.log(v))
+    first = np.argmax(ok, axis=1)
+    g = d * v[np.arange(len(a)), first]
+    return np.where(boost, g * u[:, 3 * k] ** (1.0 / shape), g)
+
+
 @F.pandas_udf(T.DoubleType())
 def _beta_draw(alpha: pd.Series, beta: pd.Series, seed: pd.Series) -> pd.Series:
-    out = np.empty(len(alpha))
-    for i, (a, b, s) in enumerate(zip(alpha.to_numpy(), beta.to_numpy(), seed.to_numpy())):
-        out[i] = np.random.default_rng(np.uint64(s & 0x7FFFFFFFFFFFFFFF)).beta(a, b)
-    return pd.Series(out)
+    """Beta(alpha, beta) = X / (X + Y) with X, Y gamma draws from the row's own seed, so a
+    draw does not depend on how rows are batched or partitioned."""
+    s = seed.to_numpy().astype(np.int64).view(np.uint64)
+    m = 3 * _CANDIDATES + 1
+    u = _uniforms(s, 2 * m)
+    x = _gamma(alpha.to_numpy(dtype=float), u[:, :m])
+    y = _gamma(beta.to_numpy(dtype=float), u[:, m:])
+    return pd.Series(x / (x + y))
 
 
 def choose_arm(posterior: DataFrame, step_col: F.Column | None = None, seed: int = 0) -> DataFrame:

@@ -74,3 +74,18 @@ def test_choose_arm_deterministic(spark):
     a = BD.choose_arm(post, F.lit(3), 1).first()["chosen_arm"]
     b = BD.choose_arm(post.repartition(3), F.lit(3), 1).first()["chosen_arm"]
     assert a == b and 0 <= a < 5
+
+
+def test_beta_draw_moments(spark):
+    from pyspark.sql import functions as F
+    n = 20000
+    df = spark.range(n).select(F.lit("r").alias("run_id"), F.col("id").cast("int").alias("arm"),
+                               F.lit(2.5).alias("alpha"), F.lit(0.7).alias("beta"))
+    h = F.xxhash64(F.lit(1), F.col("run_id"), F.lit(0), F.col("arm"))
+    v = [r[0] for r in df.select(BD._beta_draw(F.col("alpha"), F.col("beta"), h)).collect()]
+    mean = sum(v) / n
+    var = sum((x - mean) ** 2 for x in v) / (n - 1)
+    a, b = 2.5, 0.7
+    assert abs(mean - a / (a + b)) < 0.01
+    assert abs(var - a * b / ((a + b) ** 2 * (a + b + 1))) < 0.01
+    assert all(0.0 < x < 1.0 for x in v)
