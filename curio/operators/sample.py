@@ -35,10 +35,38 @@ def sample_from_arm(df: DataFrame, arm: int, n: int, seed, cluster_col: str = "l
 
 
 def _rank(df: DataFrame, partition: list[str], seed, id_col: str) -> DataFrame:
+    """Rank for a per-group limit by a literal: Spark cuts each group to the limit map-side
+    (partial WindowGroupLimit), so a hot group never travels whole."""
     w = Window.partitionBy(*partition).orderBy(draw_key(seed, id_col), F.col(id_col))
     return df.withColumn("_rn", F.row_number().over(w))
 
 
+SALT_HEX = 4   # leading hex digits of the draw key used as an order-preserving salt (65,536 buckets)
+
+
+def salted_rank(df: DataFrame, partition: list[str], seed, id_col: str, out: str = "_rn") -> DataFrame:
+    """Exact ``row_number() over (partition by ... order by draw key, id)`` without sending a
+    whole group to one task, for ranks whose cut-off depends on data.
+
+    The draw key is a uniform hex hash, so its leading digits split every group into ordered
+    buckets of even size. Rows are ranked inside (group, bucket), and each bucket adds the row
+    count of the buckets before it (a running sum over the per-bucket counts: at most 65,536 rows
+    per group). Deterministic: no sampled range bounds, no partition ids.
+    """
+    key = draw_key(seed, id_col)
+    d = df.withColumn("_k", key).withColumn("_b", F.conv(F.substring("_k", 1, SALT_HEX), 16, 10).cast("int"))
+    local = d.withColumn("_lr", F.row_number().over(
+        Window.partitionBy(*partition, "_b").orderBy("_k", F.col(id_col))))
+    counts = d.groupBy(*partition, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*partition).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(c).alias(f"_o_{c}") for c in partition], F.col("_b").alias("_o_b"),
+                            F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    cond = [local[c].eqNullSafe(offsets[f"_o_{c}"]) for c in partition] + [local["_b"] == offsets["_o_b"]]
+    j = local.join(offsets, cond, "inner")
+    return (j.withColumn(out, (F.col("_lr") + F.col("_off")).cast("int"))
+            .drop("_k", "_b", "_lr", "_off", "_o_b", *[f"_o_{c}" for c in partition]))
+
+
 def stratified_sample(df: DataFrame, per_cluster: int, seed, cluster_col: str = "label_cluster",
                       id_col: str = "id") -> DataFrame:
     """Up to ``per_cluster`` rows from every cluster."""
@@ -94,11 +122,11 @@ def balance_two_to_one(df: DataFrame, seed, group: list[str], label_col: str = "
         F.sum(F.when(F.col(label_col) == 1, 1).otherwise(0)).alias("_np"),
         F.sum(F.when(F.col(label_col) == 0, 1).otherwise(0)).alias("_nn"))
     needs = (F.col("_np") > 0) & (F.col("_nn") > 2 * F.col("_np"))
-    ranked = _rank(df, group + [label_col], seed, id_col).join(counts, group, "inner")
+    ranked = salted_rank(df, group + [label_col], seed, id_col).join(counts, group, "inner")
     keep = (~needs) | (F.col(label_col) == 1) | (F.col("_rn") <= 2 * F.col("_np"))
     return ranked.filter(keep).drop("_rn", "_np", "_nn")
 
 
 def shuffle_rank(df: DataFrame, seed, group: list[str], id_col: str = "id") -> DataFrame:
     """Position of each row in a reproducible shuffle of its group (``sample(frac=1)``)."""
-    return _rank(df, group, seed, id_col).withColumnRenamed("_rn", "shuffle_pos")
+    return salted_rank(df, group, seed, id_col, out="shuffle_pos")

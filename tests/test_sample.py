@@ -74,3 +74,14 @@ def test_stratified_on_testdata(spark):
     p = B.news_pool(spark, SF_SMALL)
     out = SM.stratified_sample(p, 5, 42)
     assert out.count() == 5 * p.select("label_cluster").distinct().count()
+
+
+def test_salted_rank_equals_row_number_on_hot_group(spark):
+    from pyspark.sql import Window
+    from curio.functions.hashing import draw_key
+    rows = [(str(i), "hot" if i % 3 else f"g{i % 7}") for i in range(3000)] + [(str(i), None) for i in range(3000, 3050)]
+    df = spark.createDataFrame(rows, "id string, g string")
+    got = {(r["id"]): r["_rn"] for r in SM.salted_rank(df, ["g"], 5, "id").collect()}
+    w = Window.partitionBy("g").orderBy(draw_key(5, "id"), "id")
+    exp = {r["id"]: r["rn"] for r in df.withColumn("rn", F.row_number().over(w)).collect()}
+    assert got == exp
