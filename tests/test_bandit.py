@@ -89,3 +89,21 @@ def test_beta_draw_moments(spark):
     assert abs(mean - a / (a + b)) < 0.01
     assert abs(var - a * b / ((a + b) ** 2 * (a + b + 1))) < 0.01
     assert all(0.0 < x < 1.0 for x in v)
+
+
+def test_reward_equal_to_baseline_is_rejected(spark):
+    res = spark.createDataFrame([("r", 1, 0, 0.5), ("r", 2, 0, 0.7), ("r", 3, 0, 0.65), ("r", 4, 0, 0.7)],
+                                "run_id string, step int, arm int, metric double")
+    out = {r["step"]: r for r in BD.reward_accept(res, 0.5).collect()}
+    assert [out[s]["accepted"] for s in range(1, 5)] == [False, True, False, False]
+    assert abs(out[4]["baseline"] - 0.7) < 1e-12          # a reject keeps the accepted baseline
+
+
+def test_bandit_edge_cases(spark):
+    empty = spark.createDataFrame([], "run_id string, step int, arm int, reward double")
+    assert BD.bandit_state(empty).count() == 0
+    one = spark.createDataFrame([("r", 1, 0, 0.0), ("r", 2, 0, 0.3)], "run_id string, step int, arm int, reward double")
+    st = BD.bandit_state(one).first()                       # reward 0 counts as a loss
+    assert abs(st["losses"] - 0.99 ** 2) < 1e-12 and abs(st["wins"] - 0.99) < 1e-12
+    post = {r["arm"]: (r["alpha"], r["beta"]) for r in BD.bandit_posterior(one, 3).collect()}
+    assert post[1] == (0.5, 0.5) and post[2] == (0.5, 0.5)

@@ -49,3 +49,18 @@ def test_class_ratio_flags(spark):
     df = spark.createDataFrame(rows, "g string, label int")
     f = {r["g"]: (r["needs_balance"], r["still_unbalanced"]) for r in ST.class_ratio_flags(df, ["g"]).collect()}
     assert f == {"a": (False, True), "b": (True, True), "c": (False, True)}
+
+
+def test_weighted_flag_edges(spark):
+    # ratio 1.99 -> balanced enough; exactly 2.0 -> still weighted; no positives -> weighted
+    rows = [("a", 1)] * 100 + [("a", 0)] * 199 + [("b", 1)] * 100 + [("b", 0)] * 200 + [("c", 0)] * 5
+    df = spark.createDataFrame(rows, "g string, label int")
+    f = {r["g"]: r["still_unbalanced"] for r in ST.class_ratio_flags(df, ["g"]).collect()}
+    assert f == {"a": False, "b": True, "c": True}
+
+
+def test_dense_arms_fills_gaps(spark):
+    from curio.operators.topics import dense_arms
+    df = spark.createDataFrame([(i, c) for i, c in enumerate([0, 2, 3, 4, 8, 8, 2])], "id int, label_cluster int")
+    got = {r["label_cluster"]: r["arm"] for r in dense_arms(df).collect()}
+    assert got == {0: 0, 2: 1, 3: 2, 4: 3, 8: 4}
