@@ -48,8 +48,16 @@ def text_features(df: DataFrame, feature_col: str = "title") -> DataFrame:
     return out.withColumn("n_tokens", F.size("_tok512")).drop("_tok", "_tok512", "_tf")
 
 
+ROWS_PER_PARTITION = 100_000   # training rows per task when the row count is known
+
+
 def train_classifier(train: DataFrame, feature_col: str = "title", weighted: bool = False,
-                     label_col: str = "label") -> PipelineModel:
+                     label_col: str = "label", n_rows: int | None = None) -> PipelineModel:
+    """Fit features + logistic regression. Every optimizer iteration aggregates a dense gradient of
+    NUM_FEATURES doubles per partition, so when the caller knows the row count the input is
+    coalesced to ceil(n_rows / ROWS_PER_PARTITION) partitions (one for a round's sample)."""
+    if n_rows is not None:
+        train = train.coalesce(max(1, -(-n_rows // ROWS_PER_PARTITION)))
     d = train.na.fill({feature_col: ""}).withColumn("_y", F.col(label_col).cast("double"))
     lr = LogisticRegression(featuresCol="features", labelCol="_y", maxIter=MAX_ITER, regParam=REG_PARAM,
                             predictionCol="_pred", probabilityCol="_prob", rawPredictionCol="_raw")

@@ -47,8 +47,16 @@ def active_learning(spark: SparkSession, sf_dir: str, method: str = "lda", k: in
     # reuse one topic-model fit (as the original reuses its cache file)
     cache_root = f"{checkpoint_dir(spark)}/cluster-cache/{hashlib.md5(sf_dir.encode()).hexdigest()[:16]}"
     pool, validation = labeled_splits(spark, sf_dir)
-    labels = pool.select("id", "label")
     cp = clustered_pool(spark, pool.drop("label"), cache_root, method, k)
+    # materialise once per run: every round reads these small tables instead of re-deriving them
+    # from the raw documents; the pool is partitioned by arm so an arm filter prunes folders
+    cp.select("id", "title", "clean_title", "label_cluster").write.mode("overwrite") \
+        .partitionBy("label_cluster").parquet(f"{root}/pool")
+    validation.select("title", "label").write.mode("overwrite").parquet(f"{root}/validation")
+    pool.select("id", "label").write.mode("overwrite").parquet(f"{root}/labels")
+    cp = spark.read.parquet(f"{root}/pool")
+    validation = spark.read.parquet(f"{root}/validation")
+    labels = spark.read.parquet(f"{root}/labels")
     n_arms = cp.select("label_cluster").distinct().count()
     cfg = LoopConfig(run_id=run_id, strategy=strategy, sample_size=sample_size, rounds=rounds,
                      balance=balance, filter_label=filter_label)

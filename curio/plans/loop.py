@@ -21,6 +21,7 @@ from ..operators import classify as C
 from ..operators import sample as SM
 from ..operators.stats import class_ratio_flags
 from ..schemas import LABELED, LEDGER, RESULTS, REWARDS
+from ..session import checkpoint_dir
 from ..sources import io
 
 Labeler = Callable[[DataFrame], DataFrame]   # sample rows -> same rows + ``label``
@@ -97,6 +98,7 @@ def random_sample(pool: DataFrame, ledger: DataFrame, n_arms: int, cfg: LoopConf
 def run_loop(spark: SparkSession, pool: DataFrame, validation: DataFrame, labeler: Labeler,
              cfg: LoopConfig, store: Store, n_arms: int) -> DataFrame:
     """Run ``cfg.rounds`` rounds; returns the run's results table (read back from the log)."""
+    checkpoint_dir(spark)
     model: PipelineModel | None = None
     baseline = cfg.baseline
     filter_on = False
@@ -115,6 +117,10 @@ def run_loop(spark: SparkSession, pool: DataFrame, validation: DataFrame, labele
             raise ValueError(f"unknown strategy {cfg.strategy!r}")
 
         key = [F.lit(cfg.run_id).alias("run_id"), F.lit(step).alias("step")]
+        if sample is not None:
+            # reliable checkpoint (spark.checkpoint.dir): the draw runs once and both the ledger
+            # and the labeled log read the same rows, also after an executor loss
+            sample = sample.checkpoint(eager=True)
         if sample is None:                                     # dead arm: penalise, next round
             _append_row(spark, store, "rewards", REWARDS, (cfg.run_id, step, arm, float(BD.DEAD_REWARD)))
             _append_row(spark, store, "results", RESULTS, (cfg.run_id, step, arm, None, None, None, None, None, 0))
@@ -143,7 +149,7 @@ def run_loop(spark: SparkSession, pool: DataFrame, validation: DataFrame, labele
             metrics = {"accuracy": None, "precision": None, "recall": None, "f1": None}
             cand = None
         else:
-            cand = C.train_classifier(train, "title", weighted)
+            cand = C.train_classifier(train, "title", weighted, n_rows=n_train)
             metrics = C.evaluate(cand, validation, "title").first().asDict()
         train.unpersist()
         metric = metrics.get(cfg.metric)
