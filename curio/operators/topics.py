@@ -14,9 +14,12 @@ import numpy as np
 from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
 from pyspark.ml.feature import CountVectorizer, PCA, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 # --- fixed values (model defaults) ----------------------------------------------------------
 N_TOPICS = 10
 VOCAB_SIZE = 1 << 14     # vocabulary cap of the bag of words (most frequent terms)
@@ -59,33 +62,42 @@ def dominant_topic(df: DataFrame, dist_col: str) -> DataFrame:
     return df.withColumn("topic", argmax_index(arr))
 
 
-def _bow_vectors(df: DataFrame, text_col: str, vocab_size: int, min_df: int):
-    tok = df.withColumn("_tokens", tokens(text_col))
-    cv = CountVectorizer(inputCol="_tokens", outputCol="_bow", vocabSize=vocab_size, minDF=min_df).fit(tok)
-    return cv, cv.transform(tok)
+def _settle(df: DataFrame, *cached: DataFrame) -> DataFrame:
+    """Materialise a model's output once with a reliable checkpoint (spark.checkpoint.dir), then
+    release the inputs that were persisted for the iterative fit."""
+    checkpoint_dir(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    for c in cached:
+        c.unpersist()
+    return out
 
 
 def lda_topics(df: DataFrame, text_col: str, k: int = N_TOPICS, max_iter: int = 10, seed: int = 1,
                vocab_size: int = VOCAB_SIZE, min_df: int = MIN_DF, id_col: str = "id") -> DataFrame:
-    """Online LDA with k topics; each document gets its dominant topic (empty document -> 0)."""
-    cv, bow = _bow_vectors(df, text_col, vocab_size, min_df)
+    """Online LDA with k topics; each document gets its dominant topic (empty document -> 0).
+
+    Tokens and term-count vectors are persisted: the vocabulary pass, every optimizer iteration
+    and the final inference read them instead of re-running the text cleaning upstream."""
+    tok = df.select(id_col, tokens(text_col).alias("_tokens")).persist(StorageLevel.MEMORY_AND_DISK)
+    cv = CountVectorizer(inputCol="_tokens", outputCol="_bow", vocabSize=vocab_size, minDF=min_df).fit(tok)
+    bow = cv.transform(tok).select(id_col, "_bow").persist(StorageLevel.MEMORY_AND_DISK)
     lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", featuresCol="_bow",
               topicDistributionCol="_dist")
     model = lda.fit(bow)
-    out = model.transform(bow)
-    return out.select(id_col, argmax_index(vector_to_array("_dist")).alias("label_cluster"))
+    out = model.transform(bow).select(id_col, argmax_index(vector_to_array("_dist")).alias("label_cluster"))
+    return _settle(out, bow, tok)
 
 
 def embed_documents(df: DataFrame, text_col: str, dim: int = EMBED_DIM, min_count: int = 5, seed: int = 1,
                     id_col: str = "id", max_iter: int = 1):
     """Mean Word2Vec vector per document (re-aim of the transformer CLS embedding).
     Returns (embeddings DataFrame (id, embedding array<double>), fitted Word2VecModel)."""
-    tok = df.select(id_col, tokens(text_col).alias("_tokens"))
+    tok = df.select(id_col, tokens(text_col).alias("_tokens")).persist(StorageLevel.MEMORY_AND_DISK)
     w2v = Word2Vec(vectorSize=dim, minCount=min_count, inputCol="_tokens", outputCol="_vec", seed=seed,
                    maxIter=max_iter, numPartitions=max(1, df.sparkSession.sparkContext.defaultParallelism))
     model = w2v.fit(tok)
     emb = model.transform(tok).select(id_col, vector_to_array("_vec").alias("embedding"))
-    return emb, model
+    return _settle(emb, tok), model
 
 
 def project_embeddings(emb: DataFrame, k: int = 2, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
@@ -99,7 +111,8 @@ def project_embeddings(emb: DataFrame, k: int = 2, id_col: str = "id", vec_col:
 def kmeans_topics(emb: DataFrame, k: int = N_TOPICS, n_init: int = 10, seed: int = 1, id_col: str = "id",
                   vec_col: str = "embedding", max_iter: int = 20) -> DataFrame:
     """KMeans with exactly k clusters; best training cost over ``n_init`` seeds."""
-    v = emb.select(id_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v")).cache()
+    v = emb.select(id_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     best = None
     for i in range(n_init):
         m = KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="_c", maxIter=max_iter).fit(v)
@@ -107,7 +120,7 @@ def kmeans_topics(emb: DataFrame, k: int = N_TOPICS, n_init: int = 10, seed: int
         if best is None or cost < best[0]:
             best = (cost, m)
     out = best[1].transform(v).select(id_col, F.col("_c").cast("int").alias("label_cluster"))
-    return out
+    return _settle(out, v)
 
 
 def centroids(df: DataFrame, group_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -146,9 +159,10 @@ def fine_topics(emb: DataFrame, k_fine: int = 2 * N_TOPICS, seed: int = 1, id_co
                 vec_col: str = "embedding") -> DataFrame:
     """Many fine topics: bisecting k-means in the embedding space, doc -> nearest centroid."""
     k_fine = min(k_fine, MAX_FINE_TOPICS)
-    v = emb.select(id_col, vec_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v"))
+    v = emb.select(id_col, vec_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     m = BisectingKMeans(k=k_fine, seed=seed, featuresCol="_v", predictionCol="_c").fit(v)
-    return m.transform(v).select(id_col, vec_col, F.col("_c").cast("int").alias("fine_topic"))
+    return _settle(m.transform(v).select(id_col, vec_col, F.col("_c").cast("int").alias("fine_topic")), v)
 
 
 def reduce_topics(assigned: DataFrame, k: int, topic_col: str = "fine_topic", vec_col: str = "embedding",
