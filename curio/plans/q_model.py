@@ -15,7 +15,8 @@ from .registry import query
 
 def _fit(spark, d, weighted):
     pool, validation = labeled_splits(spark, d)
-    return C.train_classifier(pool, "title", weighted), pool, validation
+    n = pool.count()          # one pass; lets the fit size its partitions for 20+ optimizer passes
+    return C.train_classifier(pool, "title", weighted, n_rows=n), pool, validation
 
 
 @query("text_features")

@@ -45,3 +45,19 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.count() >= 0 and "n" in df.columns
+
+
+def test_loop_random_strategy_with_classifier_filter(spark):
+    from curio.plans.flagship import active_learning
+    res = active_learning(spark, SF_SMALL, method="lda", k=3, rounds=3, sample_size=12, strategy="random",
+                          filter_label=True, balance=True, run_id="rnd").collect()
+    assert sorted(r["step"] for r in res) == [1, 2, 3]
+    assert all(r["arm"] == -1 for r in res)
+
+
+def test_loop_thompson_with_classifier_filter(spark):
+    from curio.plans.flagship import active_learning
+    res = active_learning(spark, SF_SMALL, method="lda", k=3, rounds=3, sample_size=12, strategy="thompson",
+                          filter_label=True, balance=False, run_id="tf").collect()
+    assert sorted(r["step"] for r in res) == [1, 2, 3]
+    assert all(0 <= r["arm"] < 3 for r in res)
