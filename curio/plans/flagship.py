@@ -40,9 +40,10 @@ def clustered_pool(spark: SparkSession, pool: DataFrame, store_root: str, method
 
 def active_learning(spark: SparkSession, sf_dir: str, method: str = "lda", k: int = 10, rounds: int = 10,
                     strategy: str = "thompson", balance: bool = True, filter_label: bool = False,
-                    sample_size: int = 200, run_id: str = "run0") -> DataFrame:
-    """Cluster the pool, then run the loop with the stored-label labeler; returns per-round results."""
-    root = scratch_path(spark, "al")
+                    sample_size: int = 200, run_id: str = "run0", store_root: str | None = None) -> DataFrame:
+    """Cluster the pool, then run the loop with the stored-label labeler; returns per-round results.
+    Pass the same ``store_root`` again to resume a run (or extend it to more rounds)."""
+    root = store_root or scratch_path(spark, "al")
     # the assignment cache is keyed by input folder, method and k, so runs over the same pool
     # reuse one topic-model fit (as the original reuses its cache file)
     cache_root = f"{checkpoint_dir(spark)}/cluster-cache/{hashlib.md5(sf_dir.encode()).hexdigest()[:16]}"

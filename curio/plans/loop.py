@@ -52,8 +52,16 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def log(self, spark: SparkSession, name: str, schema, run_id: str) -> DataFrame:
-        return io.read_log(spark, self.path(name), schema).filter(F.col("run_id") == run_id)
+    # rows that identify one logical record of each log (re-appends after a restart are dropped)
+    KEYS = {"ledger": ["run_id", "step", "id"], "labeled": ["run_id", "step", "id"],
+            "results": ["run_id", "step"], "rewards": ["run_id", "step"]}
+
+    def log(self, spark: SparkSession, name: str, schema, run_id: str, before: int | None = None) -> DataFrame:
+        """A run's log, optionally only steps < ``before``, one row per logical record."""
+        d = io.read_log(spark, self.path(name), schema).filter(F.col("run_id") == run_id)
+        if before is not None:
+            d = d.filter(F.col("step") < before)
+        return d.dropDuplicates(self.KEYS.get(name, d.columns))
 
 
 def posterior_for_run(spark: SparkSession, rewards: DataFrame, run_id: str, n_arms: int,
@@ -97,16 +105,21 @@ def random_sample(pool: DataFrame, ledger: DataFrame, n_arms: int, cfg: LoopConf
 
 def run_loop(spark: SparkSession, pool: DataFrame, validation: DataFrame, labeler: Labeler,
              cfg: LoopConfig, store: Store, n_arms: int) -> DataFrame:
-    """Run ``cfg.rounds`` rounds; returns the run's results table (read back from the log)."""
+    """Run rounds up to ``cfg.rounds``; returns the run's results table (read back from the log).
+
+    Resumable: rounds already complete in the logs are skipped, the baseline and the latest
+    accepted model are restored. Every round reads only earlier steps of the logs and seeds its
+    arm choice and draw by (run, step), so a round interrupted half-way re-runs identically and
+    its duplicate appends are dropped on read.
+    """
     checkpoint_dir(spark)
-    model: PipelineModel | None = None
-    baseline = cfg.baseline
-    filter_on = False
-    for i in range(cfg.rounds):
+    done, baseline, model = resume_point(spark, store, cfg)
+    filter_on = cfg.filter_label and model is not None
+    for i in range(done, cfg.rounds):
         step = i + 1
-        ledger = store.log(spark, "ledger", LEDGER, cfg.run_id).select("id")
+        ledger = store.log(spark, "ledger", LEDGER, cfg.run_id, before=step).select("id")
         if cfg.strategy == "thompson":
-            rewards = store.log(spark, "rewards", REWARDS, cfg.run_id)
+            rewards = store.log(spark, "rewards", REWARDS, cfg.run_id, before=step)
             post = posterior_for_run(spark, rewards, cfg.run_id, n_arms, cfg.decay)
             arm = BD.draw_arm(post.collect(), cfg.seed, cfg.run_id, step)
             sample = thompson_sample(pool, ledger, arm, cfg, step, model if filter_on else None)
@@ -132,8 +145,8 @@ def run_loop(spark: SparkSession, pool: DataFrame, validation: DataFrame, labele
         io.append(sample.select(*key, "id"), store.path("ledger"))
 
         # training rows: this round's labels + positives carried from rejected rounds
-        logged = store.log(spark, "labeled", LABELED, cfg.run_id)
-        results = store.log(spark, "results", RESULTS, cfg.run_id)
+        logged = store.log(spark, "labeled", LABELED, cfg.run_id, before=step + 1)
+        results = store.log(spark, "results", RESULTS, cfg.run_id, before=step)
         acc = BD.reward_accept(results, cfg.baseline).select("run_id", "step", "accepted")
         buffer = BD.positive_buffer(logged.filter(F.col("step") < step), acc)
         train = (logged.filter(F.col("step") == step)
@@ -169,6 +182,22 @@ def run_loop(spark: SparkSession, pool: DataFrame, validation: DataFrame, labele
         "run_id", "step", "arm", "metric", "baseline", "reward", "accepted", "n_train")
 
 
+def resume_point(spark: SparkSession, store: Store, cfg: LoopConfig):
+    """(last complete step, baseline in force, latest accepted model) from the run's logs."""
+    res = store.log(spark, "results", RESULTS, cfg.run_id)
+    done = res.agg(F.max("step")).first()[0] or 0
+    if cfg.strategy == "thompson":
+        done = min(done, store.log(spark, "rewards", REWARDS, cfg.run_id).agg(F.max("step")).first()[0] or 0)
+    if done == 0:
+        return 0, cfg.baseline, None
+    acc = BD.reward_accept(res.filter(F.col("step") <= done), cfg.baseline).filter("accepted")
+    last = acc.agg(F.max("step").alias("step"), F.max("metric").alias("metric")).first()
+    if last is None or last["step"] is None:
+        return done, cfg.baseline, None
+    model = PipelineModel.load(store.path(f"models/{cfg.run_id}/step={last['step']}"))
+    return done, max(cfg.baseline, float(last["metric"])), model
+
+
 def _append_row(spark: SparkSession, store: Store, name: str, schema, row: tuple) -> None:
     io.append(spark.createDataFrame([row], schema).coalesce(1), store.path(name))
 

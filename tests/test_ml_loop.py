@@ -61,3 +61,18 @@ def test_loop_thompson_with_classifier_filter(spark):
                           filter_label=True, balance=False, run_id="tf").collect()
     assert sorted(r["step"] for r in res) == [1, 2, 3]
     assert all(0 <= r["arm"] < 3 for r in res)
+
+
+def test_loop_resumes_from_logs(spark):
+    from curio.plans.flagship import active_learning
+    from curio.session import scratch_path
+    root = scratch_path(spark, "resume")
+    first = {r["step"]: r for r in active_learning(spark, SF_SMALL, method="lda", k=3, rounds=2, sample_size=15,
+                                                    run_id="res", store_root=root).collect()}
+    more = {r["step"]: r for r in active_learning(spark, SF_SMALL, method="lda", k=3, rounds=4, sample_size=15,
+                                                   run_id="res", store_root=root).collect()}
+    assert sorted(more) == [1, 2, 3, 4]
+    for s in (1, 2):
+        assert more[s]["arm"] == first[s]["arm"] and more[s]["metric"] == first[s]["metric"]
+    seen = spark.read.parquet(f"{root}/ledger").filter("run_id = 'res'")
+    assert seen.count() == seen.select("id").distinct().count()     # no id drawn twice
