@@ -73,20 +73,25 @@ def stratified_sample(df: DataFrame, per_cluster: int, seed, cluster_col: str =
     return _rank(df, [cluster_col], seed, id_col).filter(F.col("_rn") <= per_cluster).drop("_rn")
 
 
-def _posneg(df: DataFrame, quota: int, seed, group: list[str], pred_col: str, id_col: str) -> DataFrame:
-    """Per group: ``int(quota/2)`` predicted positives, negatives fill up to ``quota``."""
+def _posneg(df: DataFrame, quota: int, seed, group: list[str], pred_col: str, id_col: str,
+            require_positive: bool = False) -> DataFrame:
+    """Per group: ``int(quota/2)`` predicted positives, negatives fill up to ``quota``.
+
+    One lineage: rank per (group, class) with a literal limit (partial WindowGroupLimit before the
+    shuffle), then count the positives taken with a window over the already-limited rows (at most
+    2 x quota per group). ``require_positive`` drops groups without any predicted positive."""
+    if not group:
+        raise ValueError("a per-group limit needs a group key")
     n_pos = int(quota / 2)
     d = df.filter(F.col(pred_col).isin(0, 1))
     ranked = _rank(d, group + [pred_col], seed, id_col).filter(F.col("_rn") <= F.lit(quota))
-    # positives actually taken per group = min(n_pos, positives available); bounded by #groups
-    taken = (ranked.filter(F.col(pred_col) == 1).groupBy(*group)
-             .agg(F.least(F.count(F.lit(1)), F.lit(n_pos)).alias("_pos_taken")))
-    if not group:
-        raise ValueError("a per-group limit needs a group key")
-    j = ranked.join(F.broadcast(taken), group, "left")
-    cap = F.when(F.col(pred_col) == 1, F.lit(n_pos)).otherwise(
-        F.lit(quota) - F.coalesce(F.col("_pos_taken"), F.lit(0)))
-    return j.filter(F.col("_rn") <= cap).drop("_rn", "_pos_taken")
+    pos_in_group = F.sum(F.when(F.col(pred_col) == 1, 1).otherwise(0)).over(Window.partitionBy(*group))
+    j = ranked.withColumn("_pos_taken", F.least(pos_in_group, F.lit(n_pos)))
+    cap = F.when(F.col(pred_col) == 1, F.lit(n_pos)).otherwise(F.lit(quota) - F.col("_pos_taken"))
+    keep = F.col("_rn") <= cap
+    if require_positive:
+        keep = keep & (F.col("_pos_taken") > 0)
+    return j.filter(keep).drop("_rn", "_pos_taken")
 
 
 def stratified_posneg_sample(df: DataFrame, per_cluster: int, seed, cluster_col: str = "label_cluster",
@@ -100,9 +105,7 @@ def arm_posneg_sample(df: DataFrame, arm: int, n: int, seed, cluster_col: str =
     """Thompson strategy with the classifier filter, one arm. Empty when the arm has no
     predicted positive (the caller treats that as a dead arm)."""
     one = df.filter(F.col(cluster_col) == F.lit(arm))
-    out = _posneg(one, n, seed, [cluster_col], pred_col, id_col)
-    has_pos = one.filter(F.col(pred_col) == 1).select(cluster_col).limit(1)
-    return out.join(has_pos, cluster_col, "left_semi")
+    return _posneg(one, n, seed, [cluster_col], pred_col, id_col, require_positive=True)
 
 
 def positive_stratified_sample(df: DataFrame, sample_size: int, n_arms: int, seed,

@@ -30,9 +30,12 @@ MAX_FINE_TOPICS = 200    # upper bound on the fine topic count before reduction
 
 
 def tokens(c) -> Column:
-    """Whitespace tokens of an already-cleaned text, empties dropped."""
+    """Tokens of an already-cleaned text (``functions.text.clean_text``: only [a-z0-9] and single
+    spaces), empties dropped. After a trim the words are separated by exactly one space, so a plain
+    split is exact and stays in generated code (no per-element lambda)."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.filter(F.split(F.coalesce(col, F.lit("")), " "), lambda x: x != "")
+    t = F.trim(F.coalesce(col, F.lit("")))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
 def tokenize(df: DataFrame, text_col: str, id_col: str = "id") -> DataFrame:
@@ -215,7 +218,11 @@ def ctfidf_terms(df: DataFrame, text_col: str, cluster_col: str = "label_cluster
     """Class-based TF-IDF per cluster: (tf_tc / N_c) * ln(1 + A / f_t), A = mean tokens per class,
     f_t = frequency of the term over all classes. Top n terms per cluster."""
     tok = df.select(cluster_col, F.explode(tokens(text_col)).alias("token"))
-    tf = tok.groupBy(cluster_col, "token").agg(F.count(F.lit(1)).alias("tf"))
+    # term counts feed three branches (join, per-class and per-term totals) whose inferred filters
+    # differ, so Spark would not reuse the exchange and would clean and tokenise the corpus three
+    # times: materialise them once (rows <= clusters x vocabulary) in the shared checkpoint folder
+    checkpoint_dir(df.sparkSession)
+    tf = tok.groupBy(cluster_col, "token").agg(F.count(F.lit(1)).alias("tf")).checkpoint(eager=True)
     # one row per cluster (bounded by k): the corpus-wide mean is a window over those k rows
     all_c = Window.partitionBy()
     per_class = (tf.groupBy(cluster_col).agg(F.sum("tf").alias("n_c"))
