@@ -3,8 +3,8 @@
 Every draw orders by the hash key of ``functions.hashing`` (reproducible, partition-independent).
 Per-group limits are written as ``row_number() <= literal`` so Spark plans a partial
 ``WindowGroupLimit`` before the shuffle: a cluster that holds a third of the pool sends only
-``quota`` rows per map task, never the whole group. Per-group caps that depend on data come from
-a per-cluster count table whose size is bounded by the number of clusters (``k``).
+``quota`` rows per map task, never the whole group. Cut-offs that depend on data use either a
+window over the already-limited rows or the salted exact rank (``salted_rank``).
 """
 
 from __future__ import annotations

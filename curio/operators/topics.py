@@ -133,6 +133,14 @@ def centroids(df: DataFrame, group_col: str, vec_col: str, dim: int) -> DataFram
                                      F.count(F.lit(1)).alias("size"))
 
 
+def _collect_centroids(cents: DataFrame, group_col: str) -> list[tuple[int, list[float]]]:
+    """The centroid table, checked against MAX_FINE_TOPICS before it reaches the driver."""
+    rows = cents.limit(MAX_FINE_TOPICS + 1).collect()
+    if len(rows) > MAX_FINE_TOPICS:
+        raise ValueError(f"more than {MAX_FINE_TOPICS} centroids; refusing to inline them")
+    return sorted((int(r[group_col]), list(r["centroid"])) for r in rows)
+
+
 def _cosine_to_literals(vec: Column, cents: list[tuple[int, list[float]]]) -> Column:
     """array<struct<topic, score>> of cosine similarities between ``vec`` and literal centroids."""
     def unit(c):
@@ -152,7 +160,7 @@ def _cosine_to_literals(vec: Column, cents: list[tuple[int, list[float]]]) -> Co
 def nearest_centroid(df: DataFrame, cents: DataFrame, group_col: str, vec_col: str, id_col: str) -> DataFrame:
     """Assign every row to the most cosine-similar centroid (ties -> lowest topic id).
     The centroid table is bounded by the topic count, so it is collected and inlined."""
-    rows = sorted((int(r[group_col]), list(r["centroid"])) for r in cents.collect())
+    rows = _collect_centroids(cents, group_col)
     scores = _cosine_to_literals(F.col(vec_col), rows)
     best = F.array_max(F.transform(scores, lambda s: F.struct(s["score"].alias("score"), (-s["topic"]).alias("neg"))))
     return df.select(id_col, (-best["neg"]).cast("int").alias("topic"), best["score"].alias("similarity"))
@@ -178,7 +186,7 @@ def reduce_topics(assigned: DataFrame, k: int, topic_col: str = "fine_topic", ve
     """
     if dim is None:
         dim = len(assigned.select(vec_col).first()[0])
-    cents = centroids(assigned, topic_col, vec_col, dim).collect()
+    cents = centroids(assigned, topic_col, vec_col, dim).limit(MAX_FINE_TOPICS + 1).collect()
     if len(cents) > MAX_FINE_TOPICS:
         raise ValueError(f"more than {MAX_FINE_TOPICS} fine topics")
     topics = {int(r[topic_col]): (np.array(r["centroid"], dtype=float), int(r["size"])) for r in cents}
@@ -206,7 +214,7 @@ def reduce_topics(assigned: DataFrame, k: int, topic_col: str = "fine_topic", ve
 
 def topic_words_by_vector(w2v_model, cents: DataFrame, group_col: str = "label_cluster", n: int = 10) -> DataFrame:
     """Words nearest (cosine) to each topic centroid, top n per topic, from the word-vector table."""
-    rows = sorted((int(r[group_col]), list(r["centroid"])) for r in cents.collect())
+    rows = _collect_centroids(cents, group_col)
     words = w2v_model.getVectors().select("word", vector_to_array("vector").alias("_v"))
     scored = words.select("word", F.explode(_cosine_to_literals(F.col("_v"), rows)).alias("s"))
     scored = scored.select(F.col("s.topic").alias(group_col), "word", F.col("s.score").alias("score"))
@@ -228,7 +236,8 @@ def ctfidf_terms(df: DataFrame, text_col: str, cluster_col: str = "label_cluster
     per_class = (tf.groupBy(cluster_col).agg(F.sum("tf").alias("n_c"))
                  .withColumn("A", F.sum("n_c").over(all_c) / F.count(F.lit(1)).over(all_c)))
     per_term = tf.groupBy("token").agg(F.sum("tf").alias("f_t"))
-    j = tf.join(F.broadcast(per_class), cluster_col).join(per_term, "token")
+    # per_class has one row per cluster; AQE broadcasts it from its measured size at run time
+    j = tf.join(per_class, cluster_col).join(per_term, "token")
     scored = j.withColumn("score", (F.col("tf") / F.col("n_c")) * F.log(1 + F.col("A") / F.col("f_t")))
     w = Window.partitionBy(cluster_col).orderBy(F.col("score").desc(), F.col("token"))
     return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
@@ -237,10 +246,11 @@ def ctfidf_terms(df: DataFrame, text_col: str, cluster_col: str = "label_cluster
 
 def dense_arms(assign: DataFrame, cluster_col: str = "label_cluster", out_col: str = "arm") -> DataFrame:
     """Re-index cluster ids to 0..n-1 in ascending order, so every arm id is reachable.
-    The distinct-id table is bounded by the topic count; it is broadcast back."""
+    The distinct-id table has one row per cluster; AQE turns the join back into a broadcast from the
+    table's measured size (a shuffle join beyond the threshold)."""
     ids = assign.select(cluster_col).distinct()
     ids = ids.withColumn(out_col, (F.dense_rank().over(Window.orderBy(cluster_col)) - 1).cast("int"))
-    return assign.join(F.broadcast(ids), cluster_col)
+    return assign.join(ids, cluster_col)
 
 
 def cluster(df: DataFrame, method: str, k: int = N_TOPICS, text_col: str = "topic_text", id_col: str = "id",
