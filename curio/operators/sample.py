@@ -44,23 +44,26 @@ def _rank(df: DataFrame, partition: list[str], seed, id_col: str) -> DataFrame:
 SALT_HEX = 4   # leading hex digits of the draw key used as an order-preserving salt (65,536 buckets)
 
 
-def salted_rank(df: DataFrame, partition: list[str], seed, id_col: str, out: str = "_rn") -> DataFrame:
+def salted_rank(df: DataFrame, partition: list[str], seed, id_col: str, out: str = "_rn",
+                extra=None) -> DataFrame:
     """Exact ``row_number() over (partition by ... order by draw key, id)`` without sending a
     whole group to one task, for ranks whose cut-off depends on data.
 
     The draw key is a uniform hex hash, so its leading digits split every group into ordered
     buckets of even size. Rows are ranked inside (group, bucket), and each bucket adds the row
     count of the buckets before it (a running sum over the per-bucket counts: at most 65,536 rows
-    per group). Deterministic: no sampled range bounds, no partition ids.
+    per group). Deterministic: no sampled range bounds, no partition ids. ``extra`` maps the
+    per-bucket count table to more columns (windows over it) that are joined to every row.
     """
-    key = draw_key(seed, id_col)
-    d = df.withColumn("_k", key).withColumn("_b", F.conv(F.substring("_k", 1, SALT_HEX), 16, 10).cast("int"))
+    d = df.withColumn("_k", draw_key(seed, id_col)).withColumn(
+        "_b", F.conv(F.substring("_k", 1, SALT_HEX), 16, 10).cast("int"))
     local = d.withColumn("_lr", F.row_number().over(
         Window.partitionBy(*partition, "_b").orderBy("_k", F.col(id_col))))
     counts = d.groupBy(*partition, "_b").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*partition).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    more = extra(counts) if extra else []
     offsets = counts.select(*[F.col(c).alias(f"_o_{c}") for c in partition], F.col("_b").alias("_o_b"),
-                            F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+                            F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"), *more)
     cond = [local[c].eqNullSafe(offsets[f"_o_{c}"]) for c in partition] + [local["_b"] == offsets["_o_b"]]
     j = local.join(offsets, cond, "inner")
     return (j.withColumn(out, (F.col("_lr") + F.col("_off")).cast("int"))
@@ -120,12 +123,15 @@ def positive_stratified_sample(df: DataFrame, sample_size: int, n_arms: int, see
 def balance_two_to_one(df: DataFrame, seed, group: list[str], label_col: str = "label",
                        id_col: str = "id") -> DataFrame:
     """Within each group, when negatives / positives > 2 keep every positive and 2 x positives
-    negatives; otherwise leave the group untouched."""
-    counts = df.groupBy(*group).agg(
-        F.sum(F.when(F.col(label_col) == 1, 1).otherwise(0)).alias("_np"),
-        F.sum(F.when(F.col(label_col) == 0, 1).otherwise(0)).alias("_nn"))
+    negatives; otherwise leave the group untouched. The class totals per group come from the
+    salted rank's per-bucket counts, so the input is read twice (count pass, rank pass)."""
+    g = Window.partitionBy(*group)
+
+    def totals(counts):
+        return [F.sum(F.when(F.col(label_col) == 1, F.col("_c")).otherwise(0)).over(g).alias("_np"),
+                F.sum(F.when(F.col(label_col) == 0, F.col("_c")).otherwise(0)).over(g).alias("_nn")]
+    ranked = salted_rank(df, group + [label_col], seed, id_col, extra=totals)
     needs = (F.col("_np") > 0) & (F.col("_nn") > 2 * F.col("_np"))
-    ranked = salted_rank(df, group + [label_col], seed, id_col).join(counts, group, "inner")
     keep = (~needs) | (F.col(label_col) == 1) | (F.col("_rn") <= 2 * F.col("_np"))
     return ranked.filter(keep).drop("_rn", "_np", "_nn")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,14 @@ from pyspark.sql import types as T
 from ..schemas import NEWS_POOL, ADS_POOL, VALIDATION
 
 
+# a table that was never written (or whose only write did not commit) reads as absent
+_ABSENT = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
+
+
+def _absent(e: AnalysisException) -> bool:
+    return (e.getCondition() or "") in _ABSENT
+
+
 def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select the declared columns in order, cast, and fill absent optional ones with NULL."""
     have = set(df.columns)
@@ -78,8 +87,9 @@ def cluster_cache(spark: SparkSession, root: str, dataset: str, method: str, k:
     path = f"{root}/clusters/dataset={dataset}/method={method}/k={k}"
     try:
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - absent cache: compute and store
-        pass
+    except AnalysisException as e:
+        if not _absent(e):
+            raise
     compute().write.mode("overwrite").partitionBy("label_cluster").parquet(path)
     return spark.read.parquet(path)
 
@@ -95,5 +105,7 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read an append-only log; an absent log is an empty table of the declared schema."""
     try:
         return _conform(spark.read.parquet(path), schema)
-    except Exception:  # noqa: BLE001 - nothing appended yet
+    except AnalysisException as e:
+        if not _absent(e):
+            raise
         return spark.createDataFrame([], schema)
