@@ -39,7 +39,7 @@ def run_grid(spark: SparkSession, sf_dir: str, configs: list[dict], rounds: int
 def summarize(results: DataFrame, baseline: float = 0.5) -> DataFrame:
     keys = ["method", "balance", "filter_label"]
     per_run = results.groupBy("run_id", *keys).agg(
-        F.greatest(F.lit(baseline), F.coalesce(F.max(F.when("accepted", F.col("metric"))), F.lit(baseline)))
+        F.greatest(F.lit(baseline), F.coalesce(F.max(F.when(F.col("accepted"), F.col("metric"))), F.lit(baseline)))
         .alias("final_metric"))
     return per_run.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_runs"),
                                       F.avg("final_metric").alias("mean_metric"),
