@@ -12,6 +12,7 @@ from typing import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from ..functions import text as T
 
@@ -77,12 +78,14 @@ def needs_label(sample: DataFrame, stored: DataFrame, id_col: str = "id") -> Dat
     return sample.join(stored.select(id_col), id_col, "left_anti")
 
 
-def keyword_labeler(keywords: list[str], positive: str, negative: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """A stand-in labeler for offline runs: answers ``positive`` when any keyword occurs."""
+def keyword_labeler(keywords: list[str], positive: str, negative: str,
+                    column: str = "training_text") -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A stand-in labeler for offline runs: answers ``positive`` when any keyword occurs in the
+    item's text (``column``; the prompt itself also holds the template's words)."""
     kws = [k.lower() for k in keywords]
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = pdf["text"].fillna("").str.lower()
+        low = pdf[column].fillna("").str.lower()
         hit = pd.Series(False, index=pdf.index)
         for k in kws:
             hit |= low.str.contains(k, regex=False)
@@ -92,7 +95,8 @@ def keyword_labeler(keywords: list[str], positive: str, negative: str) -> Callab
 
 def apply_labeler(prompts: DataFrame, labeler: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """Run a user labeler on Arrow batches; output = input columns + ``answer``."""
-    schema = prompts.schema.add("answer", "string")
+    # a new StructType: ``DataFrame.schema`` is cached and ``StructType.add`` mutates in place
+    schema = ST.StructType(list(prompts.schema.fields) + [ST.StructField("answer", ST.StringType(), True)])
 
     def run(batches):
         for pdf in batches:

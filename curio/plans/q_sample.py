@@ -159,3 +159,22 @@ def minimum_slice(spark, d):
     fresh = SM.exclude_seen(pool, _seen_r0(spark, d))
     s = SM.stratified_sample(fresh, PER_CLUSTER, SEED)
     return label_counts(LB.label_from_table(s, _stored_labels(spark, d)), ["label_cluster"])
+
+
+# fixed stand-in vocabulary of the keyword labeler (words that occur in the generated titles)
+KEYWORDS = ["attion", "eriner"]
+_KW_SQL = " OR ".join(f"contains(training_text, '{k}')" for k in KEYWORDS)
+
+
+@query("label_keyword", f"""SELECT id, answer,
+  CAST((contains(lower(answer), 'relevant') AND NOT contains(lower(answer), 'not relevant')) AS INTEGER) AS label
+FROM (SELECT s.id, CASE WHEN {_KW_SQL} THEN 'relevant' ELSE 'not relevant' END AS answer
+      FROM ({STRATIFIED_SQL}) s JOIN (SELECT id, {S.clean_text('title')} AS training_text FROM ({S.NEWS_POOL})) p
+      ON s.id = p.id)""")
+def label_keyword(spark, d):
+    """Sample -> prompts -> a user labeler run through mapInPandas -> news label rule."""
+    pool = P.preprocess_pool(B.news_pool(spark, d)).select("id", "title", "clean_title", "label_cluster")
+    s = SM.stratified_sample(SM.exclude_seen(pool, _seen_r0(spark, d)), PER_CLUSTER, SEED)
+    prompts = LB.build_prompts(s, "hf", "news", "clean_title")
+    answered = LB.apply_labeler(prompts, LB.keyword_labeler(KEYWORDS, "relevant", "not relevant"))
+    return LB.label_from_answer(answered, "news").select("id", "answer", "label")
