@@ -42,17 +42,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this must be set (a shared filesystem or object store); a machine-local temp
     folder would be lost with the executor. Only a local-mode session (tests) gets its own folder.
     """
-    d = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server's setting is authoritative
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        return d.rstrip("/")
+    d = sc.getCheckpointDir()
     if d:
         return d.rstrip("/")
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        master = spark.sparkContext.master
+        master = sc.master
         if not master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="curio-ckpt-", dir=os.environ.get("CURIO_TMP", "/tmp"))
-    spark.sparkContext.setCheckpointDir(d)
-    got = spark.sparkContext.getCheckpointDir()
+    sc.setCheckpointDir(d)
+    got = sc.getCheckpointDir()
     return (got or d).rstrip("/")
 
 

@@ -40,8 +40,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     parallelism (a file with one row group is one task). A large table already scans in many
     splits and is left alone, so at scale this adds no shuffle; on small files it spreads the
     per-row text work over all cores and pre-partitions joins on the key."""
-    n = df.rdd.getNumPartitions()
-    par = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        n = df.rdd.getNumPartitions()
+        par = df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no RDD/SparkContext access (e.g. a Spark Connect session)
+        return df
     return df.repartition(par, key) if n < par else df
 
 
