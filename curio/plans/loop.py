@@ -154,10 +154,11 @@ def run_loop(spark: SparkSession, pool: DataFrame, validation: DataFrame, labele
                  .dropDuplicates(["id"]))
         if cfg.balance:
             train = SM.balance_two_to_one(train, f"{cfg.seed}:{cfg.run_id}:{step}:b", ["run_id"])
+        train = train.cache()
+        # one job fills the cache and gives both the class counts and the row count (labels are 0/1)
         flags = class_ratio_flags(train, ["run_id"]).first()
         weighted = bool(flags["still_unbalanced"]) if flags else True
-        train = train.cache()
-        n_train = train.count()
+        n_train = int(flags["n_pos"] + flags["n_neg"]) if flags else 0
         if n_train == 0:
             metrics = {"accuracy": None, "precision": None, "recall": None, "f1": None}
             cand = None
