@@ -76,18 +76,15 @@ def posterior_for_run(spark: SparkSession, rewards: DataFrame, run_id: str, n_ar
 
 
 def thompson_sample(pool: DataFrame, ledger: DataFrame, arm: int, cfg: LoopConfig, step: int,
-                    model: PipelineModel | None) -> DataFrame | None:
-    """One Thompson round's rows, or None for a dead arm (no unseen rows / no predicted positive)."""
+                    model: PipelineModel | None) -> DataFrame:
+    """One Thompson round's draw (lazy). It is empty for a dead arm: no unseen rows, or no
+    predicted positive once the classifier filter is on. The caller checkpoints the draw and
+    tests that, so the arm's rows are scanned once per round."""
     fresh = SM.exclude_seen(pool, ledger).filter(F.col("label_cluster") == arm)
-    if not fresh.limit(1).collect():
-        return None
     seed = f"{cfg.seed}:{cfg.run_id}:{step}"
     if cfg.filter_label and model is not None:
         scored = C.predict(model, fresh, cfg.feature_col)
-        out = SM.arm_posneg_sample(scored, arm, cfg.sample_size, seed)
-        if not out.limit(1).collect():
-            return None
-        return out.drop("score")
+        return SM.arm_posneg_sample(scored, arm, cfg.sample_size, seed).drop("score")
     return SM.sample_from_arm(fresh, arm, cfg.sample_size, seed)
 
 
@@ -130,11 +127,10 @@ def run_loop(spark: SparkSession, pool: DataFrame, validation: DataFrame, labele
             raise ValueError(f"unknown strategy {cfg.strategy!r}")
 
         key = [F.lit(cfg.run_id).alias("run_id"), F.lit(step).alias("step")]
-        if sample is not None:
-            # reliable checkpoint (spark.checkpoint.dir): the draw runs once and both the ledger
-            # and the labeled log read the same rows, also after an executor loss
-            sample = sample.checkpoint(eager=True)
-        if sample is None:                                     # dead arm: penalise, next round
+        # reliable checkpoint (spark.checkpoint.dir): the draw runs once and both the ledger
+        # and the labeled log read the same rows, also after an executor loss
+        sample = sample.checkpoint(eager=True)
+        if cfg.strategy == "thompson" and sample.isEmpty():   # dead arm: penalise, next round
             _append_row(spark, store, "rewards", REWARDS, (cfg.run_id, step, arm, float(BD.DEAD_REWARD)))
             _append_row(spark, store, "results", RESULTS, (cfg.run_id, step, arm, None, None, None, None, None, 0))
             continue

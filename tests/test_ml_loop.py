@@ -76,3 +76,12 @@ def test_loop_resumes_from_logs(spark):
         assert more[s]["arm"] == first[s]["arm"] and more[s]["metric"] == first[s]["metric"]
     seen = spark.read.parquet(f"{root}/ledger").filter("run_id = 'res'")
     assert seen.count() == seen.select("id").distinct().count()     # no id drawn twice
+
+
+def test_loop_dead_arms_are_penalised(spark):
+    from curio.plans.flagship import active_learning
+    res = active_learning(spark, SF_SMALL, method="lda", k=2, rounds=4, sample_size=10_000,
+                          run_id="dead").collect()
+    dead = [r for r in res if r["metric"] is None]
+    assert len(dead) >= 2                      # each draw empties its arm; repeats find nothing
+    assert all(r["reward"] == -1.0 and not r["accepted"] for r in dead)
