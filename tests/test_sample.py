@@ -85,3 +85,12 @@ def test_salted_rank_equals_row_number_on_hot_group(spark):
     w = Window.partitionBy("g").orderBy(draw_key(5, "id"), "id")
     exp = {r["id"]: r["rn"] for r in df.withColumn("rn", F.row_number().over(w)).collect()}
     assert got == exp
+
+
+def test_dedup_by_id_keeps_first_on_hot_id(spark):
+    from curio.operators.prepare import dedup_by_id
+    rows = [("hot", i, f"t{i}") for i in range(2000, 0, -1)] + [("a", 5, "x"), ("a", 3, "y"), ("b", 9, "z")]
+    df = spark.createDataFrame(rows, "id string, doc_id int, text string")
+    for d in (df.repartition(1), df.repartition(8)):
+        got = {r["id"]: (r["doc_id"], r["text"]) for r in dedup_by_id(d, "doc_id").collect()}
+        assert got == {"hot": (1, "t1"), "a": (3, "y"), "b": (9, "z")}
