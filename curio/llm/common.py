@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text_col: str,
     for b in batches:
         if not b.num_rows:
             continue
-        size = np.nan_to_num(np.asarray(pa.compute.binary_length(b.column(text_col)).to_numpy(zero_copy_only=False),
+        size = np.nan_to_num(np.asarray(pc.binary_length(b.column(text_col)).to_numpy(zero_copy_only=False),
                                         dtype=np.float64)).astype(np.int64)
         step = np.cumsum(size) // limit
         cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), b.num_rows]
