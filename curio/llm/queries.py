@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from . import decontaminate as dc
 from . import exact_dedup as ed
 from . import line_dedup as ld
+from . import lm
 from . import records as rec
 from . import sentencepieces as sp
 from . import sharding as sh
 from . import simhash as sim
+from . import toxicity as tox
 from .common import read_table
 
 QUERIES: dict = {}
@@ -112,3 +114,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sim.simhash_components(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op6_ppm_score")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(documents(spark, sf_dir))
+
+
+TOXIC_AT = 0.7
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    rest = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3
+    model = tox.train(docs, read_table(spark, sf_dir, "labels"), use=rest != 1)
+    return tox.score(docs, model).select("doc_id", (rest == 1).alias("held_out"), "score",
+                                         (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
