@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +56,41 @@ def shard_count(df: DataFrame, text_col: str, shard_bytes: int) -> int:
     """Number of shards so that an average one holds ``shard_bytes`` of text (one narrow pass)."""
     n = df.agg(F.sum(F.octet_length(text_or_empty(text_col)))).first()[0]
     return max(1, -(-int(n or 0) // shard_bytes))
+
+
+#: Rows of one file that make up a shard.
+SHARD_ROWS = 4096
+
+
+def placed(df: DataFrame, *cols: Column, rows: int = SHARD_ROWS) -> DataFrame:
+    """``cols`` with _shard (a run of ``rows`` rows of one file, wherever splits fall) and _row (its row in that file).
+
+    The place in a Parquet file names a row for good, whatever the later scans' splits. Another
+    frame than a plain scan is written to the shared folder first.
+    """
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    try:
+        src = df.select(*cols, *place)
+        src.schema  # noqa: B018 - resolves the file columns
+    except AnalysisException:
+        src = written(df.select(*cols), "rows").select("*", *place)
+    return src.withColumn("_shard", F.xxhash64("_file", F.expr(f"_row div {rows}"))).drop("_file")
+
+
+def by_shard(*parts: DataFrame) -> DataFrame:
+    """The union of frames that begin with (_shard, _kind), one shard at a time and in order of kind within it."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.repartition("_shard").sortWithinPartitions("_shard", "_kind")
+
+
+def with_row_key(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a text column that names the row (its Parquet file and place in it)."""
+    key = F.concat_ws(":", F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")).alias(name)
+    try:
+        out = df.select("*", key)
+        out.schema  # noqa: B018 - resolves the file columns
+        return out
+    except AnalysisException:
+        return written(df, "rows").select("*", key)

@@ -2,8 +2,8 @@
 
 The byte-context trie of order ``ORDER`` is learned from the training rows: counts of every (context,
 symbol) with contexts of 0..ORDER bytes. A text's code length starts each symbol at the longest
-context; a symbol unseen there costs an escape (number of distinct symbols over itself plus the counts,
-method C) and is tried in the next shorter context, where symbols already excluded do not count. Below
+context; a symbol unseen there costs an escape (half the number of distinct symbols over the counts, a seen
+one loses half a count for it: method D) and is tried in the next shorter context, where symbols already excluded do not count. Below
 order 0 the remaining symbols are equally likely. Symbols are 256 bytes and the end; places before a
 text's begin are a symbol of their own in contexts.
 
@@ -14,7 +14,7 @@ batch and sum them by position.
 
 The trie is sent to the tasks only if it has at most ``MAX_SENT`` entries; beyond, costs are found with
 joins (``costs_by_join``), with equal results. The word counts never travel whole: rows are put in shards of
-``SHARD_ROWS`` rows by file and place in the file, each shard sends its distinct words and gets their counts back.
+rows by file and place in the file, each shard sends its distinct words and gets their counts back.
 
 ``adaptive_lengths`` scores each text with a model that starts empty and learns as it reads.
 
@@ -29,18 +29,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced, text_bytes, text_or_empty, written
+from .common import by_shard, placed, sliced, text_bytes, text_or_empty, written
 
 ORDER = 5
 SYMBOLS = 258  # bytes, place before the begin, end
 PAD, END = 256, 257
 CODED = 257  # symbols that a code tells apart: bytes and the end
 MAX_SENT = 8_000_000
-SHARD_ROWS = 4096
 #: Words counted before a task hands its counts on.
 TABLE_SIZE = 300_000
 #: Stands for the end token in word tables; no word is white space.
@@ -108,9 +106,9 @@ class Trie:
             held = np.where(has, total[ci], 0) if len(ctx) else zero
             kinds = np.where(has, distinct[ci], 0) if len(ctx) else zero
             left, left_d = held - out_n[todo], kinds - out_d[todo]
-            out[todo[hit]] += np.log10(n[gi[hit]] / (left + left_d)[hit])
-            esc = ~hit & has & (left + left_d > 0)
-            out[todo[esc]] += np.log10(left_d[esc] / (left + left_d)[esc])
+            out[todo[hit]] += np.log10((n[gi[hit]] - 0.5) / left[hit])
+            esc = ~hit & has & (left > 0)
+            out[todo[esc]] += np.log10(left_d[esc] / 2 / left[esc])
             out_n[todo] = np.where(has, below[ci], 0) if below is not None and len(ctx) else 0
             out_d[todo] = kinds
             todo = todo[~hit]
@@ -148,10 +146,10 @@ class AdaptiveTrie:
             seen = {k: v for k, v in self.counts.get(ctx[j:], {}).items() if k not in excluded}
             if not seen:
                 continue
-            total = sum(seen.values()) + len(seen)
+            total = sum(seen.values())
             if s in seen:
-                return out + math.log10(seen[s] / total)
-            out += math.log10(len(seen) / total)
+                return out + math.log10((seen[s] - 0.5) / total)
+            out += math.log10(len(seen) / 2 / total)
             excluded |= seen.keys()
         return out - math.log10(CODED - len(excluded))
 
@@ -192,9 +190,9 @@ def costs_by_join(texts: DataFrame, grams: DataFrame, order: int) -> DataFrame:
         for b in sliced(batches, "_t"):
             for key, t in zip(b.column("_key").to_pylist(), text_bytes(b.column("_t"))):
                 u, n = np.unique(gram_codes([t.lower()], order)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), key)), pa.array(u), pa.array(n.astype(np.int64))], ["_key", "gram", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(u), pa.string()), pa.array(u), pa.array(n.astype(np.int64))], ["_key", "gram", "times"])
 
-    places = texts.select("_key", "_t").mapInArrow(run, "_key long, gram long, times long")
+    places = texts.select("_key", "_t").mapInArrow(run, "_key string, gram long, times long")
     levels = []
     g = grams
     for j in range(order, -1, -1):
@@ -220,8 +218,8 @@ def costs_by_join(texts: DataFrame, grams: DataFrame, order: int) -> DataFrame:
         left = F.coalesce("total", zero) - F.col("xn")
         kinds = F.coalesce("kinds", zero) - F.col("xd")
         hit, open_ = F.col("n").isNotNull(), ~F.col("done")
-        step = (F.when(open_ & hit, F.log10(F.col("n") / (left + kinds)))
-                .when(open_ & F.col("total").isNotNull() & (left + kinds > 0), F.log10(kinds / (left + kinds))).otherwise(zero))
+        step = (F.when(open_ & hit, F.log10((F.col("n") - 0.5) / left))
+                .when(open_ & F.col("total").isNotNull() & (left > 0), F.log10(kinds / 2 / left)).otherwise(zero))
         x = x.select("gram", (F.col("cost") + step).alias("cost"), (F.col("done") | hit).alias("done"),
                      F.coalesce("below", zero).cast("double").alias("xn"), F.coalesce("kinds", zero).cast("double").alias("xd"))
     cost = x.select("gram", F.when(F.col("done"), F.col("cost")).otherwise(F.col("cost") - F.log10(CODED - F.col("xd"))).alias("cost"))
@@ -231,16 +229,9 @@ def costs_by_join(texts: DataFrame, grams: DataFrame, order: int) -> DataFrame:
 # --- the word model and the score ------------------------------------------------------------
 
 def sharded(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _key, _train, _t, _shard): a shard is a run of rows of one file, wherever splits fall."""
-    cols = [F.col(id_col).alias("_id"), training_row(id_col).alias("_train"), text_or_empty(text_col).alias("_t")]
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    try:
-        src = df.select(*cols, *place)
-        src.schema  # noqa: B018 - resolves the file columns
-    except AnalysisException:  # not a plain scan of Parquet files
-        src = written(df.select(*cols), "op6-rows").select("*", *place)
-    key = F.xxhash64("_file", "_row")
-    return src.select("_id", key.alias("_key"), "_train", "_t", F.xxhash64("_file", F.expr(f"_row div {SHARD_ROWS}")).alias("_shard"))
+    """(_id, _key, _train, _t, _shard); _key names a row."""
+    src = placed(df, F.col(id_col).alias("_id"), training_row(id_col).alias("_train"), text_or_empty(text_col).alias("_t"))
+    return src.select("_id", F.concat_ws(":", "_shard", "_row").alias("_key"), "_train", "_t", "_shard")
 
 
 def word_counts(src: DataFrame) -> DataFrame:
@@ -289,11 +280,10 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         sent = spark.sparkContext.broadcast((t["gram"].to_numpy(), t["n"].to_numpy()))
 
     none = F.lit(None)
-    rows = (words.select("_shard", F.lit(0).alias("_kind"), F.col("_word").alias("_t"), "_c", none.cast("long").alias("_key"),
-                         none.cast(src.schema["_id"].dataType).alias("_id"), none.cast("boolean").alias("_train"))
-            .union(src.select("_shard", F.lit(1), F.col("_t").cast("binary"), none.cast("long"), "_key", "_id", "_train")))
     # a shard's words come first, then its texts: a task holds one shard's word table at a time
-    rows = rows.repartition("_shard").sortWithinPartitions("_shard", "_kind")
+    rows = by_shard(words.select("_shard", F.lit(0).alias("_kind"), F.col("_word").alias("_t"), "_c", none.cast("string").alias("_key"),
+                         none.cast(src.schema["_id"].dataType).alias("_id"), none.cast("boolean").alias("_train")),
+                    src.select("_shard", F.lit(1), F.col("_t").cast("binary"), none.cast("long"), "_key", "_id", "_train"))
 
     def run(batches):
         trie, shard, table = Trie(*sent.value, order) if sent else None, None, {}
@@ -319,7 +309,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
                     ["_id", "_key", "_train", "n_tokens", "n_known", "logs", "score"])
 
     kind = src.schema["_id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"_id {kind}, _key long, _train boolean, n_tokens long, n_known long, logs double, score double")
+    out = rows.mapInArrow(run, f"_id {kind}, _key string, _train boolean, n_tokens long, n_known long, logs double, score double")
     if not sent:
         out = out.drop("score").join(costs_by_join(src, grams, order), "_key")
     return out.select(F.col("_id").alias(id_col), (~F.col("_train")).alias("held_out"), "n_tokens", "n_known",

@@ -17,6 +17,7 @@ from . import records as rec
 from . import sentencepieces as sp
 from . import sharding as sh
 from . import simhash as sim
+from . import substring_dedup as ss
 from . import toxicity as tox
 from .common import read_table
 
@@ -37,6 +38,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def model_path(name: str) -> str:
+    """Where the installed public tokenizer of that name lies."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
 def sha(c: str):
     return F.sha2(F.col(c).cast("binary"), 256)
 
@@ -98,16 +105,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_sentencepiece")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-    enc = sp.encode_texts(documents(spark, sf_dir), str(public_tokenizers.path("piece_bpe_32k.model")))
+    enc = sp.encode_texts(documents(spark, sf_dir), model_path("piece_bpe_32k.model"))
     return enc.select("doc_id", "n_tokens", sha("ids").alias("ids_sha256"), sha("decoded").alias("decoded_sha256"))
 
 
 @query("op4_token_records")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
     root = rec.records_folder(spark)
-    rec.write_records(documents(spark, sf_dir), str(public_tokenizers.path("byte_bpe_50k.json")), root)
+    rec.write_records(documents(spark, sf_dir), model_path("byte_bpe_50k.json"), root)
     return rec.read_records(spark, root).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -124,10 +129,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOXIC_AT = 0.7
 
 
+def toxicity_rest():
+    """crc32(doc_id as text) mod 3; remainder 1 is held out."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3
+
+
 @query("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    rest = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3
+    rest = toxicity_rest()
     model = tox.train(docs, read_table(spark, sf_dir, "labels"), use=rest != 1)
     return tox.score(docs, model).select("doc_id", (rest == 1).alias("held_out"), "score",
                                          (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
+
+
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ss.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", sha("text").alias("kept_sha256"))

@@ -1,12 +1,12 @@
 """Toxicity scoring by a counterfactual-regularised classifier.
 
-Features are words (ASCII letters lower-cased, other ASCII characters part words), their prefixes of
-3 to 6 bytes and their character 4-grams, hashed to ``DIMS`` numbers; a document has a feature or not. The
+Features are words (ASCII letters lower-cased, other ASCII characters part words) and their prefixes of
+4 to 6 bytes, hashed to ``DIMS`` numbers; a document has a feature or not. The
 classifier is fitted on a bounded sample of the labelled rows (``max_train``, expected size): features
 that tell the classes apart (likelihood ratio above ``MIN_G2``) enter a logistic regression with the
 loss
 
-    log loss + l2 |w|^2 + cf * mean over counterfactual pairs of (score(x) - score(x'))^2
+    class-balanced log loss + l2 |w|^2 + cf * mean over counterfactual pairs of (score(x) - score(x'))^2
 
 where x' is x with its identity terms swapped for others of their group, and the score is the logit.
 A group's name alone then hardly moves a score, which keeps neutral mentions of groups clean. Only texts and
@@ -33,8 +33,9 @@ from .common import sliced, text_bytes, text_or_empty, written
 
 MAX_TRAIN = 12_000
 DIMS = 1 << 22
-MIN_G2 = 30.0
+MIN_G2 = 15.0
 MIN_DOCS = 4
+PREFIXES = (4, 5, 6)
 #: Distinct words a task remembers before it starts anew.
 TABLE_SIZE = 500_000
 
@@ -66,24 +67,25 @@ def swaps(groups: list[str] = IDENTITY_GROUPS) -> list[dict[bytes, bytes]]:
     return out
 
 
-def word_features(word: bytes) -> np.ndarray:
-    """Hashed features of one word."""
-    marked = b"<" + word + b">"
-    names = {b"w" + word, *(b"p" + word[:k] for k in range(3, 7) if len(word) > k), *(b"g" + marked[i:i + 4] for i in range(len(marked) - 3))}
-    return np.array(sorted(xxhash.xxh32_intdigest(n, 17) & (DIMS - 1) for n in names), dtype=np.int32)
+def word_features(word: bytes) -> tuple[int, ...]:
+    """Hashed features of one word: the word and its prefixes."""
+    h, last = xxhash.xxh32_intdigest, DIMS - 1
+    return (h(b"w" + word, 17) & last, *(h(word[:k], 17) & last for k in PREFIXES if len(word) > k))
 
 
 class Featuriser:
+    """Features of texts, with a table of the words met so far."""
+
     def __init__(self):
-        self.table: dict[bytes, np.ndarray] = {}
+        self.table: dict[bytes, tuple[int, ...]] = {}
 
     def __call__(self, distinct: set[bytes]) -> np.ndarray:
-        if len(self.table) > TABLE_SIZE:
-            self.table.clear()
         t = self.table
+        if len(t) > TABLE_SIZE:
+            t.clear()
         for w in distinct - t.keys():
             t[w] = word_features(w)
-        return np.unique(np.concatenate([t[w] for w in distinct])) if distinct else np.zeros(0, dtype=np.int32)
+        return np.array(sorted(set().union(*map(t.__getitem__, distinct))), dtype=np.int32)
 
 
 def featurise(labelled: DataFrame, groups: list[str]) -> DataFrame:
@@ -143,15 +145,16 @@ def fit(y: np.ndarray, rows: list[np.ndarray], pairs: list[tuple[int, np.ndarray
     pv = np.concatenate([np.r_[np.ones(len(a)), -np.ones(len(b))] for a, b in diff] or [np.zeros(0)])
     m, k = max(1, len(diff)), len(feats)
     w, bias = np.zeros(k), prior
+    each = np.where(y > 0, 0.5 / n1, 0.5 / (n - n1)) * n  # both classes weigh the same
     # diagonal steps from a bound of the curvature: features are 0/1 and rows hold few of them
     width = max(1, max(len(x) for x in own))
-    curve = 0.25 * width * np.bincount(c, minlength=k) / n + 2 * l2
+    curve = 0.25 * width * np.bincount(c, weights=each[r], minlength=k) / n + 2 * l2
     if len(pv):
         curve = curve + 2 * cf * max(len(a) + len(b) for a, b in diff) * np.bincount(pcol, minlength=k) / m
     vw, vb, t = w.copy(), bias, 1.0
     for _ in range(steps):  # accelerated gradient descent
         z = vb + np.bincount(r, weights=vw[c], minlength=n)
-        g = 1 / (1 + np.exp(-z)) - y
+        g = each * (1 / (1 + np.exp(-z)) - y)
         gw = np.bincount(c, weights=g[r], minlength=k) / n + 2 * l2 * vw
         if len(pv):
             d = np.bincount(pr, weights=pv * vw[pcol], minlength=m)
@@ -192,8 +195,9 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col:
     return weights.pop(-1, 0.0), weights
 
 
-def score(docs: DataFrame, model: tuple[float, dict[int, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with a column ``score`` (probability of label 1); all columns stay."""
+def score(docs: DataFrame, model: tuple[float, dict[int, float]], text_col: str = "text",
+          score_col: str = "score") -> DataFrame:
+    """The documents with a column ``score_col`` (probability of label 1); all columns stay."""
     bias, weights = model
     keep = docs.columns
     text = "_scored_text"
@@ -208,11 +212,11 @@ def score(docs: DataFrame, model: tuple[float, dict[int, float]], id_col: str =
             for t in text_bytes(b.column(text)):
                 distinct = set(words(t))
                 for w in distinct - table.keys():
-                    table[w] = tuple(f for f in word_features(w).tolist() if f in weights)
+                    table[w] = tuple(f for f in word_features(w) if f in weights)
                 hits = {f for w in distinct for f in table[w]}
                 out.append(1 / (1 + np.exp(-min(700.0, max(-700.0, bias + sum(weights[f] for f in sorted(hits)))))))
             cols = [b.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.float64())], [*keep, score_col])
 
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
     return src.mapInArrow(run, schema)
