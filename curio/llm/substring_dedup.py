@@ -24,6 +24,9 @@ own. An empty table gives no rows. Extra columns are not read.
 
 from __future__ import annotations
 
+import re
+from itertools import repeat
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -33,11 +36,13 @@ from pyspark.sql import functions as F
 from .common import SHARD_ROWS, by_shard, placed, sliced, text_bytes, text_or_empty, written
 
 WINDOW, PHRASE = 35, 8
-#: Phrases and distinct words of one automaton.
-PHRASES, WORDS = 200_000, 1_000_000
+#: Phrases of one automaton; its words are pairs of LETTERS x LETTERS letters (nodes with few children are searched fast).
+PHRASES, LETTERS = 100_000, 512
 #: Segments a task holds before it sends them.
 HELD = 1_000_000
-OTHER = "\0"
+#: Stands for words that no phrase of the automaton holds.
+OTHER = "\0\0"
+KNOWN = re.compile("[^\0]+")
 
 _rng = np.random.default_rng(35)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -243,27 +248,22 @@ def window_rows(pointers: DataFrame, blocks: DataFrame, window: int) -> DataFram
     return with_blocks(pointers, blocks).mapInArrow(run, "hi long, wh long, _shard long, at long, weight long")
 
 
-class _Letters(dict):
-    def __missing__(self, word):
-        return OTHER
-
-
-def letter(i: int) -> str:
-    """The i-th code point above zero that may stand for a word (surrogates are left out)."""
-    return chr(i + 1 if i + 1 < 0xD800 else i + 1 + 0x800)
+def letters_of(i: int) -> str:
+    """The i-th word as two letters of different ranges, so a match can only begin at a word."""
+    return chr(0x100 + i // LETTERS) + chr(0x1000 + i % LETTERS)
 
 
-def automata(passages: dict[tuple, dict]) -> list[tuple[_Letters, ahocorasick.Automaton]]:
+def automata(passages: dict[tuple, dict]) -> list[tuple[dict, ahocorasick.Automaton]]:
     """Automata over the anchor phrases, each with its own letters for words."""
     out = []
-    letters, auto = _Letters(), ahocorasick.Automaton()
+    letters, auto = {}, ahocorasick.Automaton()
     for phrase, spans in passages.items():
-        if len(auto) >= PHRASES or len(letters) > WORDS:
+        if len(auto) >= PHRASES or len(letters) + len(phrase) > LETTERS ** 2:
             out.append((letters, auto))
-            letters, auto = _Letters(), ahocorasick.Automaton()
+            letters, auto = {}, ahocorasick.Automaton()
         for w in phrase:
             if w not in letters:
-                letters[w] = letter(len(letters))
+                letters[w] = letters_of(len(letters))
         auto.add_word("".join(map(letters.__getitem__, phrase)), spans)
     if len(auto):
         out.append((letters, auto))
@@ -296,12 +296,14 @@ def cover(words: list[bytes], machines: list, phrase: int) -> bytearray:
     """One byte a word: 1 where an occurrence of a passage covers it."""
     mask = bytearray(len(words))
     for letters, auto in machines:
-        for end, spans in auto.iter("".join(map(letters.__getitem__, words))):
-            p = end - phrase + 1
-            for (before, size), known in spans.items():
-                a = p - before
-                if a >= 0 and a + size <= len(words) and 0 in mask[a:a + size] and b" ".join(words[a:a + size]) in known:
-                    mask[a:a + size] = b"\x01" * size
+        text = "".join(map(letters.get, words, repeat(OTHER)))
+        for run in KNOWN.finditer(text):  # no phrase holds a word without letters
+            for end, spans in auto.iter(text, run.start(), run.end()):
+                p = (end + 1) // 2 - phrase
+                for (before, size), known in spans.items():
+                    a = p - before
+                    if a >= 0 and a + size <= len(words) and 0 in mask[a:a + size] and b" ".join(words[a:a + size]) in known:
+                        mask[a:a + size] = b"\x01" * size
     return mask
 
 
@@ -312,11 +314,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     src = placed(df, F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t"))
     found = written(shard_segments(src, window, phrase), "op5-segments")
     recurring = found.groupBy("hi").agg(F.sum("n").alias("a")).where("a > 1").select("hi")
+    recurring = written(recurring, "op5-anchors")
     per_segment = Window.partitionBy("hi", "lo")
     kept = found.join(recurring, "hi").repartition("hi", "lo")
     kept = written(kept.withColumn("s", F.sum("n").over(per_segment))
                    .withColumn("k", F.row_number().over(per_segment.orderBy("_shard", "at"))), "op5-recurring")
-    unsure = kept.groupBy("hi").agg(F.min("s").alias("least")).where("least = 1").select("hi")
+    unsure = written(kept.groupBy("hi").agg(F.min("s").alias("least")).where("least = 1").select("hi"), "op5-unsure")
     pointers = (kept.where("s = 1 OR k = 1").join(unsure, "hi")
                 .select("_shard", "hi", "at", F.least(F.col("s"), F.lit(2)).alias("weight")))
     blocks = text_blocks(src)
