@@ -26,6 +26,8 @@ are scored each. Empty tables give no rows. Extra columns are not read.
 from __future__ import annotations
 
 import math
+import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +74,7 @@ class Trie:
     """Costs of (context, symbol) codes from the counts at the longest context."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int = ORDER):
-        at = np.argsort(codes, kind="stable")
+        at = np.argsort(codes)
         g, n = codes[at].astype(np.int64), counts[at].astype(np.float64)
         self.order, self.levels = order, []
         for j in range(order, -1, -1):
@@ -122,6 +124,17 @@ class Trie:
         return np.add.reduceat(self.costs(u)[inv], begin) if len(texts) else np.zeros(0)
 
 
+_TRIES: dict[str, Trie] = {}
+
+
+def trie_of(tag: str, sent, order: int) -> Trie:
+    """The trie of a broadcast, built once in a worker process (tasks reuse it)."""
+    if tag not in _TRIES:
+        _TRIES.clear()
+        _TRIES[tag] = Trie(*sent.value, order)
+    return _TRIES[tag]
+
+
 class AdaptiveTrie:
     """The same model as a dictionary of contexts that may learn while it reads (small inputs, plain form)."""
 
@@ -274,7 +287,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     words = word_counts(src)
     r = words.agg(F.sum("_n").alias("n"), F.sum(((F.col("_k") == 1) & (F.col("_c") > 0)).cast("long")).alias("v")).first()
     n, v = int(r["n"] or 0), int(r["v"] or 0)
-    sent = None
+    sent, tag = None, uuid.uuid4().hex
     if grams.count() <= max_sent:
         t = grams.toArrow()
         sent = spark.sparkContext.broadcast((t["gram"].to_numpy(), t["n"].to_numpy()))
@@ -286,7 +299,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
                     src.select("_shard", F.lit(1), F.col("_t").cast("binary"), none.cast("long"), "_key", "_id", "_train"))
 
     def run(batches):
-        trie, shard, table = Trie(*sent.value, order) if sent else None, None, {}
+        trie, shard, table = trie_of(tag, sent, order) if sent else None, None, {}
         for b in sliced(batches, "_t"):
             shards, kinds = b.column("_shard").to_numpy(), b.column("_kind").to_numpy()
             cuts = [0, *(np.flatnonzero((np.diff(shards) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), b.num_rows]
@@ -302,7 +315,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
                 size = np.array([len(t) for t in tokens], dtype=np.int64)
                 first = np.r_[0, np.cumsum(size)][:-1]
                 get = table.__getitem__
-                c = np.fromiter((get(w) for t in tokens for w in t), dtype=np.float64, count=int(size.sum()))
+                c = np.fromiter(map(get, chain.from_iterable(tokens)), dtype=np.float64, count=int(size.sum()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_id"), part.column("_key"), part.column("_train"), pa.array(size), pa.array(np.add.reduceat((c > 0).astype(np.int64), first)),
                      pa.array(np.add.reduceat(np.log10(c + 0.1), first)), pa.array(trie.text_costs(texts) if trie else np.zeros(len(texts)))],
