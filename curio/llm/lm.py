@@ -43,6 +43,8 @@ CODED = 257  # symbols that a code tells apart: bytes and the end
 MAX_SENT = 8_000_000
 #: Words counted before a task hands its counts on.
 TABLE_SIZE = 300_000
+#: Text bytes scored at once (sorting their contexts stays in the processor's caches).
+SCORED_BYTES = 1 << 20
 #: Stands for the end token in word tables; no word is white space.
 END_WORD = b"\n"
 
@@ -300,7 +302,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
     def run(batches):
         trie, shard, table = trie_of(tag, sent, order) if sent else None, None, {}
-        for b in sliced(batches, "_t"):
+        for b in sliced(batches, "_t", SCORED_BYTES):
             shards, kinds = b.column("_shard").to_numpy(), b.column("_kind").to_numpy()
             cuts = [0, *(np.flatnonzero((np.diff(shards) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), b.num_rows]
             for i, j in zip(cuts, cuts[1:]):

@@ -139,7 +139,7 @@ class BpeTable:
                 continue
             c = self.CUT.split(t)
             cut.append([c[0], *[" " + x for x in c[1:]]])
-        new = list({x for c in cut for x in c} - self.table.keys())
+        new = [x for x in {x for c in cut for x in c} if x not in self.table]
         self.table.update(zip(new, self.whole(new)))
         get = self.table.__getitem__
         return [b"".join([*map(get, c), self.end]) for c in cut]

@@ -72,7 +72,7 @@ class ChunkCodec:
             self.ids.clear()
             self.texts.clear()
         cut = [CHUNKS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.learn(list({c for chunks in cut for c in chunks} - self.ids.keys()))
+        self.learn([c for c in {c for chunks in cut for c in chunks} if c not in self.ids])
         ids, words = self.ids, self.texts
         return ([b"".join([self.head, *map(ids.__getitem__, c), self.tail]) for c in cut],
                 # decoding drops a chunk's first marker; between chunks it is a space again

@@ -83,8 +83,9 @@ class Featuriser:
         t = self.table
         if len(t) > TABLE_SIZE:
             t.clear()
-        for w in distinct - t.keys():
-            t[w] = word_features(w)
+        for w in distinct:
+            if w not in t:
+                t[w] = word_features(w)
         return np.array(sorted(set().union(*map(t.__getitem__, distinct))), dtype=np.int32)
 
 
@@ -211,9 +212,13 @@ def score(docs: DataFrame, model: tuple[float, dict[int, float]], text_col: str
             out = []
             for t in text_bytes(b.column(text)):
                 distinct = set(words(t))
-                for w in distinct - table.keys():
-                    table[w] = tuple(f for f in word_features(w) if f in weights)
-                hits = {f for w in distinct for f in table[w]}
+                hits = set()
+                for w in distinct:
+                    known = table.get(w)
+                    if known is None:
+                        known = table[w] = tuple(f for f in word_features(w) if f in weights)
+                    if known:
+                        hits.update(known)
                 out.append(1 / (1 + np.exp(-min(700.0, max(-700.0, bias + sum(weights[f] for f in sorted(hits)))))))
             cols = [b.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.float64())], [*keep, score_col])
