@@ -15,6 +15,7 @@ first. Rows that share an id keep the order of the input. An empty table writes
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -100,21 +101,24 @@ def masked(crc: np.ndarray) -> np.ndarray:
 class BpeTable:
     """Encodes texts with a ``tokenizers`` model through a table of distinct chunks.
 
-    A chunk begins at a single space between two visible characters: a byte-level splitting pattern
-    always ends a token before such a space, so each chunk can be encoded alone. Texts that name an
-    added token are encoded whole.
+    A text is cut at single spaces and before single newlines between two visible characters: a byte-level splitting
+    pattern always begins a token there (and ends one after the newline), so each chunk can be encoded alone. New chunks without
+    other white space are encoded many at a time, one to a line: the newline between two of them is
+    always a token of its own. Texts that name an added token are encoded whole.
     """
 
-    CUT = re.compile(r"(?<=[!-~¡-¬®-ɏ]) (?=[!-~¡-¬®-ɏ])")
+    VISIBLE = "!-~¡-¬®-ɏ"
+    CUT = re.compile(f"(?<=[{VISIBLE}])(?: (?=[{VISIBLE}])|(?=\n[{VISIBLE}]))")
+    PLAIN = re.compile(f" ?[{VISIBLE}]+").fullmatch
+    LINES = 40
 
     def __init__(self, spec: str, end_id: int, table_size: int = TABLE_SIZE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import json
-
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(spec)
         self.end = np.array([end_id], dtype="<u4").tobytes()
-        self.table: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}  # chunks that begin a text
+        self.rest: dict[str, bytes] = {}  # chunks that follow a space, without it, or that begin with a newline
         self.table_size = table_size
         d = json.loads(spec)
         pre = d.get("pre_tokenizer") or {}
@@ -122,27 +126,58 @@ class BpeTable:
                         and not d.get("normalizer") and not d["model"].get("dropout"))
         self.added = [a["content"] for a in d.get("added_tokens") or [] if a["content"]]
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        self.newline = self.ids("\n")
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def learn(self, table: dict[str, bytes], new: list[str], before: str) -> None:
+        """Encode chunks that follow ``before`` (a space or nothing) into ``table``."""
+        plain = [c for c in new if self.PLAIN(c)] if self.chunked and len(self.newline) == 1 else []
+        groups = [plain[i:i + self.LINES] for i in range(0, len(plain), self.LINES)]
+        for e, some in zip(self.tok.encode_batch_fast([before + ("\n" + before).join(g) for g in groups], add_special_tokens=False), groups):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.newline[0])
+            raw, cuts = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
+            table.update(zip(some, [raw[4 * (a + 1):4 * b] for a, b in zip(cuts, cuts[1:])]))
+        other = [c for c in new if c not in table]
+        for c, e in zip(other, self.tok.encode_batch_fast([before + c for c in other], add_special_tokens=False)):
+            table[c] = np.array(e.ids, dtype="<u4").tobytes()
 
     def apply(self, texts: list[str]) -> list[bytes]:
         """The ids of each text with the end id, little-endian unsigned 32-bit."""
         if not self.chunked:
-            return [i + self.end for i in self.whole(texts)]
-        if len(self.table) > self.table_size:
-            self.table.clear()
-        cut = []
-        for t in texts:
-            if any(a in t for a in self.added):
-                cut.append([t])
-                continue
-            c = self.CUT.split(t)
-            cut.append([c[0], *[" " + x for x in c[1:]]])
-        new = [x for x in {x for c in cut for x in c} if x not in self.table]
-        self.table.update(zip(new, self.whole(new)))
-        get = self.table.__getitem__
-        return [b"".join([*map(get, c), self.end]) for c in cut]
+            return [self.ids(t).tobytes() + self.end for t in texts]
+        if len(self.rest) + len(self.first) > self.table_size:
+            self.first.clear()
+            self.rest.clear()
+        split = self.CUT.split
+        whole = [any(a in t for a in self.added) for t in texts]
+        cut = [[t] if w else split(t) for t, w in zip(texts, whole)]
+        heads = [c[0] for c in cut]
+        for c in cut:
+            del c[0]
+        new = [c for c in set().union(*cut) if c not in self.rest]
+        lines = [c for c in new if c[0] == "\n"]
+        begin = {h for h, w in zip(heads, whole) if not w}.union(c[1:] for c in lines)
+        self.learn(self.first, [c for c in begin if c not in self.first], "")
+        newline = self.newline.tobytes()
+        self.rest.update((c, newline + self.first[c[1:]]) for c in lines)
+        self.learn(self.rest, [c for c in new if c[0] != "\n"], " ")
+        get = self.rest.__getitem__
+        return [b"".join((self.ids(h).tobytes() if w else self.first[h], *map(get, c), self.end)) for h, w, c in zip(heads, whole, cut)]
+
+
+_TABLES: dict[tuple, BpeTable] = {}
+
+
+def bpe_table(spec: str, end_id: int) -> BpeTable:
+    """The table of this worker process; later tasks go on with it."""
+    key = (hash(spec), end_id)
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = BpeTable(spec, end_id)
+    return _TABLES[key]
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -176,7 +211,7 @@ def write_records(df: DataFrame, tokenizer_path: str, root: str, end_id: int = 0
         bpe, out, offset, place, fs, tmp = None, None, 0, 0, None, None
         for b in sliced(batches, "_t"):
             if out is None:
-                bpe = BpeTable(spec, end_id)
+                bpe = bpe_table(spec, end_id)
                 fs, path = filesystem(root)
                 fs.create_dir(path, recursive=True)
                 tmp = f"{path}/.attempt-{shard}-{ctx.taskAttemptId()}"
@@ -230,7 +265,7 @@ def read_records(spark: SparkSession, root: str, chunk: int = 4 << 20) -> DataFr
     totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("records"))
     base = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     shards = totals.withColumn("base", base)  # one row per shard file
-    shards = shards.repartition(F.col("shard"))
+    shards = shards.repartitionByRange(max(1, totals.count()), "shard")  # a task per file
 
     def run(batches):
         for b in batches:
