@@ -32,7 +32,7 @@ from ..session import scratch_path
 from .common import shard_count, sliced, text_or_empty
 
 SHARD_BYTES = 16 << 20
-TABLE_SIZE = 500_000
+TABLE_SIZE = 1_000_000
 POLY = 0x82F63B78  # CRC-32C, reflected
 STEP = 64  # bytes that one vector step of the checksum takes from every record
 
@@ -109,6 +109,8 @@ class BpeTable:
 
     VISIBLE = "!-~¡-¬®-ɏ"
     CUT = re.compile(f"(?<=[{VISIBLE}])(?: (?=[{VISIBLE}])|(?=\n[{VISIBLE}]))")
+    #: A space or newline that is not alone between visible characters.
+    UNEVEN = re.compile(f"[ \n](?![{VISIBLE}])|(?<![{VISIBLE}])[ \n]").search
     PLAIN = re.compile(f" ?[{VISIBLE}]+").fullmatch
     LINES = 40
 
@@ -151,21 +153,24 @@ class BpeTable:
         if len(self.rest) + len(self.first) > self.table_size:
             self.first.clear()
             self.rest.clear()
-        split = self.CUT.split
         whole = [any(a in t for a in self.added) for t in texts]
-        cut = [[t] if w else split(t) for t, w in zip(texts, whole)]
+        cut = [[t] if w else self.CUT.split(t) if self.UNEVEN(t) else t.replace("\n", " \n").split(" ") for t, w in zip(texts, whole)]
         heads = [c[0] for c in cut]
         for c in cut:
             del c[0]
-        new = [c for c in set().union(*cut) if c not in self.rest]
+        get = self.rest.get
+        got = [[*map(get, c)] for c in cut]
+        lacking = [k for k, g in enumerate(got) if None in g]
+        new = list({x for k in lacking for x, g in zip(cut[k], got[k]) if g is None})
         lines = [c for c in new if c[0] == "\n"]
         begin = {h for h, w in zip(heads, whole) if not w}.union(c[1:] for c in lines)
         self.learn(self.first, [c for c in begin if c not in self.first], "")
         newline = self.newline.tobytes()
         self.rest.update((c, newline + self.first[c[1:]]) for c in lines)
         self.learn(self.rest, [c for c in new if c[0] != "\n"], " ")
-        get = self.rest.__getitem__
-        return [b"".join((self.ids(h).tobytes() if w else self.first[h], *map(get, c), self.end)) for h, w, c in zip(heads, whole, cut)]
+        for k in lacking:
+            got[k] = map(get, cut[k])
+        return [b"".join((self.ids(h).tobytes() if w else self.first[h], *g, self.end)) for h, w, g in zip(heads, whole, got)]
 
 
 _TABLES: dict[tuple, BpeTable] = {}
