@@ -31,7 +31,8 @@ KEY = "__row_key"
 def _keep(docs: DataFrame, keyed: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``keyed`` that ``kept`` marks, with the columns of ``docs``."""
     rows = written(kept.where("kept").select(F.col(f"row.{KEY}").alias(KEY)), "pipeline-kept")
-    return keyed.join(rows, KEY, "left_semi").select(*docs.columns)
+    # the kept rows grow with the documents, so they are never broadcast
+    return keyed.join(rows.hint("merge"), KEY, "left_semi").select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
