@@ -1,8 +1,9 @@
 """Binary text classifier on Spark ML (re-aim of the fine-tuned transformer).
 
-tokens (first 512) -> hashed term frequencies -> IDF -> logistic regression, optionally with
+tokens -> hashed term frequencies -> IDF -> logistic regression, optionally with
 class weights 0.2 / 0.8 (the same weighted cross-entropy). Fitting runs on the executors;
-``transform`` scores the pool batch-free and distributed.
+``transform`` scores the pool batch-free and distributed. A model reads the internal column
+``MODEL_TEXT``; train, predict and evaluate fill it from the caller's ``feature_col``.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from pyspark.sql import functions as F
 from .stats import classification_metrics
 
 # --- fixed values ---------------------------------------------------------------------------
-MAX_TOKENS = 512           # tokens per text fed to the model
 NEG_WEIGHT = 0.2           # class weights of the weighted loss (negative, positive)
 POS_WEIGHT = 0.8
 MAX_ITER = 20              # training passes
 REG_PARAM = 0.01           # L2 penalty (weight decay)
 NUM_FEATURES = 1 << 18
+MODEL_TEXT = "_model_text"
 # ---------------------------------------------------------------------------------------------
 
 
@@ -33,45 +34,45 @@ def class_weight_col(label_col: str = "label", weighted: Column | bool = True) -
     return F.when(weighted, w).otherwise(F.lit(1.0))
 
 
-def feature_stages(feature_col: str = "title", num_features: int = NUM_FEATURES):
-    tok = RegexTokenizer(inputCol=feature_col, outputCol="_tok", pattern=r"\W+", toLowercase=True, minTokenLength=1)
-    cut = SQLTransformer(statement=f"SELECT *, slice(_tok, 1, {MAX_TOKENS}) AS _tok512 FROM __THIS__")
-    tf = HashingTF(inputCol="_tok512", outputCol="_tf", numFeatures=num_features)
+def with_model_text(df: DataFrame, feature_col: str) -> DataFrame:
+    return df.withColumn(MODEL_TEXT, F.coalesce(F.col(feature_col), F.lit("")))
+
+
+def feature_stages(num_features: int = NUM_FEATURES, max_tokens: int | None = None):
+    """Feature stages over ``MODEL_TEXT``; every token counts unless the caller sets ``max_tokens``."""
+    tok = RegexTokenizer(inputCol=MODEL_TEXT, outputCol="_tok", pattern=r"\W+", toLowercase=True, minTokenLength=1)
+    words = f"slice(_tok, 1, {int(max_tokens)})" if max_tokens else "_tok"
+    cut = SQLTransformer(statement=f"SELECT *, {words} AS _words FROM __THIS__")
+    tf = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=num_features)
     idf = IDF(inputCol="_tf", outputCol="features")
     return [tok, cut, tf, idf]
 
 
-def text_features(df: DataFrame, feature_col: str = "title") -> DataFrame:
+def text_features(df: DataFrame, feature_col: str = "title", max_tokens: int | None = None) -> DataFrame:
     """Fit the feature stages and return (…, features)."""
-    model = Pipeline(stages=feature_stages(feature_col)).fit(df.na.fill({feature_col: ""}))
-    out = model.transform(df.na.fill({feature_col: ""}))
-    return out.withColumn("n_tokens", F.size("_tok512")).drop("_tok", "_tok512", "_tf")
-
-
-ROWS_PER_PARTITION = 100_000   # training rows per task when the row count is known
+    d = with_model_text(df, feature_col)
+    out = Pipeline(stages=feature_stages(max_tokens=max_tokens)).fit(d).transform(d)
+    return out.withColumn("n_tokens", F.size("_words")).drop("_tok", "_words", "_tf", MODEL_TEXT)
 
 
 def train_classifier(train: DataFrame, feature_col: str = "title", weighted: bool = False,
-                     label_col: str = "label", n_rows: int | None = None) -> PipelineModel:
-    """Fit features + logistic regression. Every optimizer iteration aggregates a dense gradient of
-    NUM_FEATURES doubles per partition, so when the caller knows the row count the input is
-    coalesced to ceil(n_rows / ROWS_PER_PARTITION) partitions (one for a round's sample)."""
-    if n_rows is not None:
-        train = train.coalesce(max(1, -(-n_rows // ROWS_PER_PARTITION)))
-    d = train.na.fill({feature_col: ""}).withColumn("_y", F.col(label_col).cast("double"))
+                     label_col: str = "label", max_tokens: int | None = None) -> PipelineModel:
+    """Fit features + logistic regression on (text, label) rows only. Every optimizer iteration
+    reads them again, so callers pass a written or persisted table."""
+    d = with_model_text(train.select(feature_col, label_col), feature_col).withColumn("_y", F.col(label_col).cast("double"))
     lr = LogisticRegression(featuresCol="features", labelCol="_y", maxIter=MAX_ITER, regParam=REG_PARAM,
                             predictionCol="_pred", probabilityCol="_prob", rawPredictionCol="_raw")
     if weighted:
         d = d.withColumn("_w", class_weight_col(label_col))
         lr.setWeightCol("_w")
-    return Pipeline(stages=feature_stages(feature_col) + [lr]).fit(d)
+    return Pipeline(stages=feature_stages(max_tokens=max_tokens) + [lr]).fit(d)
 
 
 def predict(model: PipelineModel, df: DataFrame, feature_col: str = "title",
             out_col: str = "predicted_label") -> DataFrame:
     """Add the predicted class (int) and the positive-class probability to every row."""
     cols = df.columns
-    scored = model.transform(df.na.fill({feature_col: ""}) if feature_col in cols else df)
+    scored = model.transform(with_model_text(df, feature_col))
     p1 = vector_to_array(F.col("_prob"))[1]
     return scored.select(*[F.col(c) for c in cols], F.col("_pred").cast("int").alias(out_col),
                          p1.alias("score"))

@@ -23,13 +23,12 @@ PROMPTS = {
     ("chat", "*"): ("Label the advertisement below. Answer 'relevant animal' only when the product "
                     "is made from shark, ray or chimaera; otherwise answer 'not a relevant animal'.\n"
                     "Advertisement: ", "\nLabel:"),
-    ("hf", "ads"): ("Label the advertisement below. Answer 'relevant animal' when the product is a real "
-                    "animal part or material (skin, leather, fur, bone, skull, shell, specimen); answer "
-                    "'not a relevant animal' for images, toys, coins, stamps, fossils or synthetics.\n"
+    ("hf", "ads"): ("Label the advertisement below. Answer 'relevant animal' when what is on sale comes "
+                    "from the body of a creature that once lived; answer 'not a relevant animal' when a creature "
+                    "is only shown, copied or named.\n"
                     "Advertisement: ", "\nLabel:"),
-    ("hf", "news"): ("Label the news article below. Answer 'relevant' when it is mainly about crude oil "
-                     "markets, prices, production, supply, demand, OPEC or refining; otherwise answer "
-                     "'not relevant'.\nArticle: ", "\nLabel:"),
+    ("hf", "news"): ("Label the news article below. Answer 'relevant' when petroleum as a business is its "
+                     "chief subject; answer 'not relevant' when it is mentioned in passing or not at all.\nArticle: ", "\nLabel:"),
 }
 # ---------------------------------------------------------------------------------------------
 
@@ -63,14 +62,20 @@ def label_from_answer(df: DataFrame, dataset: str, answer_col: str = "answer") -
     return df.withColumn(answer_col, a).withColumn("label", rule)
 
 
+def one_label_per_id(stored: DataFrame, id_col: str = "id", order_col: str | None = None) -> DataFrame:
+    """One stored label per id: the first by ``order_col``, else the smallest label."""
+    first = F.min_by("label", order_col) if order_col else F.min("label")
+    return stored.groupBy(id_col).agg(first.alias("label"))
+
+
 def label_from_table(sample: DataFrame, labels: DataFrame, id_col: str = "id") -> DataFrame:
     """Labels supplied with the data: inner join on id (only labeled rows can train)."""
-    return sample.join(labels.select(id_col, "label"), id_col, "inner")
+    return sample.join(one_label_per_id(labels, id_col), id_col, "inner")
 
 
 def reuse_labels(sample: DataFrame, stored: DataFrame, id_col: str = "id") -> DataFrame:
     """Left join stored labels; ``label`` NULL marks a row the labeler still has to answer."""
-    return sample.join(stored.select(id_col, F.col("label").alias("stored_label")), id_col, "left") \
+    return sample.join(one_label_per_id(stored, id_col).select(id_col, F.col("label").alias("stored_label")), id_col, "left") \
         .withColumn("label", F.col("stored_label")).drop("stored_label")
 
 

@@ -89,12 +89,12 @@ def _posneg(df: DataFrame, quota: int, seed, group: list[str], pred_col: str, id
     d = df.filter(F.col(pred_col).isin(0, 1))
     ranked = _rank(d, group + [pred_col], seed, id_col).filter(F.col("_rn") <= F.lit(quota))
     pos_in_group = F.sum(F.when(F.col(pred_col) == 1, 1).otherwise(0)).over(Window.partitionBy(*group))
-    j = ranked.withColumn("_pos_taken", F.least(pos_in_group, F.lit(n_pos)))
+    j = ranked.withColumn("_pos_in", pos_in_group).withColumn("_pos_taken", F.least("_pos_in", F.lit(n_pos)))
     cap = F.when(F.col(pred_col) == 1, F.lit(n_pos)).otherwise(F.lit(quota) - F.col("_pos_taken"))
     keep = F.col("_rn") <= cap
     if require_positive:
-        keep = keep & (F.col("_pos_taken") > 0)
-    return j.filter(keep).drop("_rn", "_pos_taken")
+        keep = keep & (F.col("_pos_in") > 0)
+    return j.filter(keep).drop("_rn", "_pos_in", "_pos_taken")
 
 
 def stratified_posneg_sample(df: DataFrame, per_cluster: int, seed, cluster_col: str = "label_cluster",

@@ -109,8 +109,8 @@ def classification_metrics(pred: DataFrame, keys: list[str] | None = None, label
                       2 * F.col("prec") * F.col("rec") / (F.col("prec") + F.col("rec"))).otherwise(0.0))
     n = F.sum("support")
     return per.groupBy(*keys).agg(
-        F.round(F.sum("tp") / n, 6).alias("accuracy"),
-        F.round(F.sum(F.col("prec") * F.col("support")) / n, 6).alias("precision"),
-        F.round(F.sum(F.col("rec") * F.col("support")) / n, 6).alias("recall"),
-        F.round(F.sum(F.col("f1c") * F.col("support")) / n, 6).alias("f1"),
+        (F.sum("tp") / n).alias("accuracy"),
+        (F.sum(F.col("prec") * F.col("support")) / n).alias("precision"),
+        (F.sum(F.col("rec") * F.col("support")) / n).alias("recall"),
+        (F.sum(F.col("f1c") * F.col("support")) / n).alias("f1"),
         n.alias("n"))

@@ -11,8 +11,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
-from pyspark.ml.feature import CountVectorizer, PCA, Word2Vec
+from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans, LocalLDAModel
+from pyspark.ml.feature import HashingTF, PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -22,10 +22,9 @@ from ..session import checkpoint_dir
 
 # --- fixed values (model defaults) ----------------------------------------------------------
 N_TOPICS = 10
-VOCAB_SIZE = 1 << 14     # vocabulary cap of the bag of words (most frequent terms)
-MIN_DF = 2               # a term must occur in at least 2 documents
-EMBED_DIM = 64
-MAX_FINE_TOPICS = 200    # upper bound on the fine topic count before reduction
+HASH_TERMS = 1 << 18     # width of the hashed term counts (no vocabulary: every token counts)
+EMBED_DIM = 64           # bits of a token's md5 that make its index vector
+MAX_CENTROIDS = 10_000   # centroids that may be inlined into an expression; more is an error
 # ---------------------------------------------------------------------------------------------
 
 
@@ -44,7 +43,14 @@ def tokenize(df: DataFrame, text_col: str, id_col: str = "id") -> DataFrame:
 
 
 def bag_of_words(df: DataFrame, text_col: str, id_col: str = "id") -> DataFrame:
-    return tokenize(df, text_col, id_col).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"))
+    """(id, token, n) without a shuffle: a document is one row, so its tokens are sorted in the row
+    and each run of equal ones becomes one row (its last place minus the place before its first)."""
+    s = df.select(id_col, F.array_sort(tokens(text_col)).alias("_s"))
+    after = F.concat(F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
+    z = s.select(id_col, "_s", F.posexplode(F.arrays_zip(F.col("_s"), after.alias("_a"))).alias("_p", "_x"))
+    last = z.where(F.col("_x._a").isNull() | (F.col("_x._s") != F.col("_x._a")))
+    first = F.array_position("_s", F.col("_x._s"))
+    return last.select(id_col, F.col("_x._s").alias("token"), (F.col("_p") + 2 - first).alias("n"))
 
 
 def dictionary(df: DataFrame, text_col: str, id_col: str = "id") -> DataFrame:
@@ -76,31 +82,66 @@ def _settle(df: DataFrame, *cached: DataFrame) -> DataFrame:
 
 
 def lda_topics(df: DataFrame, text_col: str, k: int = N_TOPICS, max_iter: int = 10, seed: int = 1,
-               vocab_size: int = VOCAB_SIZE, min_df: int = MIN_DF, id_col: str = "id") -> DataFrame:
+               n_terms: int = HASH_TERMS, subsampling: float = 1.0, id_col: str = "id") -> DataFrame:
     """Online LDA with k topics; each document gets its dominant topic (empty document -> 0).
 
-    Tokens and term-count vectors are persisted: the vocabulary pass, every optimizer iteration
-    and the final inference read them instead of re-running the text cleaning upstream."""
-    tok = df.select(id_col, tokens(text_col).alias("_tokens")).persist(StorageLevel.MEMORY_AND_DISK)
-    cv = CountVectorizer(inputCol="_tokens", outputCol="_bow", vocabSize=vocab_size, minDF=min_df).fit(tok)
-    bow = cv.transform(tok).select(id_col, "_bow").persist(StorageLevel.MEMORY_AND_DISK)
-    lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", featuresCol="_bow",
-              topicDistributionCol="_dist")
-    model = lda.fit(bow)
-    out = model.transform(bow).select(id_col, argmax_index(vector_to_array("_dist")).alias("label_cluster"))
-    return _settle(out, bow, tok)
-
-
-def embed_documents(df: DataFrame, text_col: str, dim: int = EMBED_DIM, min_count: int = 5, seed: int = 1,
-                    id_col: str = "id", max_iter: int = 1):
-    """Mean Word2Vec vector per document (re-aim of the transformer CLS embedding).
-    Returns (embeddings DataFrame (id, embedding array<double>), fitted Word2VecModel)."""
-    tok = df.select(id_col, tokens(text_col).alias("_tokens")).persist(StorageLevel.MEMORY_AND_DISK)
-    w2v = Word2Vec(vectorSize=dim, minCount=min_count, inputCol="_tokens", outputCol="_vec", seed=seed,
-                   maxIter=max_iter, numPartitions=max(1, df.sparkSession.sparkContext.defaultParallelism))
-    model = w2v.fit(tok)
-    emb = model.transform(tok).select(id_col, vector_to_array("_vec").alias("embedding"))
-    return _settle(emb, tok), model
+    Terms are hashed to ``n_terms`` counts, so there is no vocabulary pass, no cut of rare terms and no
+    driver state that grows. Each iteration draws ``subsampling`` x n documents with replacement
+    (the library's optimizer): with the defaults a document is missed by all iterations with
+    probability e^-10. The counts are persisted for the iterations and released afterwards."""
+    bow = hashed_counts(df, text_col, n_terms, id_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = fit_lda(bow, k, max_iter, seed, subsampling)
+        return _settle(assign_lda(model, bow, id_col))
+    finally:
+        bow.unpersist()
+
+
+def hashed_counts(df: DataFrame, text_col: str, n_terms: int = HASH_TERMS, id_col: str = "id") -> DataFrame:
+    """(id, _bow): hashed term counts of every token."""
+    tok = df.select(id_col, tokens(text_col).alias("_tokens"))
+    return HashingTF(inputCol="_tokens", outputCol="_bow", numFeatures=n_terms).transform(tok).select(id_col, "_bow")
+
+
+def fit_lda(bow: DataFrame, k: int, max_iter: int = 10, seed: int = 1, subsampling: float = 1.0):
+    """A fitted LDA model; save it with ``model.write().save`` and load it with ``load_lda``."""
+    return LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=subsampling, featuresCol="_bow",
+               topicDistributionCol="_dist").fit(bow)
+
+
+def load_lda(path: str):
+    return LocalLDAModel.load(path)
+
+
+def assign_lda(model, bow: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, label_cluster) of new or old texts under a fitted model."""
+    return model.transform(bow).select(id_col, argmax_index(vector_to_array("_dist")).alias("label_cluster"))
+
+
+def index_bits(token, dim: int = EMBED_DIM) -> list[Column]:
+    """The token's index vector as ``dim`` numbers 1 / -1: the bits of its md5 (random indexing)."""
+    t = F.col(token) if isinstance(token, str) else token
+    if not 0 < dim <= 128:
+        raise ValueError("md5 gives 128 bits")
+    words = [F.conv(F.substring(F.md5(t), 1 + 8 * k, 8), 16, 10).cast("long") for k in range(-(-dim // 32))]
+    return [2 * F.shiftright(words[i // 32], i % 32).bitwiseAND(1) - 1 for i in range(dim)]
+
+
+def embed_documents(df: DataFrame, text_col: str, dim: int = EMBED_DIM, id_col: str = "id") -> DataFrame:
+    """(id, embedding): mean index vector of the document's tokens (re-aim of the transformer CLS embedding).
+
+    Every token counts, nothing is fitted, and the result depends on the text alone. One partial
+    aggregation by id; a document without tokens gets the zero vector."""
+    tok = df.select(id_col, F.explode_outer(tokens(text_col)).alias("_t"))
+    tok = tok.select(id_col, *[x.alias(f"_{i}") for i, x in enumerate(index_bits("_t", dim))])
+    mean = tok.groupBy(id_col).agg(*[F.coalesce(F.avg(f"_{i}"), F.lit(0.0)).alias(f"_{i}") for i in range(dim)])
+    return _settle(mean.select(id_col, F.array(*[F.col(f"_{i}") for i in range(dim)]).alias("embedding")))
+
+
+def word_vectors(df: DataFrame, text_col: str, dim: int = EMBED_DIM) -> DataFrame:
+    """(word, vector) of every distinct token: words and documents share one space."""
+    w = df.select(F.explode(tokens(text_col)).alias("word")).distinct()
+    return w.select("word", F.array(*[x.cast("double") for x in index_bits("word", dim)]).alias("vector"))
 
 
 def project_embeddings(emb: DataFrame, k: int = 2, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
@@ -134,10 +175,10 @@ def centroids(df: DataFrame, group_col: str, vec_col: str, dim: int) -> DataFram
 
 
 def _collect_centroids(cents: DataFrame, group_col: str) -> list[tuple[int, list[float]]]:
-    """The centroid table, checked against MAX_FINE_TOPICS before it reaches the driver."""
-    rows = cents.limit(MAX_FINE_TOPICS + 1).collect()
-    if len(rows) > MAX_FINE_TOPICS:
-        raise ValueError(f"more than {MAX_FINE_TOPICS} centroids; refusing to inline them")
+    """The centroid table, checked against MAX_CENTROIDS before it reaches the driver."""
+    rows = cents.limit(MAX_CENTROIDS + 1).collect()
+    if len(rows) > MAX_CENTROIDS:
+        raise ValueError(f"more than {MAX_CENTROIDS} centroids; refusing to inline them")
     return sorted((int(r[group_col]), list(r["centroid"])) for r in rows)
 
 
@@ -169,7 +210,6 @@ def nearest_centroid(df: DataFrame, cents: DataFrame, group_col: str, vec_col: s
 def fine_topics(emb: DataFrame, k_fine: int = 2 * N_TOPICS, seed: int = 1, id_col: str = "id",
                 vec_col: str = "embedding") -> DataFrame:
     """Many fine topics: bisecting k-means in the embedding space, doc -> nearest centroid."""
-    k_fine = min(k_fine, MAX_FINE_TOPICS)
     v = emb.select(id_col, vec_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     m = BisectingKMeans(k=k_fine, seed=seed, featuresCol="_v", predictionCol="_c").fit(v)
@@ -181,14 +221,14 @@ def reduce_topics(assigned: DataFrame, k: int, topic_col: str = "fine_topic", ve
     """Hierarchical reduction to k topics, only when there are more than k: repeatedly merge the
     smallest topic into its most cosine-similar topic (size-weighted centroid).
 
-    Centroids come from one Spark aggregation; the merge runs on at most MAX_FINE_TOPICS rows on
+    Centroids come from one Spark aggregation; the merge runs on one row per fine topic on
     the driver; the old -> new mapping goes back as a literal map (bounded), not a join.
     """
     if dim is None:
         dim = len(assigned.select(vec_col).first()[0])
-    cents = centroids(assigned, topic_col, vec_col, dim).limit(MAX_FINE_TOPICS + 1).collect()
-    if len(cents) > MAX_FINE_TOPICS:
-        raise ValueError(f"more than {MAX_FINE_TOPICS} fine topics")
+    cents = centroids(assigned, topic_col, vec_col, dim).limit(MAX_CENTROIDS + 1).collect()
+    if len(cents) > MAX_CENTROIDS:
+        raise ValueError(f"more than {MAX_CENTROIDS} fine topics")
     topics = {int(r[topic_col]): (np.array(r["centroid"], dtype=float), int(r["size"])) for r in cents}
     members = {t: {t} for t in topics}
     while len(topics) > k:
@@ -212,11 +252,10 @@ def reduce_topics(assigned: DataFrame, k: int, topic_col: str = "fine_topic", ve
     return assigned.select(id_col, mp[F.col(topic_col)].cast("int").alias("label_cluster"))
 
 
-def topic_words_by_vector(w2v_model, cents: DataFrame, group_col: str = "label_cluster", n: int = 10) -> DataFrame:
-    """Words nearest (cosine) to each topic centroid, top n per topic, from the word-vector table."""
+def topic_words_by_vector(words: DataFrame, cents: DataFrame, group_col: str = "label_cluster", n: int = 10) -> DataFrame:
+    """Words nearest (cosine) to each topic centroid, top n per topic, from a (word, vector) table."""
     rows = _collect_centroids(cents, group_col)
-    words = w2v_model.getVectors().select("word", vector_to_array("vector").alias("_v"))
-    scored = words.select("word", F.explode(_cosine_to_literals(F.col("_v"), rows)).alias("s"))
+    scored = words.select("word", F.explode(_cosine_to_literals(F.col("vector"), rows)).alias("s"))
     scored = scored.select(F.col("s.topic").alias(group_col), "word", F.col("s.score").alias("score"))
     w = Window.partitionBy(group_col).orderBy(F.col("score").desc(), F.col("word"))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
@@ -254,23 +293,24 @@ def dense_arms(assign: DataFrame, cluster_col: str = "label_cluster", out_col: s
 
 
 def cluster(df: DataFrame, method: str, k: int = N_TOPICS, text_col: str = "topic_text", id_col: str = "id",
-            seed: int = 1, **kw) -> DataFrame:
+            seed: int = 1, embeddings: DataFrame | None = None, **kw) -> DataFrame:
     """Method dispatch -> (id, label_cluster) with dense ids.
 
-    lda: online LDA on the bag of words. kmeans: KMeans on mean word vectors.
-    fine: bisecting k-means on word vectors into 2k fine topics, reduced to k.
+    lda: online LDA on hashed term counts. kmeans: KMeans on document vectors.
+    fine: bisecting k-means on document vectors into 2k fine topics, reduced to k.
+    ``embeddings`` (id, embedding) replaces the document vectors of the last two.
     """
     if method == "lda":
         a = lda_topics(df, text_col, k, seed=seed, id_col=id_col, **kw)
     elif method == "kmeans":
-        emb, _ = embed_documents(df, text_col, seed=seed, id_col=id_col)
+        emb = embeddings if embeddings is not None else embed_documents(df, text_col, id_col=id_col)
         a = kmeans_topics(emb, k, seed=seed, id_col=id_col, **kw)
     elif method == "fine":
-        emb, _ = embed_documents(df, text_col, seed=seed, id_col=id_col)
+        emb = embeddings if embeddings is not None else embed_documents(df, text_col, id_col=id_col)
         fine = fine_topics(emb, 2 * k, seed=seed, id_col=id_col)
         n_fine = fine.select("fine_topic").distinct().count()
         if n_fine > k:
-            a = reduce_topics(fine, k, id_col=id_col, dim=EMBED_DIM)
+            a = reduce_topics(fine, k, id_col=id_col)
         else:
             a = fine.select(id_col, F.col("fine_topic").alias("label_cluster"))
     else:

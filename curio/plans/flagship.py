@@ -34,7 +34,7 @@ def clustered_pool(spark: SparkSession, pool: DataFrame, store_root: str, method
     pre = P.feature_text(P.preprocess_pool(pool), "news")
     assign = io.cluster_cache(spark, store_root, "news", method, k,
                               lambda: TP.cluster(pre.select("id", "topic_text"), method, k, "topic_text",
-                                                 seed=seed, **({"n_init": 3} if method == "kmeans" else {})))
+                                                 seed=seed))
     return pre.join(assign.select("id", F.col("label_cluster").cast("int").alias("label_cluster")), "id")
 
 
@@ -53,7 +53,7 @@ def active_learning(spark: SparkSession, sf_dir: str, method: str = "lda", k: in
     # from the raw documents; the pool is partitioned by arm so an arm filter prunes folders
     cp.select("id", "title", "clean_title", "label_cluster").write.mode("overwrite") \
         .partitionBy("label_cluster").parquet(f"{root}/pool")
-    validation.select("title", "label").write.mode("overwrite").parquet(f"{root}/validation")
+    P.preprocess_pool(validation).select("title", "clean_title", "label").write.mode("overwrite").parquet(f"{root}/validation")
     pool.select("id", "label").write.mode("overwrite").parquet(f"{root}/labels")
     cp = spark.read.parquet(f"{root}/pool")
     validation = spark.read.parquet(f"{root}/validation")

@@ -135,8 +135,8 @@ def run_loop(spark: SparkSession, pool: DataFrame, validation: DataFrame, labele
             _append_row(spark, store, "results", RESULTS, (cfg.run_id, step, arm, None, None, None, None, None, 0))
             continue
 
-        labeled = labeler(sample).select(*key, F.lit(arm).alias("arm"), "id", cfg.feature_col, "label")
-        labeled = labeled.withColumnRenamed(cfg.feature_col, "title") if cfg.feature_col != "title" else labeled
+        # the log's column ``title`` holds the text the model reads, whatever column it comes from
+        labeled = labeler(sample).select(*key, F.lit(arm).alias("arm"), "id", F.col(cfg.feature_col).alias("title"), "label")
         io.append(labeled.select(*[c.name for c in LABELED.fields]), store.path("labeled"))
         io.append(sample.select(*key, "id"), store.path("ledger"))
 
@@ -150,6 +150,7 @@ def run_loop(spark: SparkSession, pool: DataFrame, validation: DataFrame, labele
                  .dropDuplicates(["id"]))
         if cfg.balance:
             train = SM.balance_two_to_one(train, f"{cfg.seed}:{cfg.run_id}:{step}:b", ["run_id"])
+        io.append(train.select("run_id", F.lit(step).alias("step"), "id", "title", "label"), store.path("training"))
         train = train.cache()
         # one job fills the cache and gives both the class counts and the row count (labels are 0/1)
         flags = class_ratio_flags(train, ["run_id"]).first()
@@ -159,8 +160,8 @@ def run_loop(spark: SparkSession, pool: DataFrame, validation: DataFrame, labele
             metrics = {"accuracy": None, "precision": None, "recall": None, "f1": None}
             cand = None
         else:
-            cand = C.train_classifier(train, "title", weighted, n_rows=n_train)
-            metrics = C.evaluate(cand, validation, "title").first().asDict()
+            cand = C.train_classifier(train, "title", weighted)
+            metrics = C.evaluate(cand, validation, cfg.feature_col).first().asDict()
         train.unpersist()
         metric = metrics.get(cfg.metric)
         reward = BD.DEAD_REWARD if metric is None else metric - baseline

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import bandit as BD
 from ..operators import classify as C
 from ..sources import bind as B
+from ..session import scratch_path
+from . import sqlbits as S
 from .flagship import active_learning as _al
 from .flagship import labeled_splits
 from .registry import query
@@ -15,11 +17,14 @@ from .registry import query
 
 def _fit(spark, d, weighted):
     pool, validation = labeled_splits(spark, d)
-    n = pool.count()          # one pass; lets the fit size its partitions for 20+ optimizer passes
-    return C.train_classifier(pool, "title", weighted, n_rows=n), pool, validation
+    path = scratch_path(spark, "train")   # the passes of the fit read this narrow table, not the documents
+    pool.select("id", "title", "label").write.parquet(path)
+    pool = spark.read.parquet(path)
+    return C.train_classifier(pool, "title", weighted), pool, validation
 
 
-@query("text_features")
+@query("text_features", f"""SELECT id, CAST(len(list_filter(string_split_regex(lower(coalesce(title, '')), '[^a-zA-Z0-9_]+'),
+  lambda x: x <> '')) AS INTEGER) AS n_tokens FROM ({S.LABELED_POOL}) WHERE doc_id % {B.TEST_SPLIT_MOD} <> 0""")
 def text_features(spark, d):
     pool, _ = labeled_splits(spark, d)
     f = C.text_features(pool, "title")

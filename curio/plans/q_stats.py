@@ -99,7 +99,8 @@ def classification_metrics(spark, d):
     lab = B.table(spark, d, "labels")
     p = docs.join(lab, "doc_id").select("lang", F.col("toxic").alias("label"),
                                         (F.col("n_chars") % 2).cast("int").alias("prediction"))
-    return ST.classification_metrics(p, ["lang"])
+    m = ST.classification_metrics(p, ["lang"])
+    return m.select(*[F.round(c, 6).alias(c) if c in ("accuracy", "precision", "recall", "f1") else F.col(c) for c in m.columns])
 
 
 @query("dense_arms", """SELECT vec_id, label * 2 AS cluster, CAST(dense_rank() OVER (ORDER BY label * 2) - 1 AS INTEGER) AS arm

@@ -116,10 +116,19 @@ def lda_topics(spark, d):
     return TP.lda_topics(_docs(spark, d), "topic_text", K, max_iter=10, seed=SEED)
 
 
-@query("embed_documents")
+def _bit(i):
+    return f"2 * ((CAST('0x' || substr(md5(token), {1 + 8 * (i // 32)}, 8) AS BIGINT) >> {i % 32}) & 1) - 1"
+
+
+EMBED_SQL = f"""SELECT id, {', '.join(f"coalesce(avg({_bit(i)}), 0.0) AS x{i}" for i in range(TP.EMBED_DIM))}
+FROM (SELECT d.id, t.token FROM ({DOCS_SQL}) d LEFT JOIN (SELECT id, unnest({TOK_LIST}) AS token FROM ({DOCS_SQL})) t ON d.id = t.id)
+GROUP BY id"""
+
+
+@query("embed_documents", "SELECT id, " + ", ".join(f"round(x{i}, 6) AS x{i}" for i in range(TP.EMBED_DIM)) + f" FROM ({EMBED_SQL})")
 def embed_documents(spark, d):
-    emb, _ = TP.embed_documents(_docs(spark, d), "topic_text", seed=SEED)
-    return emb.select("id", F.size("embedding").alias("n_dims"))
+    emb = TP.embed_documents(_docs(spark, d), "topic_text")
+    return emb.select("id", *[F.round(F.col("embedding")[i], 6).alias(f"x{i}") for i in range(TP.EMBED_DIM)])
 
 
 def _vectors(spark, d):
@@ -133,7 +142,7 @@ def project_embeddings(spark, d):
 
 @query("kmeans_topics")
 def kmeans_topics(spark, d):
-    return TP.kmeans_topics(_vectors(spark, d), K, n_init=3, seed=SEED)
+    return TP.kmeans_topics(_vectors(spark, d), K, seed=SEED)
 
 
 @query("fine_topics")
@@ -150,9 +159,9 @@ def reduce_topics(spark, d):
 @query("topic_words_by_vector")
 def topic_words_by_vector(spark, d):
     docs = _docs(spark, d)
-    emb, model = TP.embed_documents(docs, "topic_text", seed=SEED)
+    emb = TP.embed_documents(docs, "topic_text")
     cents = TP.centroids(emb.join(docs.select("id", "label_cluster"), "id"), "label_cluster", "embedding", TP.EMBED_DIM)
-    return TP.topic_words_by_vector(model, cents, "label_cluster", TOPN)
+    return TP.topic_words_by_vector(TP.word_vectors(docs, "topic_text"), cents, "label_cluster", TOPN)
 
 
 @query("cluster_methods")
@@ -160,7 +169,6 @@ def cluster_methods(spark, d):
     docs = _docs(spark, d)
     out = None
     for m in ("lda", "kmeans", "fine"):
-        kw = {"n_init": 3} if m == "kmeans" else {}
-        a = TP.cluster(docs, m, K, text_col="topic_text", seed=SEED, **kw).withColumn("method", F.lit(m))
+        a = TP.cluster(docs, m, K, text_col="topic_text", seed=SEED).withColumn("method", F.lit(m))
         out = a if out is None else out.unionByName(a)
     return out
