@@ -48,10 +48,12 @@ def prompt_expr(labeler_col, dataset_col, body) -> F.Column:
     return expr.otherwise(F.lit(None).cast("string"))
 
 
-def build_prompts(sample: DataFrame, labeler: str, dataset: str, text_col: str) -> DataFrame:
-    """Inference table (id, title, training_text, text = prompt of the truncated item text)."""
+def build_prompts(sample: DataFrame, labeler: str, dataset: str, text_col: str,
+                  max_chars: int | None = None) -> DataFrame:
+    """Inference table (id, title, training_text, text = prompt of the item text).
+    The whole text goes in unless the caller sets ``max_chars``."""
     pre, suf = template(labeler, dataset) or (None, None)
-    body = T.truncate_text(text_col)
+    body = T.truncate_text(text_col, max_chars) if max_chars else F.col(text_col)
     prompt = F.concat(F.lit(pre), body, F.lit(suf)) if pre is not None else F.lit(None).cast("string")
     return sample.select("id", "title", F.col("clean_title").alias("training_text"), prompt.alias("text"))
 
@@ -79,6 +81,19 @@ def reuse_labels(sample: DataFrame, stored: DataFrame, id_col: str = "id") -> Da
         .withColumn("label", F.col("stored_label")).drop("stored_label")
 
 
+def label_or_ask(sample: DataFrame, stored: DataFrame, dataset: str, labeler: Callable[[pd.DataFrame], pd.DataFrame],
+                 text_col: str = "title", template_of: str = "hf", max_chars: int | None = None) -> DataFrame:
+    """Every sampled row with a label: the stored one, else the labeler's answer to its prompt.
+
+    One row per sampled row; only rows without a stored label reach the labeler. An id sampled
+    twice keeps both rows and gets one label."""
+    reused = reuse_labels(sample, stored)
+    todo = reused.filter(F.col("label").isNull()).drop("label")
+    asked = apply_labeler(build_prompts(todo, template_of, dataset, text_col, max_chars), labeler)
+    answers = one_label_per_id(label_from_answer(asked, dataset))
+    return reused.filter(F.col("label").isNotNull()).unionByName(todo.join(answers, "id"))
+
+
 def needs_label(sample: DataFrame, stored: DataFrame, id_col: str = "id") -> DataFrame:
     return sample.join(stored.select(id_col), id_col, "left_anti")
 

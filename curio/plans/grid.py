@@ -1,4 +1,4 @@
-"""Experiment grid: methods x balance x repeats (x classifier filter), one isolated run per config.
+"""Experiment grid: datasets x methods x balance x repeats (x classifier filter), one isolated run per config.
 
 Each configuration gets its own ``run_id``, so runs share one set of append-only logs without
 clobbering each other (no state files to delete between runs). Results of all runs are one table;
@@ -12,32 +12,37 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .flagship import active_learning
 
 METHODS = ("lda", "kmeans", "fine")
 
 
-def grid_configs(methods=METHODS, balance=(True, False), repeats: int = 3, filter_label=(False,)) -> list[dict]:
+def grid_configs(methods=METHODS, balance=(True, False), repeats: int = 3, filter_label=(False,),
+                 datasets=("news",)) -> list[dict]:
     out = []
-    for m, b, f, r in itertools.product(methods, balance, filter_label, range(1, repeats + 1)):
-        out.append({"method": m, "balance": b, "filter_label": f, "repeat": r,
-                    "run_id": f"{m}_balance{b}_filter{f}_run{r}"})
+    for d, m, b, f, r in itertools.product(datasets, methods, balance, filter_label, range(1, repeats + 1)):
+        out.append({"dataset": d, "method": m, "balance": b, "filter_label": f, "repeat": r,
+                    "run_id": f"{d}_{m}_balance{b}_filter{f}_run{r}"})
     return out
 
 
 def run_grid(spark: SparkSession, sf_dir: str, configs: list[dict], rounds: int = 10, k: int = 10) -> DataFrame:
-    """Run every configuration (sequentially: each run is itself a chain of distributed jobs)."""
+    """Run every configuration (sequentially: each run is itself a chain of distributed jobs). All
+    runs share one set of logs; each repeat has its own seed, for the topic fit as for the draws."""
+    root = scratch_path(spark, "grid")
     results = None
     for c in configs:
         r = active_learning(spark, sf_dir, method=c["method"], k=k, rounds=rounds, balance=c["balance"],
-                            filter_label=c["filter_label"], run_id=c["run_id"])
-        r = r.select("*", *[F.lit(c[x]).alias(x) for x in ("method", "balance", "filter_label", "repeat")])
+                            filter_label=c["filter_label"], run_id=c["run_id"], store_root=root,
+                            dataset=c["dataset"], seed=c["repeat"])
+        r = r.select("*", *[F.lit(c[x]).alias(x) for x in ("dataset", "method", "balance", "filter_label", "repeat")])
         results = r if results is None else results.unionByName(r)
     return results
 
 
 def summarize(results: DataFrame, baseline: float = 0.5) -> DataFrame:
-    keys = ["method", "balance", "filter_label"]
+    keys = ["dataset", "method", "balance", "filter_label"]
     per_run = results.groupBy("run_id", *keys).agg(
         F.greatest(F.lit(baseline), F.coalesce(F.max(F.when(F.col("accepted"), F.col("metric"))), F.lit(baseline)))
         .alias("final_metric"))

@@ -73,3 +73,39 @@ def thompson_round(spark, d):
 @query("active_learning")
 def active_learning(spark, d):
     return _al(spark, d, method="lda", k=10, rounds=10, strategy="thompson", balance=True, run_id="al")
+
+
+FACTS_SAMPLE = 60
+
+
+def _rows(df):
+    return df.agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("loop_facts", f"""SELECT 'news' AS dataset, count(*) AS pool_rows, 3 AS n_rounds, 0 AS repeated_ids, 0 AS unlabeled,
+  0 AS relabeled, 0 AS oversized FROM documents
+WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id % {B.TEST_SPLIT_MOD} = 0)
+UNION ALL SELECT 'ads', count(*), 3, 0, 0, 0, 0 FROM part WHERE p_name IS NOT NULL AND p_partkey % {B.TEST_SPLIT_MOD} <> 0""")
+def loop_facts(spark, d):
+    """Three rounds over each dataset's whole pool, told from the logs they left: pool size, ids
+    drawn twice, drawn rows without a label, stored labels not kept, draws above the sample size."""
+    out = None
+    for ds in ("news", "ads"):
+        root = scratch_path(spark, f"facts-{ds}")
+        res = _al(spark, d, method="lda", k=5, rounds=3, sample_size=FACTS_SAMPLE, run_id=ds, store_root=root, dataset=ds)
+        tables = [spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/{t}") for t in ("pool", "labels")]
+        drawn = spark.read.parquet(f"{root}/ledger")
+        labeled = spark.read.parquet(f"{root}/labeled").select("id", "label")
+        facts = {"pool_rows": _rows(tables[0]), "n_rounds": _rows(res),
+                 "repeated_ids": _rows(drawn.groupBy("id").count().filter("count > 1")),
+                 "unlabeled": _rows(drawn.join(labeled.filter("label IN (0, 1)"), "id", "left_anti")),
+                 "relabeled": _rows(labeled.join(tables[1].withColumnRenamed("label", "stored"), "id").filter("label <> stored")),
+                 "oversized": _rows(drawn.groupBy("step").count().filter(F.col("count") > FACTS_SAMPLE))}
+        rows = None
+        for name, df in facts.items():
+            part = df.select(F.lit(name).alias("fact"), "n")
+            rows = part if rows is None else rows.unionByName(part)
+        one_row = rows.groupBy(F.lit(ds).alias("dataset")).agg(
+            *[F.max(F.when(F.col("fact") == f, F.col("n"))).alias(f) for f in facts])
+        out = one_row if out is None else out.unionByName(one_row)
+    return out

@@ -162,7 +162,7 @@ def _prompt_sql(labeler: str, dataset: str, body: str) -> str:
 FROM ({S.POOL_NULL_TITLES}) WHERE title IS NOT NULL""")
 def build_prompts(spark, d):
     pre = P.preprocess_pool(B.pool_with_null_titles(spark, d))
-    return LB.build_prompts(pre, "hf", "news", "clean_text")
+    return LB.build_prompts(pre, "hf", "news", "clean_text", T.PROMPT_MAX_CHARS)
 
 
 def _dispatch_sql() -> str:

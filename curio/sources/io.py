@@ -78,20 +78,34 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def cluster_cache(spark: SparkSession, root: str, dataset: str, method: str, k: int,
-                  compute: Callable[[], DataFrame]) -> DataFrame:
-    """Read the (id, label_cluster) assignment for (dataset, method, k), computing it once.
+                  compute: Callable[[], DataFrame], version: str = "all", rows: int | None = None) -> DataFrame:
+    """Read the (id, label_cluster) assignment for (dataset, method, k, version), computing it once.
 
-    The table is partitioned by ``label_cluster`` so a per-arm read prunes to one folder.
-    Writing it also cuts the lineage of the topic model fit.
+    ``version`` names what else the assignment depends on (seed, text column, pool content) and
+    ``rows`` is the pool's size. The table is partitioned by ``label_cluster`` so a per-arm read
+    prunes to one folder. Writing it also cuts the lineage of the topic model fit.
     """
-    path = f"{root}/clusters/dataset={dataset}/method={method}/k={k}"
+    path = f"{root}/clusters/dataset={dataset}/method={method}/k={k}/version={version}"
+    return write_once(spark, path, compute, ["label_cluster"], rows)
+
+
+def write_once(spark: SparkSession, path: str, compute: Callable[[], DataFrame],
+               partition_by: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """The table at ``path``, written from ``compute`` when it is absent or does not hold ``rows``
+    rows (a write cut short). A fresh table of another size is an error: no row is lost unseen."""
     try:
-        return spark.read.parquet(path)
+        found = spark.read.parquet(path)
+        if rows is None or found.count() == rows:
+            return found
     except AnalysisException as e:
         if not _absent(e):
             raise
-    compute().write.mode("overwrite").partitionBy("label_cluster").parquet(path)
-    return spark.read.parquet(path)
+    df = compute()
+    df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    if rows is not None and (n := made.count()) != rows:
+        raise ValueError(f"{path} holds {n} rows instead of {rows}: ids must be unique and not null")
+    return made
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -85,3 +85,43 @@ def test_loop_dead_arms_are_penalised(spark):
     dead = [r for r in res if r["metric"] is None]
     assert len(dead) >= 2                      # each draw empties its arm; repeats find nothing
     assert all(r["reward"] == -1.0 and not r["accepted"] for r in dead)
+
+
+def test_label_or_ask_uses_the_stored_label_first(spark):
+    from curio.operators import labels as LB
+    sample = spark.createDataFrame([("1", "shark tooth"), ("2", "shark fin"), ("3", None), ("3", None)],
+                                   "id string, title string").withColumn("clean_title", F.col("title"))
+    stored = spark.createDataFrame([("1", 0), ("1", 0)], "id string, label int")
+    got = LB.label_or_ask(sample, stored, "news", LB.keyword_labeler(["shark"], "relevant", "not relevant"))
+    assert sorted((r["id"], r["label"]) for r in got.collect()) == [("1", 0), ("2", 1), ("3", 0), ("3", 0)]
+
+
+def test_loop_pool_is_every_row_outside_the_validation_set(spark):
+    from curio.plans.flagship import loop_tables
+    for ds, table in (("news", "documents"), ("ads", "part")):
+        pool, validation, stored = loop_tables(spark, SF_SMALL, ds)
+        total = spark.read.parquet(f"{SF_SMALL}/{table}.parquet").count()
+        assert pool.count() + validation.count() == total
+        assert pool.join(stored, "id", "left_anti").count() > 0        # rows that the labeler must answer
+
+
+def test_cluster_cache_sees_a_grown_pool(spark):
+    from curio.plans.flagship import clustered_pool
+    from curio.session import scratch_path
+    root = scratch_path(spark, "grown")
+    pool = spark.range(60).select(F.col("id").cast("string").alias("id"),
+                                  F.concat(F.lit("title "), F.col("id") % 7).alias("title"),
+                                  F.concat(F.lit("body word"), F.col("id") % 5).alias("text"))
+    assert clustered_pool(spark, pool.limit(30), root, "lda", 2).count() == 30
+    assert clustered_pool(spark, pool, root, "lda", 2).count() == 60
+
+
+def test_write_once_repairs_a_short_table_and_refuses_lost_rows(spark):
+    import pytest
+    from curio.session import scratch_path
+    from curio.sources import io
+    path = scratch_path(spark, "once")
+    spark.range(3).write.parquet(path)
+    assert io.write_once(spark, path, lambda: spark.range(5), rows=5).count() == 5
+    with pytest.raises(ValueError):
+        io.write_once(spark, scratch_path(spark, "lost"), lambda: spark.range(4), rows=5)
