@@ -82,8 +82,9 @@ def _rows(df):
     return df.agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("loop_facts", f"""SELECT 'news' AS dataset, count(*) AS pool_rows, 3 AS n_rounds, 0 AS repeated_ids, 0 AS unlabeled,
-  0 AS relabeled, 0 AS oversized FROM documents
+@query("loop_facts", f"""SELECT 'news' AS dataset, count(*) AS pool_rows, CAST(3 AS BIGINT) AS n_rounds,
+  CAST(0 AS BIGINT) AS repeated_ids, CAST(0 AS BIGINT) AS unlabeled, CAST(0 AS BIGINT) AS relabeled,
+  CAST(0 AS BIGINT) AS oversized FROM documents
 WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id % {B.TEST_SPLIT_MOD} = 0)
 UNION ALL SELECT 'ads', count(*), 3, 0, 0, 0, 0 FROM part WHERE p_name IS NOT NULL AND p_partkey % {B.TEST_SPLIT_MOD} <> 0""")
 def loop_facts(spark, d):
