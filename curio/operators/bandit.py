@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sample import balance_two_to_one
+
 # --- fixed values (bandit defaults) ---------------------------------------------------------
 PRIOR_ALPHA = 0.5
 PRIOR_BETA = 0.5
@@ -168,16 +170,6 @@ def choose_arm(posterior: DataFrame, step_col: F.Column | None = None, seed: int
                                        F.max("theta").alias("theta"))
 
 
-def draw_arm(posterior_rows, seed, run_id: str, step: int) -> int:
-    """Driver-side Thompson draw over the K collected posterior rows of one run (K is the arm
-    count, a small bound). Seeded per (seed, run, step) so a restarted round draws the same."""
-    import zlib
-    rows = sorted((int(r["arm"]), float(r["alpha"]), float(r["beta"])) for r in posterior_rows)
-    rng = np.random.default_rng(zlib.crc32(f"{seed}:{run_id}:{step}".encode()))
-    theta = [rng.beta(a, b) for _, a, b in rows]
-    return rows[int(np.argmax(theta))][0]
-
-
 def carry_intervals(labeled: DataFrame, accepted: DataFrame) -> DataFrame:
     """Positive rows of each round with the step that releases them from the carry-over buffer.
 
@@ -197,3 +189,27 @@ def positive_buffer(labeled: DataFrame, accepted: DataFrame) -> DataFrame:
     iv = carry_intervals(labeled, accepted).filter(F.col("released_at").isNull())
     w = Window.partitionBy("run_id", "id").orderBy(F.col("step").desc())
     return iv.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "released_at")
+
+
+def accepted_training_rows(labeled: DataFrame, accepted: DataFrame, seed, balance: bool = True) -> DataFrame:
+    """The training set behind every accepted round: its own labels, the positives it releases from
+    the carry-over buffer, one row per id (a positive label wins), negatives cut to 2 : 1."""
+    released = carry_intervals(labeled, accepted).filter(F.col("released_at").isNotNull())
+    released = released.select("run_id", F.col("released_at").alias("step"), "id", "title", "label")
+    rounds = accepted.filter("accepted").select("run_id", "step")
+    own = labeled.filter(F.col("label") == 0).join(rounds, ["run_id", "step"], "left_semi")
+    rows = released.unionByName(own.select(*released.columns)).groupBy("run_id", "step", "id").agg(
+        F.max(F.struct("label", "title")).alias("_r"))
+    rows = rows.select("run_id", "step", "id", "_r.title", "_r.label")
+    return balance_two_to_one(rows, seed, ["run_id", "step"]) if balance else rows
+
+
+def results_by_arm(rounds: DataFrame, metrics: list[str]) -> DataFrame:
+    """Per run and arm: rounds, accepted rounds, and a JSON list of its rounds in order of step with
+    their metrics (six decimals as text, null for a dead round). One group holds an arm's rounds."""
+    shown = [F.round(F.col(m), 6).cast("decimal(18,6)").cast("string").alias(m) for m in metrics]
+    return rounds.groupBy("run_id", "arm").agg(
+        F.count(F.lit(1)).alias("n_rounds"),
+        F.sum(F.col("accepted").cast("int")).cast("bigint").alias("n_accepted"),
+        F.to_json(F.array_sort(F.collect_list(F.struct("step", *shown, "accepted"))),
+                  {"ignoreNullFields": "false"}).alias("rounds_json"))

@@ -1,6 +1,6 @@
 """The active-learning loop: one small chain of Spark jobs per round, state in append-only logs.
 
-Per round: choose an arm from the reward log (K rows reach the driver), exclude the run's seen
+Per round: choose an arm from the reward log (one row reaches the driver), exclude the run's seen
 ids, sample (optionally scoring the arm with the current classifier), label, mix in carried
 positives, balance, train, evaluate on the validation table (one metric row reaches the driver),
 then append the ledger, labeled rows, result and reward. Every input of a round is re-read from
@@ -118,7 +118,7 @@ def run_loop(spark: SparkSession, pool: DataFrame, validation: DataFrame, labele
         if cfg.strategy == "thompson":
             rewards = store.log(spark, "rewards", REWARDS, cfg.run_id, before=step)
             post = posterior_for_run(spark, rewards, cfg.run_id, n_arms, cfg.decay)
-            arm = BD.draw_arm(post.collect(), cfg.seed, cfg.run_id, step)
+            arm = BD.choose_arm(post, F.lit(step), cfg.seed).first()["chosen_arm"]
             sample = thompson_sample(pool, ledger, arm, cfg, step, model if filter_on else None)
         elif cfg.strategy == "random":
             arm = -1
@@ -137,8 +137,8 @@ def run_loop(spark: SparkSession, pool: DataFrame, validation: DataFrame, labele
 
         # the log's column ``title`` holds the text the model reads, whatever column it comes from
         labeled = labeler(sample).select(*key, F.lit(arm).alias("arm"), "id", F.col(cfg.feature_col).alias("title"), "label")
-        io.append(labeled.select(*[c.name for c in LABELED.fields]), store.path("labeled"))
-        io.append(sample.select(*key, "id"), store.path("ledger"))
+        io.append(labeled.select(*[c.name for c in LABELED.fields]), store.path("labeled"), ["run_id"])
+        io.append(sample.select(*key, "id"), store.path("ledger"), ["run_id"])
 
         # training rows: this round's labels + positives carried from rejected rounds
         logged = store.log(spark, "labeled", LABELED, cfg.run_id, before=step + 1)
@@ -150,7 +150,7 @@ def run_loop(spark: SparkSession, pool: DataFrame, validation: DataFrame, labele
                  .dropDuplicates(["id"]))
         if cfg.balance:
             train = SM.balance_two_to_one(train, f"{cfg.seed}:{cfg.run_id}:{step}:b", ["run_id"])
-        io.append(train.select("run_id", F.lit(step).alias("step"), "id", "title", "label"), store.path("training"))
+        io.append(train.select("run_id", F.lit(step).alias("step"), "id", "title", "label"), store.path("training"), ["run_id"])
         train = train.cache()
         # one job fills the cache and gives both the class counts and the row count (labels are 0/1)
         flags = class_ratio_flags(train, ["run_id"]).first()
@@ -197,7 +197,7 @@ def resume_point(spark: SparkSession, store: Store, cfg: LoopConfig):
 
 
 def _append_row(spark: SparkSession, store: Store, name: str, schema, row: tuple) -> None:
-    io.append(spark.createDataFrame([row], schema).coalesce(1), store.path(name))
+    io.append(spark.createDataFrame([row], schema).coalesce(1), store.path(name), ["run_id"])
 
 
 def final_report(spark: SparkSession, store: Store, run_id: str, n_arms: int, decay: float = BD.DECAY) -> DataFrame:

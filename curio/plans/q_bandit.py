@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.hashing import sql_draw_key
 from ..operators import bandit as BD
 from ..operators import stats as ST
 from ..sources import bind as B
@@ -110,11 +111,23 @@ def labeled_log(spark, d):
     return B.labeled_log(spark, d).select("run_id", "step", "arm", "id", "label")
 
 
-@query("accepted_training_rows", f"""SELECT l.run_id, l.step, l.id, l.label FROM ({S.LABELED_LOG}) l
-WHERE EXISTS (SELECT 1 FROM ({RA}) r WHERE r.run_id = l.run_id AND r.step = l.step AND r.accepted)""")
+TRAIN_SEED = 42
+
+
+@query("accepted_training_rows", f"""WITH t AS (
+  SELECT run_id, step, id, max(label) AS label FROM (
+    SELECT run_id, released_at AS step, id, 1 AS label FROM ({CARRY_SQL}) WHERE released_at IS NOT NULL
+    UNION ALL SELECT l.run_id, l.step, l.id, l.label FROM ({S.LABELED_LOG}) l
+      JOIN ({RA}) r ON r.run_id = l.run_id AND r.step = l.step WHERE r.accepted AND l.label = 0)
+  GROUP BY run_id, step, id),
+c AS (SELECT run_id, step, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS np,
+        sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS nn FROM t GROUP BY run_id, step),
+k AS (SELECT *, row_number() OVER (PARTITION BY run_id, step, label ORDER BY {sql_draw_key(TRAIN_SEED)}, id) AS rn FROM t)
+SELECT k.run_id, k.step, k.id, k.label FROM k JOIN c ON k.run_id = c.run_id AND k.step = c.step
+WHERE NOT (c.np > 0 AND c.nn > 2 * c.np) OR k.label = 1 OR k.rn <= 2 * c.np""")
 def accepted_training_rows(spark, d):
-    acc = _ra(spark, d).filter("accepted").select("run_id", "step")
-    return B.labeled_log(spark, d).join(acc, ["run_id", "step"], "left_semi").select("run_id", "step", "id", "label")
+    rows = BD.accepted_training_rows(B.labeled_log(spark, d), _ra(spark, d), TRAIN_SEED)
+    return rows.select("run_id", "step", "id", "label")
 
 
 @query("label_counts", f"SELECT run_id, step, label, count(*) AS n FROM ({S.LABELED_LOG}) GROUP BY run_id, step, label")
@@ -144,15 +157,16 @@ def class_weights(spark, d):
     return j.select("run_id", "step", "id", "label", class_weight_col("label", F.col("still_unbalanced")).alias("weight"))
 
 
+def _shown(c):
+    return f"CAST(CAST(round({c}, 6) AS DECIMAL(18, 6)) AS VARCHAR)"
+
+
 @query("results_by_arm", f"""SELECT run_id, arm, count(*) AS n_rounds, CAST(sum(CASE WHEN accepted THEN 1 ELSE 0 END) AS BIGINT) AS n_accepted,
-  CAST(to_json(list({{'step': step, 'accepted': accepted}} ORDER BY step)) AS VARCHAR) AS rounds_json
+  CAST(to_json(list({{'step': step, 'metric': {_shown("metric")}, 'baseline': {_shown("baseline")},
+    'reward': {_shown("reward")}, 'accepted': accepted}} ORDER BY step)) AS VARCHAR) AS rounds_json
 FROM ({RA}) GROUP BY run_id, arm""")
 def results_by_arm(spark, d):
-    ra = _ra(spark, d)
-    return ra.groupBy("run_id", "arm").agg(
-        F.count(F.lit(1)).alias("n_rounds"),
-        F.sum(F.col("accepted").cast("int")).cast("bigint").alias("n_accepted"),
-        F.to_json(F.array_sort(F.collect_list(F.struct("step", "accepted")))).alias("rounds_json"))
+    return BD.results_by_arm(_ra(spark, d), ["metric", "baseline", "reward"])
 
 
 @query("bandit_state_stream", f"SELECT run_id, arm, round(wins, 6) AS wins, round(losses, 6) AS losses FROM ({STATE_SQL})")

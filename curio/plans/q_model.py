@@ -12,6 +12,7 @@ from ..session import scratch_path
 from . import sqlbits as S
 from .flagship import active_learning as _al
 from .flagship import labeled_splits
+from .grid import grid_configs, run_grid, summarize
 from .registry import query
 
 
@@ -110,3 +111,9 @@ def loop_facts(spark, d):
             *[F.max(F.when(F.col("fact") == f, F.col("n"))).alias(f) for f in facts])
         out = one_row if out is None else out.unionByName(one_row)
     return out
+
+
+@query("grid_run")
+def grid_run(spark, d):
+    """The experiment grid over both datasets with and without balancing, two rounds per run, summarised."""
+    return summarize(run_grid(spark, d, grid_configs(methods=("kmeans",), repeats=1, datasets=("news", "ads")), rounds=2, k=5))

@@ -156,12 +156,23 @@ def reduce_topics(spark, d):
     return TP.reduce_topics(fine, K, dim=64)
 
 
-@query("topic_words_by_vector")
+_DIMS = range(TP.EMBED_DIM)
+
+
+@query("topic_words_by_vector", f"""WITH c AS (
+  SELECT d.label_cluster, [{', '.join(f'avg(e.x{i})' for i in _DIMS)}] AS cv
+  FROM ({EMBED_SQL}) e JOIN ({DOCS_SQL}) d ON e.id = d.id GROUP BY d.label_cluster),
+w AS (SELECT token, CAST([{', '.join(_bit(i) for i in _DIMS)}] AS DOUBLE[]) AS v
+  FROM (SELECT DISTINCT unnest({TOK_LIST}) AS token FROM ({DOCS_SQL}))),
+s AS (SELECT c.label_cluster, w.token AS word, list_cosine_similarity(w.v, c.cv) AS score FROM w CROSS JOIN c)
+SELECT label_cluster, word, round(score, 6) AS score, "rank" FROM (SELECT *, CAST(row_number() OVER (
+  PARTITION BY label_cluster ORDER BY score DESC, word) AS INTEGER) AS "rank" FROM s) WHERE "rank" <= {TOPN}""")
 def topic_words_by_vector(spark, d):
     docs = _docs(spark, d)
     emb = TP.embed_documents(docs, "topic_text")
     cents = TP.centroids(emb.join(docs.select("id", "label_cluster"), "id"), "label_cluster", "embedding", TP.EMBED_DIM)
-    return TP.topic_words_by_vector(TP.word_vectors(docs, "topic_text"), cents, "label_cluster", TOPN)
+    words = TP.topic_words_by_vector(TP.word_vectors(docs, "topic_text"), cents, "label_cluster", TOPN)
+    return words.withColumn("score", F.round("score", 6))
 
 
 @query("cluster_methods")

@@ -116,9 +116,12 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read an append-only log; an absent log is an empty table of the declared schema."""
+    """Read an append-only log; an absent log is an empty table of the declared schema. Folders of a
+    partitioned log keep their names as text (a run id "01" is no number)."""
     try:
-        return _conform(spark.read.parquet(path), schema)
+        found = spark.read.parquet(path).schema
+        named = T.StructType([T.StructField(f.name, T.StringType() if f.name == "run_id" else f.dataType) for f in found])
+        return _conform(spark.read.schema(named).parquet(path), schema)
     except AnalysisException as e:
         if not _absent(e):
             raise
