@@ -107,3 +107,51 @@ def test_bandit_edge_cases(spark):
     assert abs(st["losses"] - 0.99 ** 2) < 1e-12 and abs(st["wins"] - 0.99) < 1e-12
     post = {r["arm"]: (r["alpha"], r["beta"]) for r in BD.bandit_posterior(one, 3).collect()}
     assert post[1] == (0.5, 0.5) and post[2] == (0.5, 0.5)
+
+
+def test_accepted_training_rows_match_a_plain_replay(spark):
+    """Carry-over, balance and hot repeats against a round-by-round replay."""
+    import hashlib
+    import random
+    rng = random.Random(3)
+    rounds = [(f"r{i}", s, rng.random() < 0.4) for i in range(6) for s in range(1, 9)]
+    log = [(r, s, 0, f"{r}-{s}-{j % 12}", "t", int(rng.random() < 0.2)) for r, s, _ in rounds for j in range(14)]
+    log = [x for x in log if x[1] != 4]                       # a round without labeled rows
+    labeled = spark.createDataFrame(log, "run_id string, step int, arm int, id string, title string, label int")
+    acc = spark.createDataFrame(rounds, "run_id string, step int, accepted boolean")
+    for balance in (True, False):
+        got = sorted((r["run_id"], r["step"], r["id"], r["label"])
+                     for r in BD.accepted_training_rows(labeled, acc, 5, balance).collect())
+        want, buffer = [], {}
+        for r, s, ok in rounds:
+            own = [(i, y) for a, b, _, i, _, y in log if (a, b) == (r, s)]
+            held = buffer.setdefault(r, set())
+            held |= {i for i, y in own if y == 1}
+            if not ok:
+                continue
+            neg = sorted({i for i, y in own if y == 0} - held, key=lambda i: (hashlib.md5(f"5:{i}".encode()).hexdigest(), i))
+            if balance and held and len(neg) > 2 * len(held):
+                neg = neg[:2 * len(held)]
+            want += [(r, s, i, 1) for i in held] + [(r, s, i, 0) for i in neg]
+            buffer[r] = set()
+        assert got == sorted(want)
+
+
+def test_results_by_arm_shows_metrics_of_every_round(spark):
+    import json
+    rows = spark.createDataFrame([("a", 2, 1, None, False), ("a", 1, 1, 0.25, True), ("a", 3, 0, 0.5, True)],
+                                 "run_id string, step int, arm int, f1 double, accepted boolean")
+    got = {r["arm"]: r for r in BD.results_by_arm(rows, ["f1"]).collect()}
+    assert json.loads(got[1]["rounds_json"]) == [{"step": 1, "f1": "0.250000", "accepted": True},
+                                                 {"step": 2, "f1": None, "accepted": False}]
+    assert (got[1]["n_rounds"], got[1]["n_accepted"], got[0]["n_accepted"]) == (2, 1, 1)
+
+
+def test_logs_keep_run_ids_as_text(spark):
+    from curio.schemas import LEDGER
+    from curio.session import scratch_path
+    from curio.sources import io
+    path = scratch_path(spark, "log")
+    for run in ("01", "1", "a/b c"):
+        io.append(spark.createDataFrame([(run, 1, "x")], LEDGER), path, ["run_id"])
+    assert sorted(r["run_id"] for r in io.read_log(spark, path, LEDGER).collect()) == ["01", "1", "a/b c"]
