@@ -56,8 +56,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return dc.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+    """Documents that hold no benchmark item, row by row on both sides."""
+    return dc.decontaminate_rows(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

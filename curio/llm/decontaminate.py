@@ -11,9 +11,10 @@ Documents are exploded into shingle hashes and joined with the sketches, a table
 item whose written size Spark checks before it broadcasts it (else both sides are shuffled).
 Pairs with enough sketch hits are verified by exact containment of the shingle strings.
 
-Edge cases: null and empty texts have no shingles and never match. Rows that share an id count as
-one text's shingles together. Rows with a null id are passed over by the search and kept by
-``decontaminate``. Empty tables give no pairs. Other columns are not read.
+Edge cases: null and empty texts have no shingles and never match. In ``contained_items`` and
+``decontaminate`` rows that share an id count as one text's shingles together, and rows with a null id
+are passed over. ``decontaminate_rows`` takes every row of both tables as a text of its own, whatever
+its id. Empty tables give no pairs. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import text_or_empty, with_row_key, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -91,7 +92,15 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
                   item_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    """The documents that contain no item; all columns stay."""
+    """The documents that contain no item, told apart by id; all columns stay."""
     bad = contained_items(docs, items, threshold, doc_id, item_id, text_col)
     bad = written(bad.select(F.col(doc_id).alias("_bad")).distinct(), "op8-bad")
     return docs.join(bad, docs[doc_id] == bad["_bad"], "left_anti")
+
+
+def decontaminate_rows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
+                       text_col: str = "text") -> DataFrame:
+    """The document rows that contain no item row, whatever their ids; all columns stay."""
+    keyed = with_row_key(docs, "__doc_row")
+    rows = with_row_key(items.select(text_col), "__item_row")
+    return decontaminate(keyed, rows, threshold, "__doc_row", "__item_row", text_col).select(*docs.columns)

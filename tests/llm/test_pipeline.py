@@ -70,6 +70,22 @@ def test_stages_keep_the_columns(spark, made):
         assert stage(spark, docs, made[0]).columns == docs.columns
 
 
+def test_decontamination_stage_goes_by_row(spark, tmp_path):
+    """Null and shared ids on both sides: contaminated rows go, clean rows stay, pieces of two texts are no item."""
+    null_item, one, two, split = (prose(950 + k, 30) for k in range(4))
+    halves = split.split()
+    rows = [(None, f"{prose(960, 20)} {null_item} {prose(961, 20)}"), (None, prose(962, 50)),
+            (7, f"{one} {prose(963, 20)}"), (7, prose(964, 50)), (7, prose(965, 50)),
+            (8, f"{prose(966, 20)} {two}"), (9, " ".join(halves[:17])), (9, " ".join(halves[13:])), (10, None), (11, null_item)]
+    # two different texts share an id; two items have none
+    path = tables(spark, tmp_path / "t", rows, [(None, null_item), (1, one), (1, two), (None, split), (2, None)])
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    left = corpus_pipeline.decontaminate(spark, docs, path)
+    assert left.columns == docs.columns
+    want = [rows[k] for k in (1, 3, 4, 6, 7, 8)]
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(want)
+
+
 def test_empty_tables(spark, tmp_path):
     path = tables(spark, tmp_path / "t", [])
     assert corpus_pipeline.run(spark, path).count() == 0
