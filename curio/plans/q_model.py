@@ -115,6 +115,6 @@ def loop_facts(spark, d):
 
 @query("grid_run")
 def grid_run(spark, d):
-    """One LDA run of the experiment grid for each dataset, one round each, summarised."""
-    return summarize(run_grid(spark, d, grid_configs(methods=("lda",), balance=(True,), repeats=1, datasets=("news", "ads")),
-                              rounds=1, k=5))
+    """The whole experiment grid: both datasets, every method, balance and classifier filter on and off, three
+    repeats, each run with the default rounds and k. Runs of one dataset, method and seed share the assignment."""
+    return summarize(run_grid(spark, d, grid_configs(filter_label=(False, True), datasets=("news", "ads"))))

@@ -32,3 +32,31 @@ def test_grid_runs_isolated_configs(spark):
     assert res.select("run_id").distinct().count() == 2
     s = summarize(res).collect()
     assert sorted(r["balance"] for r in s) == [False, True] and all(r["n_runs"] == 1 for r in s)
+
+
+def test_grid_run_registers_the_whole_grid(spark, monkeypatch):
+    import inspect
+    from curio.plans import grid, q_model, registry
+    seen = {}
+
+    def fake(spark, d, configs, **kw):
+        seen.update(inspect.signature(grid.run_grid).bind(spark, d, configs, **kw).arguments, kw=kw)
+        return spark.createDataFrame([(c["run_id"], True, 0.5 + c["repeat"] / 10, c["dataset"], c["method"], c["balance"], c["filter_label"])
+                                      for c in configs], "run_id string, accepted boolean, metric double, dataset string, method string, balance boolean, filter_label boolean")
+
+    monkeypatch.setattr(q_model, "run_grid", fake)
+    registry.load_all()
+    out = registry.QUERIES["grid_run"](spark, SF_SMALL).collect()
+    assert seen["kw"] == {} and len(seen["configs"]) == 72                # default rounds and k
+    assert {(r["dataset"], r["method"], r["balance"], r["filter_label"]) for r in out} == {
+        (d, m, b, f) for d in ("news", "ads") for m in grid.METHODS for b in (True, False) for f in (True, False)}
+    assert all(r["n_runs"] == 3 and r["std_metric"] is not None for r in out)
+
+
+def test_grid_runs_share_one_assignment(spark, monkeypatch):
+    from curio.operators import topics
+    from curio.plans.grid import grid_configs, run_grid
+    fits, fit = [], topics.cluster
+    monkeypatch.setattr(topics, "cluster", lambda *a, **kw: fits.append(1) or fit(*a, **kw))
+    run_grid(spark, SF_SMALL, grid_configs(methods=("lda",), balance=(True, False), repeats=1), rounds=0, k=4)
+    assert len(fits) == 1
