@@ -6,9 +6,9 @@
 2. The directory starts at the smallest depth that could hold the keys and doubles while a bucket
    holds more than ``capacity`` keys. A bucket's local depth is the smallest one at which it fits,
    so sparse buckets are shared by several directory slots.
-3. The index is written to the shared folder in key order: each owner task gets one range of keys,
-   that is a run of whole buckets. Different texts under one key are chained (``chain`` 0, 1, ...).
-4. Each row looks its entry up in the written index.
+3. The index is written to the shared folder by the directory's buckets: owner tasks get ranges of the
+   buckets' first keys, so no bucket is split. Different texts under one key are chained (``chain`` 0, 1, ...).
+4. Each row finds its bucket through its slot of the directory and its entry within that bucket.
 
 Edge cases: a null text counts as empty. Rows that share both id and text are copies too, exactly
 one of them stays. A null id is smaller than any other. An empty table gives no rows. Other
@@ -57,17 +57,20 @@ def directory(entries: DataFrame, capacity: int) -> tuple[DataFrame, int]:
     return best.select("slot", F.col("b.bucket").alias("bucket"), F.col("b.level").alias("local_depth")), depth
 
 
-def build_index(keyed: DataFrame, texts: DataFrame, capacity: int) -> DataFrame:
-    """The written index: (_h, _sha, chain, bucket, local_depth, group_size, best)."""
+def build_index(keyed: DataFrame, texts: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame, int]:
+    """The written index (_h, _sha, chain, bucket, local_depth, _first, group_size, best), the written
+    directory (slot, bucket, local_depth, _first) and its depth. ``_first`` is the bucket's first key and
+    names it: buckets of different depths can bear the same number."""
     rows = (keyed.groupBy("_h", "_sha")
             .agg(F.count("*").alias("group_size"), F.max(F.struct("_id", "_u")).alias("best")))
     # whole texts are compared here: one group per key and different byte string
     distinct = texts.groupBy("_h", "_t").agg(F.count("*").alias("_n")).select("_h", F.unhex(F.sha2("_t", 256)).alias("_sha"))
     chained = distinct.withColumn("chain", F.row_number().over(Window.partitionBy("_h").orderBy("_sha")) - 1)
     slots, depth = directory(keyed, capacity)
+    slots = written(slots.withColumn("_first", F.expr("shiftleft(bucket, 64 - local_depth)")), "op1-directory")
     index = (chained.join(rows, ["_h", "_sha"]).withColumn("slot", prefix("_h", depth))
              .join(slots, "slot").drop("slot"))
-    return written(index.repartitionByRange("_h").sortWithinPartitions("_h", "chain"), "op1-index")
+    return written(index.repartitionByRange("_first").sortWithinPartitions("_first", "_h", "chain"), "op1-index"), slots, depth
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
@@ -80,8 +83,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     src = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t"))
     keyed = written(src.select("_id", F.monotonically_increasing_id().alias("_u"), key(F.col("_t")).alias("_h"),
                                F.unhex(F.sha2("_t", 256)).alias("_sha")), "op1-keys")
-    index = build_index(keyed, src.select(key(F.col("_t")).alias("_h"), "_t"), capacity)
-    return (keyed.join(index, ["_h", "_sha"])
+    index, slots, depth = build_index(keyed, src.select(key(F.col("_t")).alias("_h"), "_t"), capacity)
+    routed = keyed.withColumn("slot", prefix("_h", depth)).join(slots.select("slot", "_first"), "slot")
+    return (routed.join(index, ["_first", "_h", "_sha"])
             .select(F.col("_id").alias(id_col), F.col("best._id").alias("keep_id"), "group_size",
                     (F.col("_u") == F.col("best._u")).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"),
                     "bucket", "local_depth", "chain"))

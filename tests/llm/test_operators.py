@@ -77,6 +77,20 @@ def test_directory_doubles_and_shares_buckets(spark):
     assert depth > 6 and min(r["local_depth"] for r in held) < depth
 
 
+def test_index_tasks_hold_whole_buckets(spark):
+    d = spark.range(20000).select(F.col("id").alias("_id"), F.col("id").cast("string").alias("_t"))
+    keyed = d.select("_id", F.col("_id").alias("_u"), F.xxhash64("_t").alias("_h"), F.unhex(F.sha2("_t", 256)).alias("_sha"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index, slots, depth = ed.build_index(keyed, d.select(F.xxhash64("_t").alias("_h"), "_t"), 1024)
+        placed = index.withColumn("file", F.input_file_name()).groupBy("_first").agg(F.countDistinct("file").alias("files"), F.count("*").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(placed) > 8 and depth > 3 and sum(r["n"] for r in placed) == 20000
+    assert {r["files"] for r in placed} == {1} and max(r["n"] for r in placed) <= 1024
+    assert {r["_first"] for r in placed} == {r["_first"] for r in slots.collect()}
+
+
 # --- sharding --------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 100, 997])
