@@ -5,7 +5,7 @@ shingles (a text of fewer words has one, the whole). Items are partitioned by th
 (powers of two). Within a partition an item's sketch is its k smallest shingle hashes, with
 k = floor((1 - t) * upper size) + 1. A document that holds a share t of an item's m shingles lacks
 at most floor((1 - t) * m) of them, so it holds at least k - floor((1 - t) * m) >= 1 of the sketch:
-the search loses no pair. Documents with fewer shingles than t * m are passed over.
+the search loses no pair. The size partition sets the sketch's length only; documents are not cut by size.
 
 Documents are exploded into shingle hashes and joined with the sketches, a table of a few rows per
 item whose written size Spark checks before it broadcasts it (else both sides are shuffled).
@@ -35,14 +35,14 @@ def words(text_col: str) -> Column:
 
 
 def shingle_rows(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
-    """``keep``, n_sh (shingles, repeats included) and the five words of each shingle as w0..w4."""
+    """``keep`` and the five words of each shingle as w0..w4."""
     w = df.select(*keep, words(text_col).alias("_w")).where(F.size("_w") > 0)
     n = F.size("_w")
     many = F.arrays_zip(*[F.slice("_w", i + 1, F.greatest(n - (SHINGLE - 1), F.lit(0))).alias(f"w{i}")
                           for i in range(SHINGLE)])
     one = F.array(F.struct(*[F.get("_w", F.lit(i)).alias(f"w{i}") for i in range(SHINGLE)]))
     z = F.when(n >= SHINGLE, many).otherwise(one)
-    return w.select(*keep, F.greatest(n - (SHINGLE - 1), F.lit(1)).alias("n_sh"), F.inline(z).alias(*[f"w{i}" for i in range(SHINGLE)]))
+    return w.select(*keep, F.inline(z).alias(*[f"w{i}" for i in range(SHINGLE)]))
 
 
 def shingle_hash() -> Column:
@@ -63,8 +63,7 @@ def item_sketches(items: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
     upper = F.pow(F.lit(2.0), F.ceil(F.log2("m")))  # the size partition's upper bound
     k = F.least(lack(upper) + 1, F.col("m"))
     ranked = sh.withColumn("rank", F.row_number().over(Window.partitionBy("_item").orderBy("h", "sh")))
-    sketch = ranked.where(F.col("rank") <= k).select("h", "_item", "m", (k - lack(F.col("m"))).alias("need"),
-                                                     F.ceil(F.col("m") * threshold - 1e-9).alias("least"))
+    sketch = ranked.where(F.col("rank") <= k).select("h", "_item", "m", (k - lack(F.col("m"))).alias("need"))
     return sh, written(sketch, "op8-sketch")
 
 
@@ -74,7 +73,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     d = docs.select(F.col(doc_id).alias("_doc"), F.col(text_col).alias("_text")).where(F.col("_doc").isNotNull())
     i = items.select(F.col(item_id).alias("_item"), F.col(text_col).alias("_text")).where(F.col("_item").isNotNull())
     shingles, sketch = item_sketches(i, threshold)
-    hits = (shingle_rows(d, ["_doc"], "_text").select("_doc", "n_sh", shingle_hash().alias("h"))
+    hits = (shingle_rows(d, ["_doc"], "_text").select("_doc", shingle_hash().alias("h"))
             .join(sketch, "h").select("_item", "_doc", "need", "h").distinct()
             .groupBy("_item", "_doc", "need").agg(F.count("*").alias("hits")))
     pairs = written(hits.where(F.col("hits") >= F.col("need")).select("_item", "_doc"), "op8-candidates")

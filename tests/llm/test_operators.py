@@ -339,6 +339,12 @@ def test_decontamination(docs, empty):
     assert dc.contained_items(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_computes_no_unused_size(spark):
+    items = spark.createDataFrame([(1, prose(1, 60))], "_item long, _text string")
+    assert dc.shingle_rows(items, ["_item"], "_text").columns == ["_item", "w0", "w1", "w2", "w3", "w4"]
+    assert dc.item_sketches(items, 0.8)[1].columns == ["h", "_item", "m", "need"]
+
+
 # --- SimHash ---------------------------------------------------------------------------------
 
 def plain_fingerprint(t):
