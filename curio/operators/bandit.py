@@ -9,6 +9,8 @@ Steps of a run are 1..T with one log row per round (dead rounds included), as th
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,6 +24,7 @@ PRIOR_ALPHA = 0.5
 PRIOR_BETA = 0.5
 DECAY = 0.99
 DEAD_REWARD = -1.0
+CARRY_BLOCKS = 8      # of a history, see bandit_history
 # ---------------------------------------------------------------------------------------------
 
 
@@ -83,20 +86,39 @@ def bandit_posterior(rewards: DataFrame, n_arms: int, decay: float = DECAY,
 def bandit_history(rewards: DataFrame, n_arms: int, decay: float = DECAY) -> DataFrame:
     """(wins, losses) of every arm after every step: the state the original saves per update.
 
-    For arm a after step T: sum over t <= T of x_t(a) * decay^(T-t+1)
-    = decay^(T+1) * running_sum(x_t(a) * decay^(-t)); one window per (run, arm), no self join.
-    Exact while decay^(-T) stays finite (T below ~70,000 steps for decay 0.99).
+    For arm a after step T: sum over t <= T of x_t(a) * decay^(T-t+1). Steps are cut into blocks of
+    at most e^100 in powers, so they stay finite at any run length. Within a block that begins at s it is
+    decay^(T-s+1) * running_sum(x_t(a) * decay^(s-t)), one window per (run, arm, block); a window over the
+    blocks' totals carries what came before. Totals weigh e^-100 less with each block, so after
+    ``CARRY_BLOCKS`` blocks nothing is left in a double.
     """
+    size = max(1, int(100 / -math.log(decay))) if 0 < decay < 1 else 1 if decay <= 0 else 1 << 30
     grid = rewards.select("run_id", "step", F.col("arm").alias("_chosen"), "reward").withColumn(
         "arm", F.explode(F.sequence(F.lit(0), F.lit(n_arms - 1))))
+    block = F.floor(F.col("step") / size)
     hit = F.col("arm") == F.col("_chosen")
-    inv = F.pow(F.lit(decay), -F.col("step").cast("double"))
-    w = Window.partitionBy("run_id", "arm").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    scale = F.pow(F.lit(decay), (F.col("step") + 1).cast("double"))
-    return grid.select(
+    rows = grid.select("run_id", "step", "arm", block.alias("_block"), (F.col("step") - block * size).cast("double").alias("_at"),
+                       (hit & (F.col("reward") > 0)).alias("_win"), (hit & ~(F.col("reward") > 0)).alias("_loss"))
+    inv = F.pow(F.lit(decay), -F.col("_at"))
+    scale = F.pow(F.lit(decay), F.col("_at") + 1)
+    left = F.pow(F.lit(decay), size - F.col("_at"))            # of a step, at the end of its block
+    # what a run's earlier blocks leave at the begin of each block
+    before = Window.partitionBy("run_id", "arm").orderBy("_block").rangeBetween(-CARRY_BLOCKS, -1)
+    totals = rows.groupBy("run_id", "arm", "_block").agg(
+        *[F.sum(F.when(F.col(x), left).otherwise(0.0)).alias(x) for x in ("_win", "_loss")])
+    totals = totals.withColumn("_past", F.collect_list(F.struct("_block", "_win", "_loss")).over(before))
+
+    def carried(x: str) -> F.Column:
+        weight = lambda p: F.pow(F.lit(decay), ((F.col("_block") - p["_block"] - 1) * size).cast("double"))
+        return F.aggregate("_past", F.lit(0.0), lambda a, p: a + p[x] * weight(p))
+    carry = totals.select(F.col("run_id").alias("_run"), F.col("arm").alias("_arm"), F.col("_block").alias("_b"),
+                          carried("_win").alias("_w0"), carried("_loss").alias("_l0"))
+    rows = rows.join(carry, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("arm") == F.col("_arm")) & (F.col("_block") == F.col("_b")))
+    w = Window.partitionBy("run_id", "arm", "_block").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(
         "run_id", "step", "arm",
-        (scale * F.sum(F.when(hit & (F.col("reward") > 0), inv).otherwise(0.0)).over(w)).alias("wins"),
-        (scale * F.sum(F.when(hit & ~(F.col("reward") > 0), inv).otherwise(0.0)).over(w)).alias("losses"))
+        (F.col("_w0") * scale + scale * F.sum(F.when(F.col("_win"), inv).otherwise(0.0)).over(w)).alias("wins"),
+        (F.col("_l0") * scale + scale * F.sum(F.when(F.col("_loss"), inv).otherwise(0.0)).over(w)).alias("losses"))
 
 
 def best_arm(state: DataFrame) -> DataFrame:

@@ -155,3 +155,26 @@ def test_logs_keep_run_ids_as_text(spark):
     for run in ("01", "1", "a/b c"):
         io.append(spark.createDataFrame([(run, 1, "x")], LEDGER), path, ["run_id"])
     assert sorted(r["run_id"] for r in io.read_log(spark, path, LEDGER).collect()) == ["01", "1", "a/b c"]
+
+
+def test_history_of_a_long_run_stays_finite(spark):
+    """Two arms over 120,000 steps, the second without a pull for 30,000: equal to the update rule."""
+    n = 120_000
+
+    def chosen(t):
+        return 0 if 40_000 < t <= 70_000 else t % 2
+
+    log = spark.range(1, n + 1).selectExpr(
+        "'r' AS run_id", "cast(id AS int) AS step",
+        "cast(if(id > 40000 AND id <= 70000, 0, id % 2) AS int) AS arm", "if(id % 3 = 0, 1.0D, -1.0D) AS reward")
+    at = {1, 2, 9_949, 9_950, 9_951, 40_000, 45_000, 69_999, 70_001, 80_001, n}
+    got = {(r["step"], r["arm"]): (r["wins"], r["losses"])
+           for r in BD.bandit_history(log, 2).filter(F.col("step").isin(sorted(at))).collect()}
+    assert len(got) == 2 * len(at)
+    w, l = [0.0, 0.0], [0.0, 0.0]
+    for t in range(1, n + 1):
+        (w if t % 3 == 0 else l)[chosen(t)] += 1
+        w, l = [x * 0.99 for x in w], [x * 0.99 for x in l]
+        if t in at:
+            for a in (0, 1):
+                assert all(abs(x - y) <= 1e-9 * y for x, y in zip(got[t, a], (w[a], l[a])) if y > 1e-300), (t, a)
