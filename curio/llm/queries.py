@@ -9,14 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import collocations as col
 from . import decontaminate as dc
 from . import exact_dedup as ed
 from . import line_dedup as ld
 from . import lm
+from . import mixing as mix
 from . import records as rec
 from . import sentencepieces as sp
 from . import sharding as sh
 from . import simhash as sim
+from . import spelling as spell
 from . import substring_dedup as ss
 from . import toxicity as tox
 from .common import read_table
@@ -146,3 +149,58 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_substring_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ss.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", sha("text").alias("kept_sha256"))
+
+
+#: crc32 as a byte fold over the UTF-8 bytes of ``word`` (code points up to U+00FF), in DuckDB.
+CRC_TABLE = "list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)))"
+UTF8 = ("flatten(list_transform(string_split({s}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] "
+        "ELSE [(192 | (unicode(x) >> 6))::BIGINT, (128 | (unicode(x) & 63))::BIGINT] END))")
+
+
+@query("op11_spelling_variants", f"""
+WITH k AS MATERIALIZED (SELECT {CRC_TABLE} AS t),
+runs AS MATERIALIZED (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents) GROUP BY ALL),
+h AS MATERIALIZED (SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, {UTF8.format(s="coalesce(doc_id::VARCHAR, '') || ':' || run")}),
+    lambda a, b: xor(a >> 8, k.t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) AS h FROM runs, k),
+w AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM (SELECT c, CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+    ELSE run END AS word FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+del AS MATERIALIZED (SELECT word, i, left(word, i::INT) || substr(word, i::INT + 2) AS d FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+p AS (SELECT a.word, b.word AS near FROM del a JOIN del b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT del.word, w.word FROM del JOIN w ON del.d = w.word UNION SELECT w.word, del.word FROM del JOIN w ON del.d = w.word),
+best AS (SELECT p.word, count(*) AS n_near, arg_min(struct_pack(near := p.near, n := w.n), struct_pack(k := -w.n, near := p.near)) AS b
+  FROM p JOIN w ON p.near = w.word GROUP BY p.word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 2 * w.n THEN b.near END AS form,
+  CASE WHEN b.n >= 2 * w.n THEN b.n END AS form_n FROM w LEFT JOIN best ON w.word = best.word),
+chain AS (WITH RECURSIVE c AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON c.at = f.word WHERE f.form IS NOT NULL)
+  SELECT c.word, c.at AS root FROM c JOIN f ON c.at = f.word WHERE f.form IS NULL)
+SELECT f.word, f.form, chain.root, f.n, f.n_near, f.form_n FROM f JOIN chain ON f.word = chain.word""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spell.spelling_variants(documents(spark, sf_dir))
+
+
+@query("op12_mix_sources")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix_sources(documents(spark, sf_dir), seed=SEED)
+
+
+@query("op13_collocations", """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
+g AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM (SELECT lang, m, unnest(list_transform(range(len(w) - m + 1),
+    lambda i: array_to_string(w[i + 1 : i + m], ' '))) AS phrase FROM w, range(1, 6) r(m) WHERE len(w) >= m) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE m >= 2 AND f >= 100),
+inner_ AS (SELECT lang, phrase, max(a) AS around FROM (SELECT lang, a, unnest(flatten(list_transform(range(2, m), lambda k:
+    list_transform(range(m - k + 1), lambda i: array_to_string(w[i + 1 : i + k], ' '))))) AS phrase FROM c WHERE m >= 3) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inner_ i ON c.lang = i.lang AND c.phrase = i.phrase WHERE around IS NULL OR 100 * around < 100 * a),
+cut AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1 :], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+s AS (SELECT cut.lang, cut.phrase, cut.a, k, gx.f AS l, gy.f AS r, n, ((1000::HUGEINT * a * n) // (gx.f::HUGEINT * gy.f))::BIGINT AS score
+  FROM cut JOIN g gx ON cut.lang = gx.lang AND cut.x = gx.phrase JOIN g gy ON cut.lang = gy.lang AND cut.y = gy.phrase JOIN n ON n.lang = cut.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b QUALIFY rank <= 2000""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return col.collocations(documents(spark, sf_dir))
