@@ -1,15 +1,17 @@
 """Phrase collocation mining with weighted acyclic automata.
 
-A count automaton holds phrases of one to ``longest`` words: states are phrases, arcs are words in byte
-order, the weight of a state is the phrase's number of occurrences. Phrases share their prefixes, and a state
-of level k is a pair (state of level k - 1, word), so the automaton is a sorted list of such pairs per level.
-
-1. Shards: a task reads texts up to ``shard_bytes``, cuts them into pieces and words, and builds the automaton
-   level by level, adding arcs in sorted order. Equal phrases of a shard are one state with a weight.
-2. Union: the automaton is cut by prefix (its first ``_HEAD`` words) into ranges of the prefix's hash, so that
-   a subtree stays together. The owner of a range maps the shards' words to common ones, unites the states
-   and sums their weights, exactly and as integers. States under ``least`` go, with all that hangs on them.
-3. Composition: a part of a candidate occurs at least as often as the candidate, so every part is a state that
+A count automaton holds phrases of up to ``longest`` words: states are phrases, arcs are words, the weight of a state
+is the phrase's number of occurrences. Phrases share their prefixes, and a state of level k is a pair (state of
+level k - 1, word), so the automaton is a sorted list of such pairs per level.
+
+1. Shards: a task reads texts up to ``shard_bytes`` and cuts them into pieces and words. Each shard sends its
+   distinct words with their counts. Words with ``least`` occurrences are numbered, and every shard gets the
+   numbers of its own words by a join; a rarer word is in no candidate, so it parts a piece.
+2. Each shard builds its automaton level by level, adding arcs in sorted order; equal phrases are one state with
+   a weight. The automaton is cut by prefix (its first ``HEAD`` words) into ranges of the prefix's hash.
+3. Union: the owner of a range unites the shards' states and sums their weights as integers. States under ``least`` go,
+   with all that hangs on them.
+4. Composition: a part of a candidate occurs at least as often as the candidate, so every part is a state that
    was kept. The cuts of each candidate look both parts up by joins, which Spark can split if a part is hot.
 
 A hot phrase reaches its owner once per shard, whatever its count. Ranges grow in number with the texts, so
@@ -28,218 +30,165 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shard_count, sliced, text_bytes, text_or_empty, written
 
-SHARD_BYTES = 8 << 20
-RANGE_BYTES = 6 << 20
+SHARD_BYTES = 12 << 20
+RANGE_BYTES = 16 << 20
 LONGEST = 5
 LEAST = 100
 TOP = 2000
 #: Words of a prefix that decide its range; longer phrases follow their prefix.
-_HEAD = 3
+HEAD = 3
 
 _UPPER = bytes(range(65, 91))
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 #: A-Z in lower case, tab as space, every break as line feed.
 _TABLE = bytes.maketrans(_UPPER + b"\t" + _BREAKS, _UPPER.lower() + b" " + b"\n" * len(_BREAKS))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_SHARD_SCHEMA = "range int, lang string, words binary, nodes binary"
-_GRAM_SCHEMA = "lang string, m int, phrase string, f long"
+_SHIFT = 32  # a state and a word make one key
 
 
-def _sorted_words(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Number of each word among the distinct ones in byte order, and those."""
-    enc = words.dictionary_encode()
-    order = pc.array_sort_indices(enc.dictionary).to_numpy()
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return rank[enc.indices.to_numpy()], enc.dictionary.take(pa.array(order))
+def packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of numbers below 2^31, compressed byte plane by byte plane."""
+    a = np.concatenate([np.array([len(columns), *map(len, columns)]), *columns]).astype(np.int32)
+    raw = np.ascontiguousarray(a.view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
-def tokens(buf: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Word numbers, the piece of each word, and the distinct words, of a text in which ``_TABLE`` is applied."""
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    size = int.from_bytes(blob[:8], "little")
+    raw = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], size, asbytes=True), np.uint8)
+    a = np.ascontiguousarray(raw.reshape(4, -1).T).view(np.int32).ravel().astype(np.int64)
+    cuts = 1 + int(a[0]) + np.concatenate(([0], np.cumsum(a[1:1 + a[0]])))
+    return [a[i:j] for i, j in zip(cuts, cuts[1:])]
+
+
+def tokens(buf: bytes) -> tuple[np.ndarray, pa.Array]:
+    """Word numbers from 1 with 0 between two pieces, and the distinct words, of a text in which ``_TABLE`` is applied."""
     a = np.frombuffer(buf, np.uint8)
     inside = (a != 32) & (a != 10)
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts),
-                                             [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(a[inside].tobytes())])
-    ids, distinct = _sorted_words(words)
-    return ids, np.cumsum(a == 10, dtype=np.int32)[starts], distinct
-
-
-def automaton(ids: np.ndarray, piece: np.ndarray, n_words: int, longest: int) -> list[tuple]:
-    """Levels (parent state, word, weight) in sorted order; level 1 has no parent."""
-    levels = [(None, np.arange(n_words), np.bincount(ids, minlength=n_words))]
-    at, state = np.arange(len(ids)), ids
+                                             [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(a[inside].tobytes())]).dictionary_encode()
+    piece = np.cumsum(a == 10, dtype=np.int32)[starts]
+    return np.insert(words.indices.to_numpy() + 1, np.flatnonzero(np.diff(piece)) + 1, 0), words.dictionary
+
+
+def automaton(stream: np.ndarray, longest: int) -> list[tuple]:
+    """Levels (parent state, word, weight) in sorted order of a stream of word numbers, negative where no phrase may cross."""
+    piece = np.cumsum(stream < 0)[stream >= 0]
+    ids = stream[stream >= 0].astype(np.int64)
+    words, state, weight = np.unique(ids, return_inverse=True, return_counts=True)
+    levels = [(None, words, weight)]
+    at = np.arange(len(ids))
     for k in range(1, longest):
         go = np.flatnonzero(at + k < len(ids))
         go = go[piece[at[go] + k] == piece[at[go]]]
         at = at[go]
-        arc, state, weight = np.unique(state[go] * n_words + ids[at + k], return_inverse=True, return_counts=True)
-        levels.append((arc // n_words, arc % n_words, weight))
+        arc, state, weight = np.unique((state[go] << _SHIFT) | ids[at + k], return_inverse=True, return_counts=True)
+        levels.append((arc >> _SHIFT, arc & ((1 << _SHIFT) - 1), weight))
     return levels
 
 
-def _ranges(levels: list[tuple], words: pa.Array, ranges: int) -> list[np.ndarray]:
-    """The range of every state: a slice of the hash space of its first ``_HEAD`` words."""
-    own = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
-    out, h = [], np.zeros(0, np.uint64)
-    for k, (parent, word, _) in enumerate(levels):
-        if k >= _HEAD:
-            out.append(out[-1][parent])
-            continue
-        h = own if k == 0 else (h[parent] * _MIX) ^ own[word]
-        h = h ^ (h >> np.uint64(29))
-        h = h * _MIX
-        out.append((((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64))
-    return out
-
+def cut(levels: list[tuple], ranges: int) -> Iterator[tuple[int, bytes]]:
+    """(range, states) for each range with states of two words or more.
 
-def _packed(levels: list[tuple], words: pa.Array, ranges: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(range, words, levels) for each range with states; words are numbered anew within it.
-
-    Levels up to ``_HEAD`` name their whole prefix, deeper ones the state of the level above.
+    Up to ``HEAD`` words a state names its whole path, beyond that the place of its parent among the range's states of
+    the level above; the first column is sorted and holds differences.
     """
-    where = _ranges(levels, words, ranges)
-    order = [np.argsort(w, kind="stable") for w in where]
-    cuts = [np.searchsorted(w[o], np.arange(ranges + 1)) for w, o in zip(where, order)]
-    place = []  # of a state within its range
-    for w, o, c in zip(where, order, cuts):
-        p = np.empty(len(w), np.int64)
-        p[o] = np.arange(len(w)) - c[w[o]]
-        place.append(p)
-    codec = pa.Codec("zstd", 1)
+    h, paths, out = np.zeros(0, np.uint64), [], []
+    where = place = None  # of the level above: the range of each state, and the state's place in it
+    for k, (parent, word, weight) in enumerate(levels):
+        if k < HEAD:
+            h = (word.astype(np.uint64) if k == 0 else (h[parent] ^ word.astype(np.uint64))) * _MIX
+            h = h ^ (h >> np.uint64(29))
+            paths = [word] if k == 0 else [p[parent] for p in paths] + [word]
+            if k == 0:
+                continue
+            where = (((h * _MIX >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+            cols = [*paths, weight]
+        else:
+            cols = [place[parent], word, weight]
+            where = where[parent]
+        order = np.argsort(where, kind="stable")
+        cuts = np.searchsorted(where[order], np.arange(ranges + 1))
+        place = np.empty(len(where), np.int64)
+        place[order] = np.arange(len(where)) - cuts[where[order]]
+        out.append(([c[order] for c in cols], cuts))
     for r in range(ranges):
-        cols, sizes = [], []
-        for k, (parent, word, weight) in enumerate(levels):
-            s = order[k][cuts[k][r]:cuts[k][r + 1]]
-            path = [word[s]]
-            if k >= _HEAD:
-                path.insert(0, place[k - 1][parent[s]])
-            else:
-                up = s
-                for j in range(k, 0, -1):
-                    up = levels[j][0][up]
-                    path.insert(0, levels[j - 1][1][up])
-            sizes.append(len(s))
-            cols.append((k, path, weight[s]))
-        if not any(sizes):
-            continue
-        used = np.unique(np.concatenate([p for k, path, _ in cols for p in (path[1:] if k >= _HEAD else path)]))
-        number = np.zeros(len(words), np.int32)
-        number[used] = np.arange(len(used))
-        flat = [np.array([len(levels), *sizes], np.int32)]
-        for k, path, weight in cols:
-            flat += [p if k >= _HEAD and i == 0 else number[p] for i, p in enumerate(path)] + [weight]
-        raw = np.concatenate(flat).astype(np.int32).tobytes()
-        nodes = len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True)
-        yield r, b" ".join(words.take(pa.array(used)).to_pylist()), nodes
-
-
-def _unpacked(nodes: bytes) -> list[list[np.ndarray]]:
-    """Per level the path columns and the weights."""
-    size = int.from_bytes(nodes[:8], "little")
-    a = np.frombuffer(pa.Codec("zstd").decompress(nodes[8:], size, asbytes=True), np.int32).astype(np.int64)
-    n, at, out = int(a[0]), int(a[0]) + 1, []
-    for k in range(n):
-        size, width = int(a[1 + k]), (k + 1 if k < _HEAD else 2) + 1
-        out.append([a[at + i * size: at + (i + 1) * size] for i in range(width)])
-        at += width * size
-    return out
+        cols = [[c[cuts[r]:cuts[r + 1]] for c in cs] for cs, cuts in out]
+        if any(len(c[0]) for c in cols):
+            yield r, packed([np.diff(c, prepend=0) if i == 0 else c for cs in cols for i, c in enumerate(cs)])
 
 
 def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, the place of each key among them, exact sums of the weights."""
-    if not len(keys):
-        return keys, keys, weights
     uniq, inv = np.unique(keys, return_inverse=True)
-    order = np.argsort(inv, kind="stable")
-    first = np.concatenate(([0], np.flatnonzero(np.diff(inv[order])) + 1))
-    return uniq, inv, np.add.reduceat(weights[order], first)
-
-
-def united(parts: list[tuple[bytes, bytes]], least: int) -> tuple[int, list[tuple[int, list[bytes], np.ndarray]]]:
-    """Union of the shards' automata of one range: all word occurrences, and per level the phrases kept and their weights."""
-    lists = [w.split(b" ") for w, _ in parts]
-    ids, words = _sorted_words(pa.array([w for ws in lists for w in ws], pa.large_binary()))
-    starts = np.concatenate(([0], np.cumsum([len(ws) for ws in lists])))
-    levels = [_unpacked(n) for _, n in parts]
-    n_words, text = len(words), words.to_pylist()
-    total, out = 0, []
-    state = keep = None  # of the level above: the united state of each shard's state, and whether it stays
-    names: list[bytes] = []
-    for k in range(max(len(lv) for lv in levels)):
-        weights, words_of, code, above = [], [], [], []
-        for i, lv in enumerate(levels):
-            cols, number = lv[k], ids[starts[i]:starts[i + 1]]
-            weights.append(cols[-1])
-            words_of.append(number[cols[-2]])
-            if k < _HEAD:
-                code.append([number[c] for c in cols[:-2]])
-            else:
-                above.append(cols[0] + offsets[i])
-        w, last = np.concatenate(weights), np.concatenate(words_of)
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in weights])))
-        if k == 0:
-            uniq, state, sums = _sums(last, w)
-            total = int(w.sum())
-            keep = sums >= least
-            phrases = [text[j] for j in uniq[keep].tolist()]
-        elif k < _HEAD:
-            heads = np.concatenate([c[0] for c in code])
-            steps: list[np.ndarray] = []
-            for j in range(1, k):  # number the head prefix by prefix, so that keys stay in 64 bits
-                u, heads = np.unique(heads * n_words + np.concatenate([c[j] for c in code]), return_inverse=True)
+    sums = np.zeros(len(uniq), np.int64)
+    np.add.at(sums, inv, weights)
+    return uniq, inv, sums
+
+
+def united(blobs: list[bytes], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Union of the shards' automata of one range: per level the paths (a row per phrase) that stay, and their weights."""
+    parts = [unpacked(b) for b in blobs]
+    low = (1 << _SHIFT) - 1
+    at, state, stays, names = 0, None, None, None
+    offsets: list[int] = []
+    k = 1
+    while at < len(parts[0]):
+        width = (k + 1 if k < HEAD else 2) + 1
+        cols = [np.concatenate([p[at + i] if i else np.cumsum(p[at]) for p in parts]) for i in range(width)]
+        sizes = [len(p[at]) for p in parts]
+        if k < HEAD:
+            steps = []
+            head = cols[0]
+            for c in cols[1:-2]:  # number the path prefix by prefix, so that a key stays in 64 bits
+                u, head = np.unique((head << _SHIFT) | c, return_inverse=True)
                 steps.append(u)
-            uniq, state, sums = _sums(heads * n_words + last, w)
-            keep = sums >= least
-            phrases = []
-            for key in uniq[keep].tolist():
-                path, at = [text[key % n_words]], key // n_words
-                for u in reversed(steps):
-                    path.append(text[int(u[at]) % n_words])
-                    at = int(u[at]) // n_words
-                phrases.append(b" ".join([text[at], *reversed(path)]))
+            uniq, state, sums = _sums((head << _SHIFT) | cols[-2], cols[-1])
+            stays = sums >= least
+            path, up = [uniq[stays] & low], uniq[stays] >> _SHIFT
+            for u in reversed(steps):
+                path.append(u[up] & low)
+                up = u[up] >> _SHIFT
+            names = np.stack([up, *reversed(path)], axis=1)
         else:
-            up = state[np.concatenate(above)]
-            live = np.flatnonzero(keep[up])
-            uniq, inv, sums = _sums(up[live] * n_words + last[live], w[live])
-            name_of = np.cumsum(keep) - 1
-            state = np.full(len(w), len(uniq), np.int64)  # one more state for all that went
+            up = state[cols[0] + np.repeat(offsets, sizes)]
+            live = np.flatnonzero(stays[up])
+            uniq, inv, sums = _sums((up[live] << _SHIFT) | cols[1][live], cols[2][live])
+            name_of = np.cumsum(stays) - 1
+            state = np.full(len(up), len(uniq))  # one more state for all that went
             state[live] = inv
-            keep = sums >= least
-            phrases = [names[name_of[j // n_words]] + b" " + text[j % n_words] for j in uniq[keep].tolist()]
-        out.append((k + 1, phrases, sums[keep]))
-        keep = np.append(keep, False)
-        names = phrases
-    return total, out
+            stays = sums >= least
+            names = np.column_stack([names[name_of[uniq[stays] >> _SHIFT]], uniq[stays] & low])
+        yield names, sums[stays]
+        stays = np.append(stays, False)
+        offsets = (np.cumsum(sizes) - sizes).tolist()
+        at, k = at + width, k + 1
 
 
-def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST,
-                  shard_bytes: int = SHARD_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(lang, m, phrase, f): phrases of m words with f >= ``least`` occurrences; m = 0 holds shares of all word occurrences."""
-    src = df.select(text_or_empty(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    ranges = shard_count(src, "text", range_bytes)
-    shard_schema = pa.schema([("range", pa.int32()), ("lang", pa.string()), ("words", pa.binary()), ("nodes", pa.binary())])
+def text_shards(src: DataFrame, shard_bytes: int) -> DataFrame:
+    """(shard, lang, tokens, words, counts): packed word numbers, the distinct words and their counts of each shard and language."""
+    schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("tokens", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = defaultdict(list)
-        size = 0
+        size, shard = 0, TaskContext.get().partitionId() << 32
 
         def flush():
             for lang, bufs in held.items():
-                ids, piece, words = tokens(b"\n".join(bufs))
+                ids, words = tokens(b"\n".join(bufs))
                 if len(ids):
-                    for r, ws, nodes in _packed(automaton(ids, piece, len(words), longest), words, ranges):
-                        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(([r], [lang], [ws], [nodes]), shard_schema)],
-                                                         schema=shard_schema)
+                    counts = np.bincount(ids, minlength=len(words) + 1)[1:]
+                    cols = [shard], [lang], [packed([ids])], [words.cast(pa.large_string()).to_pylist()], [counts]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
             held.clear()
 
         for b in sliced(batches, "text"):
@@ -253,24 +202,66 @@ def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
                     size, at = size + end - at + 1, end + 1
                     if size >= shard_bytes:
                         yield from flush()
-                        size = 0
+                        size, shard = 0, shard + 1
         yield from flush()
 
+    return src.mapInArrow(run, "shard long, lang string, tokens binary, words array<string>, counts array<long>")
+
+
+def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
+    """The rows with dense numbers ``id`` from 0 in the given order, without a sort in one task."""
+    ranged = written(df.repartitionByRange(*order).withColumn("pid", F.spark_partition_id()), "numbered")
+    sizes = ranged.groupBy("pid").agg(F.count("*").alias("c"))  # a row per partition
+    first = sizes.select("pid", (F.sum("c").over(Window.orderBy("pid")) - F.col("c")).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("pid").orderBy(*order))
+    return ranged.join(first, "pid").withColumn("id", (F.col("first") + rank - 1).cast("int")).drop("pid", "first")
+
+
+def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST,
+                  shard_bytes: int = SHARD_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(lang, m, phrase, f): phrases of m words with f >= ``least`` occurrences; m = 0 holds all word occurrences."""
+    src = df.select(text_or_empty(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
+    ranges = shard_count(src, "text", range_bytes)
+    shards = written(text_shards(src, shard_bytes), "phrase-shards")
+    words = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select(
+        "shard", "lang", "local", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    total = shards.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("f"))
+    # frequent words get small numbers, which pack well
+    vocab = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    vocab = written(numbered(vocab, F.desc("f"), "lang", "word"), "phrase-words")
+    mine = (words.select("shard", "lang", "local", "word").join(vocab.select("lang", "word", "id"), ["lang", "word"])
+            .groupBy("shard", "lang").agg(F.collect_list("local").alias("local"), F.collect_list("id").alias("id")))
+
+    def shard_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                stream, = unpacked(b.column("tokens")[i].as_py())
+                local, ids = (b.column(c)[i].values.to_numpy() for c in ("local", "id"))
+                number = np.full(int(stream.max()) + 1, -1, np.int64)
+                number[local + 1] = ids
+                got = list(cut(automaton(number[stream], longest), ranges))
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in got], pa.int32()), pa.array([b.column("lang")[i].as_py()] * len(got), pa.string()),
+                                                  pa.array([s for _, s in got], pa.binary())], ["range", "lang", "states"])
+
     def unite(table: pa.Table) -> pa.Table:
-        parts = defaultdict(list)
-        for lang, ws, nodes in zip(*(table.column(c).to_pylist() for c in ("lang", "words", "nodes"))):
-            parts[lang].append((ws, nodes))
-        rows: list[list] = [[], [], [], []]
-        for lang in sorted(parts):
-            total, levels = united(parts[lang], least)
-            for m, phrases, f in [(0, [b""], np.array([total])), *levels]:
-                for col, v in zip(rows, ([lang] * len(phrases), [m] * len(phrases), [p.decode() for p in phrases], f.tolist())):
-                    col.extend(v)
-        return pa.table([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int32(), pa.string(), pa.int64()))],
-                        names=["lang", "m", "phrase", "f"])
-
-    cut = src.mapInArrow(shards, _SHARD_SCHEMA)
-    return written(cut.groupBy("range").applyInArrow(unite, _GRAM_SCHEMA), "phrase-counts")
+        blobs = defaultdict(list)
+        for lang, s in zip(table.column("lang").to_pylist(), table.column("states").to_pylist()):
+            blobs[lang].append(s)
+        langs, paths, f = [], [], []
+        for lang in sorted(blobs):
+            for names, sums in united(blobs[lang], least):
+                langs += [lang] * len(names)
+                paths += names.tolist()
+                f += sums.tolist()
+        return pa.table([pa.array(langs, pa.string()), pa.array(paths, pa.list_(pa.int32())), pa.array(f, pa.int64())], names=["lang", "path", "f"])
+
+    states = shards.select("shard", "lang", "tokens").join(mine, ["shard", "lang"]).select("lang", "tokens", "local", "id").mapInArrow(
+        shard_states, "range int, lang string, states binary")
+    found = written(states.groupBy("range").applyInArrow(unite, "lang string, path array<int>, f long"), "phrase-paths")
+    spelled = (found.select("lang", "path", "f", F.posexplode("path").alias("at", "id")).join(vocab.select("id", "word"), "id")
+               .groupBy("lang", "path", "f").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
+               .select("lang", F.size("path").alias("m"), F.array_join("w.word", " ").alias("phrase"), "f"))
+    return written(spelled.union(vocab.select("lang", F.lit(1), "word", "f")).union(total.select("lang", F.lit(0), F.lit(""), "f")), "phrase-counts")
 
 
 def exact_ratio(scale: int, a: str, n: str, left: str, right: str) -> Column:

@@ -8,7 +8,7 @@
    bounded-knapsack dynamic programming over the documents left (counts split into powers of two), to the sum
    nearest the budget.
 3. Of the documents of one size, the needed number is taken in the order of a seeded hash of the id. Counts per
-   hash bucket tell which buckets are taken whole; only the bucket at the edge is looked at closer, by
+   piece of the hash tell which parts are taken whole; only the part at the edge is looked at closer, by more of the
    hash and then by place, so a source or a size with a third of all rows is never sorted in one task.
 
 One task handles the sizes of one source (a row per distinct size) and one the table of sources (a row per source); both
@@ -23,6 +23,7 @@ An empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -102,19 +103,32 @@ def _knapsack(items: list[tuple[int, int, int]], goal: int) -> Iterator[tuple[in
         at -= w
 
 
-def _at_edge(rows: DataFrame, part: list[str], level: list[str]) -> DataFrame:
-    """Rows (with ``part`` and ``level`` columns and their part's ``need``) with the fate of their level.
+def _first_rows(rows: DataFrame, need: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
+    """``rows`` with ``keep`` and ``extra``: 1 for the first ``need`` rows of each group ``by`` (in order of h, then place), else 0.
 
-    ``extra`` is 1 for levels taken whole, 0 for levels left; null where the level holds the edge, with ``need`` then
-    being what is still to take within it.
+    Each step splits the groups by one more piece of the order. Counts tell which parts are taken whole or
+    left; only the part at the edge goes on to the next step. A part's window holds 256 counts at most, but for the
+    step by the whole hash, which meets one part in 2^24 of a group.
     """
-    by = part + level
-    counts = rows.groupBy(*by).agg(F.count("*").alias("c"), F.first("need").alias("need"))
-    upto = F.sum("c").over(Window.partitionBy(*part).orderBy(*level))
-    fate = (counts.withColumn("upto", upto)
-            .select(*by, F.expr("CASE WHEN upto <= need THEN 1 WHEN upto - c >= need THEN 0 END").alias("extra"),
-                    (F.col("need") - F.col("upto") + F.col("c")).alias("need")))
-    return rows.drop("need").join(fate, by)
+    steps = [*(F.shiftrightunsigned("h", s) % 256 for s in (56, 48, 40)), F.col("h"),
+             *(F.shiftrightunsigned(F.xxhash64("place"), s) % 256 for s in (56, 48)), F.col("place")]
+    done = []
+    for i, step in enumerate(steps):
+        level = f"level{i}"
+        rows = rows.withColumn(level, step)
+        counts = rows.groupBy(*by, level).agg(F.count("*").alias("c")).join(need, by)
+        upto = F.sum("c").over(Window.partitionBy(*by).orderBy(level))
+        by = [*by, level]
+        fate = (counts.withColumn("upto", upto)
+                .select(*by, *keep, (F.col("need") - F.col("upto") + F.col("c")).alias("need"),
+                        F.expr("CASE WHEN upto <= need THEN 1 WHEN upto - c >= need THEN 0 END").alias("extra")))
+        split = written(rows.join(fate, by), "mix-split")
+        done.append(split.where("extra IS NOT NULL").select("doc_id", "size", *keep, "extra"))
+        rows = split.where("extra IS NULL").drop("extra", "need", *keep)
+        need = fate.where("extra IS NULL").drop("extra")
+        if rows.isEmpty():
+            break
+    return reduce(DataFrame.union, done)
 
 
 def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source",
@@ -125,7 +139,7 @@ def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
                                    text_or_empty(text_col).alias("text")), "place")
     rows = written(keyed.select("doc_id", F.coalesce(F.concat(F.lit("s"), "src"), F.lit("n")).alias("src"),
                                 F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"),
-                                F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.xxhash64("place").alias("p")), "mix-sizes")
+                                F.xxhash64(F.lit(seed), "doc_id").alias("h"), "place"), "mix-sizes")
     lengths = written(rows.groupBy("src", "size").agg(F.count("*").alias("c")), "mix-lengths")
     weights, most = list(weights), int(most)
 
@@ -150,18 +164,5 @@ def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
     fitted = written(lengths.join(goal, "src").groupBy("src").applyInPandas(
         fit, "src string, size long, source_size long, target double, whole int, need long"), "mix-fit")
 
-    rows = rows.withColumn("bucket", F.shiftrightunsigned("h", 48))
-    # the plan meets the documents by size and bucket, so a hot size is spread over its buckets
-    counts = rows.groupBy("src", "size", "bucket").agg(F.count("*").alias("c")).join(fitted, ["src", "size"])
-    upto = F.sum("c").over(Window.partitionBy("src", "size").orderBy("bucket"))
-    fate = (counts.withColumn("upto", upto)
-            .select("src", "size", "bucket", "source_size", "target", "whole", (F.col("need") - F.col("upto") + F.col("c")).alias("need"),
-                    F.expr("CASE WHEN upto <= need THEN 1 WHEN upto - c >= need THEN 0 END").alias("extra")))
-    first = written(rows.join(fate, ["src", "size", "bucket"]), "mix-buckets")
-    keep = ["doc_id", "size", "source_size", "target", "whole", "extra"]
-    edge = first.where("extra IS NULL").drop("extra").withColumn("slot", F.shiftrightunsigned("p", 52))
-    second = written(_at_edge(edge, ["src", "size", "bucket"], ["h", "slot"]), "mix-edge")
-    rank = F.row_number().over(Window.partitionBy("src", "size", "bucket", "h", "slot").orderBy("p"))
-    last = second.where("extra IS NULL").withColumn("extra", (rank <= F.col("need")).cast("int"))
-    out = first.where("extra IS NOT NULL").select(*keep).union(second.where("extra IS NOT NULL").select(*keep)).union(last.select(*keep))
+    out = _first_rows(rows, fitted, ["src", "size"], ["source_size", "target", "whole"])
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("extra"))).alias("taken"))
