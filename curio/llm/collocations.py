@@ -5,8 +5,8 @@ is the phrase's number of occurrences. Phrases share their prefixes, and a state
 level k - 1, word), so the automaton is a sorted list of such pairs per level.
 
 1. Shards: a task reads texts up to ``shard_bytes`` and cuts them into pieces and words. Each shard sends its
-   distinct words with their counts. Words with ``least`` occurrences are numbered, and every shard gets the
-   numbers of its own words by a join; a rarer word is in no candidate, so it parts a piece.
+   distinct words with their counts. Words with two occurrences or more are numbered, and every shard gets the
+   numbers of its own words by a join; a word that occurs once is in no candidate, so it parts a piece.
 2. Each shard builds its automaton level by level, adding arcs in sorted order; equal phrases are one state with
    a weight. The automaton is cut by prefix (its first ``HEAD`` words) into ranges of the prefix's hash.
 3. Union: the owner of a range unites the shards' states and sums their weights as integers. States under ``least`` go,
@@ -227,7 +227,7 @@ def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
         "shard", "lang", "local", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     total = shards.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("f"))
     # frequent words get small numbers, which pack well
-    vocab = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    vocab = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= min(least, 2))
     vocab = written(numbered(vocab, F.desc("f"), "lang", "word"), "phrase-words")
     mine = (words.select("shard", "lang", "local", "word").join(vocab.select("lang", "word", "id"), ["lang", "word"])
             .groupBy("shard", "lang").agg(F.collect_list("local").alias("local"), F.collect_list("id").alias("id")))
@@ -261,7 +261,7 @@ def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     spelled = (found.select("lang", "path", "f", F.posexplode("path").alias("at", "id")).join(vocab.select("id", "word"), "id")
                .groupBy("lang", "path", "f").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
                .select("lang", F.size("path").alias("m"), F.array_join("w.word", " ").alias("phrase"), "f"))
-    return written(spelled.union(vocab.select("lang", F.lit(1), "word", "f")).union(total.select("lang", F.lit(0), F.lit(""), "f")), "phrase-counts")
+    return written(spelled.union(vocab.where(F.col("f") >= least).select("lang", F.lit(1), "word", "f")).union(total.select("lang", F.lit(0), F.lit(""), "f")), "phrase-counts")
 
 
 def exact_ratio(scale: int, a: str, n: str, left: str, right: str) -> Column:
