@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 
 def draw_key(seed, id_col="id") -> Column:
+    """``seed`` may be a text column: rows of many draws then keep the keys of their own draw."""
     idc = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), idc.cast("string")))
+    s = seed if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat_ws(":", s, idc.cast("string")))
 
 
 def draw_order(seed, id_col="id") -> list[Column]:

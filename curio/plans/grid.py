@@ -1,19 +1,23 @@
 """Experiment grid: datasets x methods x balance x repeats (x classifier filter), one isolated run per config.
 
-Each configuration gets its own ``run_id``, so runs share one set of append-only logs without
-clobbering each other (no state files to delete between runs). Results of all runs are one table;
+Each configuration gets its own ``run_id``, so runs share one set of logs without clobbering each other (no
+state files to delete between runs), and all runs advance together (``lockstep``). Results of all runs are one table;
 ``summarize`` gives mean and sample std of the final metric per configuration.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-from .flagship import active_learning
+from ..session import checkpoint_dir
+from ..sources import bind as B
+from .flagship import loop_tables, pool_fingerprint
+from .lockstep import run_lockstep
 
 METHODS = ("lda", "kmeans", "fine")
 
@@ -27,18 +31,26 @@ def grid_configs(methods=METHODS, balance=(True, False), repeats: int = 3, filte
     return out
 
 
-def run_grid(spark: SparkSession, sf_dir: str, configs: list[dict], rounds: int = 10, k: int = 10) -> DataFrame:
-    """Run every configuration (sequentially: each run is itself a chain of distributed jobs). All
-    runs share one set of logs; each repeat has its own seed, for the topic fit as for the draws."""
-    root = scratch_path(spark, "grid")
-    results = None
-    for c in configs:
-        r = active_learning(spark, sf_dir, method=c["method"], k=k, rounds=rounds, balance=c["balance"],
-                            filter_label=c["filter_label"], run_id=c["run_id"], store_root=root,
-                            dataset=c["dataset"], seed=c["repeat"])
-        r = r.select("*", *[F.lit(c[x]).alias(x) for x in ("dataset", "method", "balance", "filter_label", "repeat")])
-        results = r if results is None else results.unionByName(r)
-    return results
+def grid_root(spark: SparkSession, sf_dir: str, configs: list[dict], rounds: int, k: int) -> str:
+    """The grid's folder, named by the content of its pools and by its configurations."""
+    pools = [pool_fingerprint(loop_tables(spark, sf_dir, ds)[0]) for ds in sorted({c["dataset"] for c in configs})]
+    labels = [B.table(spark, sf_dir, t).agg(F.sum(F.xxhash64(*c).cast("decimal(38,0)"))).first()[0]
+              for t, c in (("labels", ["doc_id", "toxic"]), ("part", ["p_partkey", "p_name"]))]
+    key = json.dumps([pools, [str(x) for x in labels], configs, rounds, k], sort_keys=True)
+    return f"{checkpoint_dir(spark)}/grid-{hashlib.md5(key.encode()).hexdigest()[:16]}"
+
+
+def run_grid(spark: SparkSession, sf_dir: str, configs: list[dict], rounds: int = 10, k: int = 10,
+             root: str | None = None) -> DataFrame:
+    """All configurations in lockstep: a round is one chain of plans for every run. Each repeat has its own
+    seed, for the topic fit as for the draws; runs of one dataset, method and seed share the assignment.
+    A grid of the same content and configurations that was cut short goes on, a finished one is read."""
+    root = root or grid_root(spark, sf_dir, configs, rounds, k)
+    results = run_lockstep(spark, sf_dir, configs, root, rounds, k)
+    cols = ("dataset", "method", "balance", "filter_label", "repeat")
+    names = spark.createDataFrame([(c["run_id"], *(c[x] for x in cols)) for c in configs],
+                                  "run_id string, dataset string, method string, balance boolean, filter_label boolean, repeat int")
+    return results.join(names, "run_id")
 
 
 def summarize(results: DataFrame, baseline: float = 0.5) -> DataFrame:

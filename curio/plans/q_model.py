@@ -12,7 +12,8 @@ from ..session import scratch_path
 from . import sqlbits as S
 from .flagship import active_learning as _al
 from .flagship import labeled_splits
-from .grid import grid_configs, run_grid, summarize
+from .grid import grid_configs, grid_root, run_grid, summarize
+from .lockstep import LABELED_LOG, Steps, grid_tables
 from .registry import query
 
 
@@ -113,8 +114,44 @@ def loop_facts(spark, d):
     return out
 
 
+GRID = dict(filter_label=(False, True), datasets=("news", "ads"))
+
+
 @query("grid_run")
 def grid_run(spark, d):
     """The whole experiment grid: both datasets, every method, balance and classifier filter on and off, three
     repeats, each run with the default rounds and k. Runs of one dataset, method and seed share the assignment."""
-    return summarize(run_grid(spark, d, grid_configs(filter_label=(False, True), datasets=("news", "ads"))))
+    return summarize(run_grid(spark, d, grid_configs(**GRID)))
+
+
+@query("grid_facts", f"""WITH pools AS (SELECT 'news' AS dataset, count(*) AS pool_rows FROM documents
+  WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id % {B.TEST_SPLIT_MOD} = 0)
+  UNION ALL SELECT 'ads', count(*) FROM part WHERE p_name IS NOT NULL AND p_partkey % {B.TEST_SPLIT_MOD} <> 0)
+SELECT dataset, method, balance, filter_label, 3::BIGINT AS n_runs, 30::BIGINT AS n_rounds, 3 * pool_rows AS pool_rows,
+  0::BIGINT AS repeated_ids, 0::BIGINT AS unlabeled, 0::BIGINT AS relabeled, 0::BIGINT AS oversized, 0::BIGINT AS off_arm
+FROM pools, (VALUES ('lda'), ('kmeans'), ('fine')) m(method), (VALUES (true), (false)) b(balance), (VALUES (true), (false)) f(filter_label)""")
+def grid_facts(spark, d):
+    """The finished grid told from its logs, per configuration: runs, rounds, clustered pool rows, ids drawn twice by a
+    run, drawn rows without a label, stored labels not kept, draws above the sample size, rows outside the round's arm."""
+    configs = grid_configs(**GRID)
+    root = grid_root(spark, d, configs, 10, 10)
+    res = run_grid(spark, d, configs, root=root)
+    steps, names = Steps(spark, f"{root}/rounds"), ["dataset", "method", "balance", "filter_label"]
+    runs = res.select("run_id", *names, F.concat_ws("-", "dataset", "method", "repeat").alias("pool")).distinct()
+    tables = grid_tables(spark, d, configs, root, 10)
+    labeled = steps.read("labeled", 1, 10, LABELED_LOG).join(runs, "run_id")
+    stored = tables["labels"].groupBy("dataset", "id").agg(F.max("label").alias("least"), F.min("label").alias("most"))
+    home = tables["assignment"].select("pool", "id", "label_cluster")
+    facts = {
+        "n_runs": runs.groupBy(*names), "n_rounds": res.groupBy(*names),
+        "pool_rows": runs.join(home.groupBy("pool").agg(F.count("*").alias("w")), "pool").groupBy(*names),
+        "repeated_ids": labeled.groupBy(*names, "run_id", "id").count().where("count > 1").groupBy(*names),
+        "unlabeled": labeled.where("label IS NULL OR label NOT IN (0, 1)").groupBy(*names),
+        "relabeled": labeled.join(stored, ["dataset", "id"]).where("label NOT IN (least, most)").groupBy(*names),
+        "oversized": labeled.groupBy(*names, "run_id", "step").count().where("count > 200").groupBy(*names),
+        "off_arm": labeled.join(home, ["pool", "id"]).where("arm <> label_cluster").groupBy(*names)}
+    out = runs.select(*names).distinct()
+    for fact, g in facts.items():
+        n = F.sum("w") if fact == "pool_rows" else F.count(F.lit(1))
+        out = out.join(g.agg(n.alias(fact)), names, "left")
+    return out.select(*names, *[F.coalesce(f, F.lit(0)).alias(f) for f in facts])
