@@ -4,7 +4,7 @@ Every window of ``WINDOW`` words has one anchor: its phrase of ``PHRASE`` words
 leftmost if tied. Equal windows have equal anchors, so only anchors that occur twice can belong to repeated windows.
 Consecutive windows with the same anchor form a segment.
 
-1. Each shard sends its distinct segments (anchor hash, content hash, place of one occurrence, count). A
+1. Each shard sends its distinct segments (anchor hash, digest of the words, place of one occurrence, count). A
    segment counted twice or more is a confirmed recurring passage. A segment counted once whose anchor
    recurs is uncertain: its windows are compared one by one with those of the other segments of that anchor.
 2. The passages of a shard are read from their place in its own texts. Their anchor phrases are compiled into
@@ -14,8 +14,9 @@ Consecutive windows with the same anchor form a segment.
 
 Shards are runs of rows of a file, so their size does not grow with the input and each text meets only the
 automata of its own shard; confirmation is global. Copies within a shard collapse before any
-shuffle, joins on an anchor can be split by Spark when one is hot, and groups by segment hold a row per shard at most.
-Hashes are 128 bits (anchor and content); what they confirm is compared as words before anything is removed.
+shuffle; joins on an anchor or a segment can be split by Spark when one is hot, and segments are counted by partial sums.
+Passages of different shards are equal if a 128-bit BLAKE2b digest of their words is; the rolling word and anchor
+hashes only bring candidates together. Within a shard the words themselves are compared before anything is removed.
 
 Edge cases: a null text has no words and gives an empty text. Texts shorter than a window stay whole; kept
 words are joined by single spaces. Windows that repeat within one text or overlap count like any others. Rows sharing an id are rows of their
@@ -25,12 +26,13 @@ own. An empty table gives no rows. Extra columns are not read.
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 from itertools import repeat
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SHARD_ROWS, by_shard, placed, sliced, text_bytes, text_or_empty, written
@@ -73,8 +75,23 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every word of the texts, and the texts' first words (one more entry: the number of words)."""
+class Words:
+    """The words of some texts, joined by single spaces."""
+
+    def __init__(self, body: bytes, start: np.ndarray, end: np.ndarray):
+        self.body = b" ".join(body.split())
+        after = np.cumsum(end - start + 1)
+        self.start, self.end = after - (end - start + 1), after - 1
+
+    def digests(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """128-bit digests (two numbers a row) of the words first .. last - 1."""
+        body = memoryview(self.body)
+        out = [blake2b(body[i:j], digest_size=16).digest() for i, j in zip(self.start[first].tolist(), self.end[last - 1].tolist())]
+        return np.frombuffer(b"".join(out), dtype="<i8").reshape(-1, 2)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Words]:
+    """A hash of every word of the texts, the texts' first words (one more entry: the number of words), and the words."""
     body = b" ".join([*texts, b""])
     raw = np.frombuffer(body, dtype=np.uint8)
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
@@ -82,12 +99,12 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     h = Rolling(_BYTE[raw], _BASES[0]).span(start, end) if len(raw) else np.zeros(0, dtype=np.uint64)
     offsets = np.r_[0, np.cumsum([len(t) + 1 for t in texts])].astype(np.int64)
-    return h, np.searchsorted(start, offsets)
+    return h, np.searchsorted(start, offsets), Words(body, start, end)
 
 
 def segments(texts: list[bytes], window: int, phrase: int) -> dict[str, np.ndarray]:
-    """Segments of the texts: hi (anchor), lo (content), doc (number of the text), start, windows, left (anchor's place)."""
-    h, first = word_hashes(texts)
+    """Segments of the texts: hi (anchor), d1 and d2 (digest), doc (number of the text), start, windows, left (anchor's place)."""
+    h, first, words = word_hashes(texts)
     n, places = len(h), window - phrase + 1
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     ends = first[1:][doc] if n else np.zeros(0, dtype=np.int64)
@@ -109,8 +126,8 @@ def segments(texts: list[bytes], window: int, phrase: int) -> dict[str, np.ndarr
     start = np.flatnonzero(new)
     stop = np.flatnonzero(valid & np.r_[(arg[1:] != arg[:-1]) | ~valid[1:], True][:n]) + 1
     windows, left = stop - start, arg[start] - start
-    lo = mix(roll.span(start, start + windows + (window - 1)) + (left * 64 + windows).astype(np.uint64) * np.uint64(_BASES[0]))
-    return {"hi": g[arg[start]].view(np.int64), "lo": lo.view(np.int64), "doc": doc[start], "start": start - first[doc[start]], "windows": windows, "left": left}
+    d = words.digests(start, start + windows + (window - 1))
+    return {"hi": g[arg[start]].view(np.int64), "d1": d[:, 0], "d2": d[:, 1], "doc": doc[start], "start": start - first[doc[start]], "windows": windows, "left": left}
 
 
 def pack(doc, start, windows, left):
@@ -123,18 +140,18 @@ def unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def shard_segments(src: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(hi, lo, _shard, at, n): the distinct segments of each shard with the place of one and their number."""
+    """(hi, d1, d2, _shard, at, n): the distinct segments of each shard with the place of one and their number."""
     def run(batches):
         held, count, shard = [], 0, None
 
         def flush():
             c = [np.concatenate(x) for x in zip(*held)]
-            order = np.lexsort((c[1], c[0]))
-            hi, lo, at = (x[order] for x in c)
-            first = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
+            order = np.lexsort((c[2], c[1], c[0]))
+            hi, d1, d2, at = (x[order] for x in c)
+            first = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])])
             n = np.diff(np.r_[first, len(hi)])
-            return pa.RecordBatch.from_arrays([pa.array(hi[first]), pa.array(lo[first]), pa.array(np.full(len(first), shard, dtype=np.int64)),
-                                               pa.array(at[first]), pa.array(n.astype(np.int64))], ["hi", "lo", "_shard", "at", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(hi[first]), pa.array(d1[first]), pa.array(d2[first]), pa.array(np.full(len(first), shard, dtype=np.int64)),
+                                               pa.array(at[first]), pa.array(n.astype(np.int64))], ["hi", "d1", "d2", "_shard", "at", "n"])
 
         for b in sliced(batches, "_t"):
             shards = b.column("_shard").to_numpy()
@@ -147,12 +164,12 @@ def shard_segments(src: DataFrame, window: int, phrase: int) -> DataFrame:
                 part = b.slice(i, j - i)
                 s = segments(text_bytes(part.column("_t")), window, phrase)
                 rows = part.column("_row").to_numpy() % SHARD_ROWS
-                held.append((s["hi"], s["lo"], pack(rows[s["doc"]], s["start"], s["windows"], s["left"])))
+                held.append((s["hi"], s["d1"], s["d2"], pack(rows[s["doc"]], s["start"], s["windows"], s["left"])))
                 count += len(s["hi"])
         if count:
             yield flush()
 
-    return src.select("_shard", "_row", "_t").mapInArrow(run, "hi long, lo long, _shard long, at long, n long")
+    return src.select("_shard", "_row", "_t").mapInArrow(run, "hi long, d1 long, d2 long, _shard long, at long, n long")
 
 
 def text_blocks(src: DataFrame) -> DataFrame:
@@ -213,7 +230,7 @@ def shards_of(batches):
 
 
 def window_rows(pointers: DataFrame, blocks: DataFrame, window: int) -> DataFrame:
-    """(hi, wh, _shard, at, weight): the windows of the segments pointed at, distinct within a shard."""
+    """(d1, d2, _shard, at, hi, weight): the windows of the segments pointed at, distinct within a shard."""
     def run(batches):
         for shard, (hi, at, weight), shard_blocks in shards_of(batches):
             if not len(at):
@@ -228,24 +245,24 @@ def window_rows(pointers: DataFrame, blocks: DataFrame, window: int) -> DataFram
                 if not len(mine):
                     continue
                 used = np.unique(place[doc[mine]])
-                h, first = word_hashes([texts[k] for k in used.tolist()])
+                _, first, words = word_hashes([texts[k] for k in used.tolist()])
                 base = first[np.searchsorted(used, place[doc[mine]])] + start[mine]
                 rep = np.repeat(mine, windows[mine])
                 k = np.arange(len(rep)) - np.repeat(np.r_[0, np.cumsum(windows[mine])][:-1], windows[mine])
                 s = np.repeat(base, windows[mine]) + k
-                wh = Rolling(h, _BASES[1]).span(s, s + window).view(np.int64)
-                out.append((hi[rep], wh, pack(doc[rep], start[rep] + k, np.ones_like(k), left[rep] - k), weight[rep]))
+                d = words.digests(s, s + window)
+                out.append((d[:, 0], d[:, 1], hi[rep], pack(doc[rep], start[rep] + k, np.ones_like(k), left[rep] - k), weight[rep]))
             if not out:
                 continue
-            a, w, p, n = (np.concatenate(x) for x in zip(*out))
+            a, w, hi, p, n = (np.concatenate(x) for x in zip(*out))
             order = np.lexsort((w, a))
-            a, w, p, n = a[order], w[order], p[order], n[order]
+            a, w, hi, p, n = a[order], w[order], hi[order], p[order], n[order]
             first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (w[1:] != w[:-1])])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(a[first]), pa.array(w[first]), pa.array(np.full(len(first), shard, dtype=np.int64)), pa.array(p[first]),
-                 pa.array(np.add.reduceat(n, first))], ["hi", "wh", "_shard", "at", "weight"])
+                 pa.array(hi[first]), pa.array(np.add.reduceat(n, first))], ["d1", "d2", "_shard", "at", "hi", "weight"])
 
-    return with_blocks(pointers, blocks).mapInArrow(run, "hi long, wh long, _shard long, at long, weight long")
+    return with_blocks(pointers, blocks).mapInArrow(run, "d1 long, d2 long, _shard long, at long, hi long, weight long")
 
 
 def letters_of(i: int) -> str:
@@ -315,17 +332,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = written(shard_segments(src, window, phrase), "op5-segments")
     recurring = found.groupBy("hi").agg(F.sum("n").alias("a")).where("a > 1").select("hi")
     recurring = written(recurring, "op5-anchors")
-    per_segment = Window.partitionBy("hi", "lo")
-    kept = found.join(recurring, "hi").repartition("hi", "lo")
-    kept = written(kept.withColumn("s", F.sum("n").over(per_segment))
-                   .withColumn("k", F.row_number().over(per_segment.orderBy("_shard", "at"))), "op5-recurring")
+    segment = ["hi", "d1", "d2"]
+    kept = found.join(recurring, "hi")
+    sums = kept.groupBy(*segment).agg(F.sum("n").alias("s"), F.min(F.struct("_shard", "at")).alias("one"))
+    kept = written(kept.join(sums, segment).withColumn("first", F.struct("_shard", "at") == F.col("one")).drop("one"), "op5-recurring")
     unsure = written(kept.groupBy("hi").agg(F.min("s").alias("least")).where("least = 1").select("hi"), "op5-unsure")
-    pointers = (kept.where("s = 1 OR k = 1").join(unsure, "hi")
+    pointers = (kept.where("s = 1 OR first").join(unsure, "hi")
                 .select("_shard", "hi", "at", F.least(F.col("s"), F.lit(2)).alias("weight")))
     blocks = text_blocks(src)
-    windows = window_rows(pointers, blocks, window)
-    total = F.sum("weight").over(Window.partitionBy("hi", "wh"))
-    again = windows.withColumn("total", total).where("total > 1")
+    windows = written(window_rows(pointers, blocks, window), "op5-windows")
+    repeated = windows.groupBy("d1", "d2").agg(F.sum("weight").alias("total")).where("total > 1").select("d1", "d2")
+    again = windows.join(repeated, ["d1", "d2"])
     places = (kept.where("s > 1").select("_shard", "hi", "at", F.lit(1).cast("long").alias("weight"))
               .union(again.select("_shard", "hi", "at", "weight")))
 

@@ -2,22 +2,24 @@
 
 Features are words (ASCII letters lower-cased, other ASCII characters part words) and their prefixes of
 4 to 6 bytes, hashed to ``DIMS`` numbers; a document has a feature or not. The
-classifier is fitted on a bounded sample of the labelled rows (``max_train``, expected size): features
-that tell the classes apart (likelihood ratio above ``MIN_G2``) enter a logistic regression with the
-loss
+classifier is fitted on a bounded sample of the labelled rows (``max_train``, expected size; ``MAX_PER_ID`` of one id):
+features that tell the classes apart (likelihood ratio above ``MIN_G2``) and every identity term that the sample holds
+enter a logistic regression with the loss
 
     class-balanced log loss + l2 |w|^2 + cf * mean over counterfactual pairs of (score(x) - score(x'))^2
 
 where x' is x with its identity terms swapped for others of their group, and the score is the logit.
-A group's name alone then hardly moves a score, which keeps neutral mentions of groups clean. Only texts and
-labels are read; ids only place rows in the sample.
+A group's name alone then hardly moves a score, which keeps neutral mentions of groups clean. Groups are listed for
+English, French, German and Spanish; a term that stands in two languages swaps within the first. Only texts and labels
+are read; ids only place rows in the sample.
 
 The sample is featurised by Spark and fitted in one task of bounded size; the fitted weights are a few
 thousand numbers at most (``DIMS`` bounds them). All documents are scored, whole, in place.
 
 Edge cases: a null text counts as empty; a text without known features gets the intercept's score. Labels
-other than 0 and 1 and null labels are not learned from; several labels of one id are all used. If a class is missing,
-every score is the smoothed share of label 1 (0.5 without labels). Empty tables give no rows.
+other than 0 and 1 and null labels are not learned from; an id with both labels is learned with both. Of rows that share
+an id, ``MAX_PER_ID`` are learned from at most. If a class is missing, every score is the smoothed share of label 1 (0.5
+without labels). Empty tables give no rows. Columns of any other name than the score's stay as they are.
 """
 
 from __future__ import annotations
@@ -25,13 +27,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import sliced, text_bytes, text_or_empty, written
+from .common import free_name, sliced, text_bytes, text_or_empty, written
 
 MAX_TRAIN = 12_000
+MAX_PER_ID = 4
 DIMS = 1 << 22
 MIN_G2 = 15.0
 MIN_DOCS = 4
@@ -41,11 +44,22 @@ TABLE_SIZE = 500_000
 
 #: Terms of a group stand in for each other in counterfactual texts.
 IDENTITY_GROUPS = [
-    "woman man person", "women men people", "girl boy child", "female male", "she he they",
+    "woman man person", "women men people", "girl boy child", "female male", "she he they", "her his their",
     "muslim christian jew hindu buddhist atheist", "muslims christians jews hindus buddhists atheists",
     "black white asian latino arab", "african european american mexican chinese indian",
-    "gay straight lesbian bisexual", "transgender cisgender", "immigrant native foreigner refugee",
-    "immigrants natives foreigners refugees", "disabled deaf blind autistic", "old young elderly",
+    "africans europeans americans mexicans indians", "gay straight lesbian bisexual", "transgender cisgender",
+    "immigrant native foreigner refugee", "immigrants natives foreigners refugees", "disabled deaf blind autistic", "old young elderly",
+    "femme homme personne", "femmes hommes personnes", "fille garçon", "elle il", "elles ils",
+    "musulman chrétien juif hindou bouddhiste athée", "musulmans chrétiens juifs hindous bouddhistes athées",
+    "noir blanc asiatique arabe", "noirs blancs asiatiques arabes", "africain européen américain mexicain chinois indien",
+    "immigré étranger réfugié", "immigrés étrangers réfugiés", "homosexuel hétérosexuel lesbienne",
+    "frau mann mensch", "frauen männer menschen", "mädchen junge", "sie er", "muslime christen juden hindus buddhisten atheisten",
+    "moslem christ jude", "schwarze weiße asiaten araber", "afrikaner europäer amerikaner mexikaner chinese inder",
+    "einwanderer ausländer flüchtling", "schwul lesbisch hetero",
+    "mujer hombre persona", "mujeres hombres personas", "niña niño", "ella él", "ellas ellos",
+    "musulmán cristiano judío hindú budista ateo", "musulmanes cristianos judíos hindúes budistas ateos",
+    "negro blanco asiático árabe", "negros blancos asiáticos árabes", "africano europeo americano mexicano chino indio",
+    "inmigrante extranjero refugiado", "inmigrantes extranjeros refugiados", "lesbiana heterosexual",
 ]
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -61,8 +75,8 @@ def swaps(groups: list[str] = IDENTITY_GROUPS) -> list[dict[bytes, bytes]]:
     for step in (1, -1):
         m = {}
         for g in groups:
-            t = g.encode().split()
-            m.update({x: t[(i + step) % len(t)] for i, x in enumerate(t)})
+            t = [x for x in g.encode().split() if x not in m]
+            m.update({x: t[(i + step) % len(t)] for i, x in enumerate(t) if len(t) > 1})
         out.append(m)
     return out
 
@@ -106,8 +120,13 @@ def featurise(labelled: DataFrame, groups: list[str]) -> DataFrame:
     return labelled.select("_y", "_t").mapInArrow(run, "label int, x array<int>, xs array<array<int>>")
 
 
-def select_features(y: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Features whose presence differs between the classes (likelihood ratio of the 2x2 table)."""
+def term_features(groups: list[str]) -> np.ndarray:
+    """The features of the identity terms as words."""
+    return np.array(sorted({word_features(t)[0] for t in swaps(groups)[0]}), dtype=np.int64)
+
+
+def select_features(y: np.ndarray, rows: list[np.ndarray], always: np.ndarray) -> np.ndarray:
+    """Features whose presence differs between the classes (likelihood ratio of the 2x2 table), and ``always`` where present."""
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
     flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
     feats, inv = np.unique(flat, return_inverse=True)
@@ -120,15 +139,15 @@ def select_features(y: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
         want = held * share / (n1 + n0)
         with np.errstate(divide="ignore", invalid="ignore"):
             g2 += np.where(seen > 0, 2 * seen * np.log(seen / want), 0)
-    return feats[(g2 >= MIN_G2) & (a + b >= MIN_DOCS)]
+    return feats[((g2 >= MIN_G2) & (a + b >= MIN_DOCS)) | np.isin(feats, always)]
 
 
 def fit(y: np.ndarray, rows: list[np.ndarray], pairs: list[tuple[int, np.ndarray]], cf: float, l2: float = 1e-4,
-        steps: int = 600) -> tuple[float, np.ndarray, np.ndarray]:
+        steps: int = 600, always: np.ndarray = np.zeros(0, np.int64)) -> tuple[float, np.ndarray, np.ndarray]:
     """(intercept, feature numbers, weights). ``pairs`` holds (row, counterfactual features)."""
     n, n1 = len(y), float(y.sum())
     prior = float(np.log((n1 + 0.5) / (n - n1 + 0.5)))
-    feats = select_features(y, rows) if 0 < n1 < n else np.zeros(0, dtype=np.int32)
+    feats = select_features(y, rows, always) if 0 < n1 < n else np.zeros(0, dtype=np.int32)
     if not len(feats):
         return prior, feats, np.zeros(0)
 
@@ -174,12 +193,16 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col:
     lab = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col(id_col).isNotNull())
     if use is not None:
         lab = lab.where(use)
+    lab = lab.distinct()
     n = lab.count()
     slot = F.pmod(F.xxhash64(id_col), F.lit(1 << 20))
     lab = lab.where(slot < min(1 << 20, int(max_train / max(1, n) * (1 << 20))))
     lab = written(lab, "op7-sample")
     texts = docs.select(F.col(id_col), text_or_empty(text_col).alias("_t")).join(lab, id_col)
+    per_id = Window.partitionBy(id_col).orderBy(F.xxhash64("_t", "_y"))  # cut before the shuffle, so a hot id does not travel
+    texts = texts.withColumn("_n", F.row_number().over(per_id)).where(F.col("_n") <= MAX_PER_ID)
     rows = written(featurise(texts, groups), "op7-features")
+    always = term_features(groups)
 
     def run(batches):
         y, x, pairs = [], [], []
@@ -188,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col:
                 pairs += [(len(y), np.array(v, dtype=np.int32)) for v in alt]
                 y.append(label)
                 x.append(feats.values.to_numpy())
-        bias, feats, w = fit(np.array(y, dtype=np.float64), x, pairs, cf)
+        bias, feats, w = fit(np.array(y, dtype=np.float64), x, pairs, cf, always=always)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, feats].astype(np.int64)), pa.array(np.r_[bias, w])], ["feature", "weight"])
 
     fitted = rows.repartition(1).mapInArrow(run, "feature long, weight double").collect()
@@ -198,10 +221,11 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col:
 
 def score(docs: DataFrame, model: tuple[float, dict[int, float]], text_col: str = "text",
           score_col: str = "score") -> DataFrame:
-    """The documents with a column ``score_col`` (probability of label 1); all columns stay."""
+    """The documents with a column ``score_col`` (probability of label 1) in place of one of that name; all others stay."""
     bias, weights = model
+    docs = docs.drop(score_col) if score_col != text_col else docs
     keep = docs.columns
-    text = "_scored_text"
+    text = free_name(docs, "_scored_text")
     src = docs.withColumn(text, text_or_empty(text_col))
 
     def run(batches):

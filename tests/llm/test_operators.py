@@ -194,6 +194,21 @@ def test_substring_dedup(docs, empty, window, phrase):
     assert ss.remove_repeats(empty).count() == 0
 
 
+def test_substring_dedup_compares_the_words(spark):
+    """Long regular two-letter words collide under any polynomial hash modulo 2^64; their windows differ all the same."""
+    a, b = "x", "y"
+    for _ in range(12):
+        a, b = a + b, b + a
+    rest = " ".join(f"w{k}" for k in range(34))
+    rows = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a} {rest} more"), (4, f"{b}\n{rest} tail of it")]
+    h = ss.word_hashes([a.encode(), b.encode()])[0]
+    assert a != b and h[0] == h[1]
+    alone = ss.remove_repeats(frame(spark, rows[:2])).collect()
+    assert [r["n_removed"] for r in alone] == [0, 0]
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in ss.remove_repeats(frame(spark, rows)).collect()}
+    assert got == {1: (35, ""), 3: (35, "more"), 2: (35, ""), 4: (35, "tail of it")}
+
+
 def test_substring_dedup_many_automata(docs, monkeypatch):
     monkeypatch.setattr(ss, "PHRASES", 3)
     at = np.zeros(0, dtype=np.int64)
@@ -408,3 +423,79 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(60)] + [(100, 101), (5, 5), (None, 3)], "a long, b long")
     got = {r["node"]: r["root"] for r in graph.connected_components(edges).collect()}
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
+
+
+def plain_toxicity(y, rows, pairs, cf, feats, l2=1e-4):
+    """Newton steps on the loss of ``toxicity.fit`` over the features ``feats``."""
+    x = np.array([[float(f in set(r.tolist())) for f in feats] for r in rows])
+    d = np.array([x[i] - np.array([float(f in set(v.tolist())) for f in feats]) for i, v in pairs]).reshape(-1, len(feats))
+    n, n1 = len(y), y.sum()
+    each = np.where(y > 0, 0.5 / n1, 0.5 / (n - n1))
+    x1 = np.c_[x, np.ones(n)]
+    quad = np.zeros((len(feats) + 1,) * 2)
+    quad[:-1, :-1] = 2 * l2 * np.eye(len(feats)) + 2 * cf * d.T @ d / max(1, len(pairs))
+    v = np.zeros(len(feats) + 1)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-x1 @ v))
+        v = v - np.linalg.solve((x1 * (each * p * (1 - p))[:, None]).T @ x1 + quad + 1e-12 * np.eye(len(v)),
+                                x1.T @ (each * (p - y)) + quad @ v)
+    return v[-1], v[:-1]
+
+
+def toxic_sample(n=300):
+    """Texts whose toxic ones name one group more often than the others."""
+    r = np.random.default_rng(4)
+    y = (r.random(n) < 0.4).astype(float)
+    texts = []
+    for c in y:
+        w = list(r.choice(["table", "river", "green", "paper", "stone"], 6))
+        w += ["vile"] * int(r.random() < (0.6 if c else 0.1)) + ["filth"] * int(r.random() < (0.5 if c else 0.05))
+        w += ["muslim"] * int(r.random() < (0.4 if c else 0.1)) + ["christian"] * int(r.random() < 0.2)
+        texts.append(" ".join(w))
+    return y, texts
+
+
+@pytest.mark.parametrize("cf", [0.0, 1.0, 20.0])
+def test_toxicity_fit_equals_a_plain_optimiser(cf):
+    y, texts = toxic_sample()
+    f, maps = tox.Featuriser(), tox.swaps()
+    bags = [set(tox.words(t.encode())) for t in texts]
+    rows = [f(b) for b in bags]
+    pairs = [(i, f({m.get(w, w) for w in b})) for m in maps for i, b in enumerate(bags) if b & set(maps[0])]
+    always = tox.term_features(tox.IDENTITY_GROUPS)
+    bias, feats, w = tox.fit(y, rows, pairs, cf, steps=20000, always=always)
+    assert np.isin(feats, always).sum() == 2
+    pb, pw = plain_toxicity(y, rows, pairs, cf, feats)
+    assert abs(bias - pb) < 1e-3 and np.abs(w - pw).max() < 1e-3
+
+
+def test_toxicity_penalty_acts(spark):
+    """With the penalty the name of a group moves a score less, and the classes are still told apart."""
+    y, texts = toxic_sample(600)
+    docs = frame(spark, [(i, t) for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, int(c)) for i, c in enumerate(y)], "doc_id long, toxic int")
+    probe = frame(spark, [(0, "paper muslim river"), (1, "paper christian river"), (2, "paper river"), (3, "vile filth river")])
+    gap, hit = [], []
+    for cf in (0.0, 20.0):
+        model = tox.train(docs, labels, cf=cf)
+        got = {r["doc_id"]: r["score"] for r in tox.score(probe, model).collect()}
+        gap.append(abs(got[0] - got[1]))
+        hit.append(got[3])
+    assert gap[1] < 0.5 * gap[0] and min(hit) > 0.7
+
+
+def test_toxicity_bounds_rows_of_one_id_and_keeps_clashing_columns(spark):
+    y, texts = toxic_sample(200)
+    docs = frame(spark, [(i, t) for i, t in enumerate(texts)] + [(7, texts[0] + f" {k}") for k in range(500)])
+    labels = spark.createDataFrame([(i, int(c)) for i, c in enumerate(y)] * 3 + [(7, 0), (7, 1)], "doc_id long, toxic int")
+    seen = []
+    keep = tox.featurise
+    try:
+        tox.featurise = lambda df, g: seen.append(df.groupBy("doc_id").count().agg(F.max("count")).first()[0]) or keep(df, g)
+        model = tox.train(docs, labels)
+    finally:
+        tox.featurise = keep
+    assert seen == [tox.MAX_PER_ID]
+    odd = docs.withColumn("_scored_text", F.lit("kept")).withColumn("_SCORED_TEXT_", F.lit(1))
+    got = tox.score(odd, model, score_col="p")
+    assert got.columns == [*odd.columns, "p"] and got.where("_scored_text = 'kept'").count() == odd.count()
