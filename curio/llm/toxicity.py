@@ -82,9 +82,9 @@ def swaps(groups: list[str] = IDENTITY_GROUPS) -> list[dict[bytes, bytes]]:
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
-    """Hashed features of one word: the word and its prefixes."""
+    """Hashed features of one word: the word (behind a byte that no word holds) and its prefixes."""
     h, last = xxhash.xxh32_intdigest, DIMS - 1
-    return (h(b"w" + word, 17) & last, *(h(word[:k], 17) & last for k in PREFIXES if len(word) > k))
+    return (h(b"\0" + word, 17) & last, *(h(word[:k], 17) & last for k in PREFIXES if len(word) > k))
 
 
 class Featuriser:
