@@ -298,7 +298,8 @@ def cluster(df: DataFrame, method: str, k: int = N_TOPICS, text_col: str = "topi
 
     lda: online LDA on hashed term counts. kmeans: KMeans on document vectors.
     fine: bisecting k-means on document vectors into 2k fine topics, reduced to k.
-    ``embeddings`` (id, embedding) replaces the document vectors of the last two.
+    density: clusters of a neighbour graph's condensed tree, reduced to at most k.
+    ``embeddings`` (id, embedding) replaces the document vectors of the last three.
     """
     if method == "lda":
         a = lda_topics(df, text_col, k, seed=seed, id_col=id_col, **kw)
@@ -313,6 +314,11 @@ def cluster(df: DataFrame, method: str, k: int = N_TOPICS, text_col: str = "topi
             a = reduce_topics(fine, k, id_col=id_col)
         else:
             a = fine.select(id_col, F.col("fine_topic").alias("label_cluster"))
+    elif method == "density":
+        from .density import density_topics
+        emb = embeddings if embeddings is not None else embed_documents(df, text_col, id_col=id_col)
+        fine = _settle(density_topics(emb, id_col, seed=seed).join(emb, id_col).select(id_col, "embedding", F.col("topic").alias("fine_topic")))
+        a = reduce_topics(fine, k, id_col=id_col)
     else:
         raise ValueError(f"unknown clustering method {method!r}")
     return dense_arms(a, "label_cluster", "_arm").select(id_col, F.col("_arm").alias("label_cluster"))

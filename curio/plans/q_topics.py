@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import density as DN
 from ..operators import topics as TP
 from ..sources import bind as B
 from . import sqlbits as S
@@ -183,3 +184,25 @@ def cluster_methods(spark, d):
         a = TP.cluster(docs, m, K, text_col="topic_text", seed=SEED).withColumn("method", F.lit(m))
         out = a if out is None else out.unionByName(a)
     return out
+
+
+@query("density_topics")
+def density_topics(spark, d):
+    """Topics of a neighbour graph's condensed tree, every row at its nearest topic vector."""
+    return DN.density_topics(_vectors(spark, d))
+
+
+@query("density_facts", """SELECT count(*) AS n_rows, count(*) AS full_lists, count(*) AS edges_and_trees
+FROM embeddings WHERE embedding IS NOT NULL""")
+def density_facts(spark, d):
+    """Rows, rows with a full list of neighbours, and edges plus trees of the spanning forest (one for each row)."""
+    vecs = DN.unit_vectors(_vectors(spark, d))
+    graph = DN.knn_graph(vecs)
+    tree, roots = DN.spanning_forest(DN.reachability(graph, 5))
+    full = graph.groupBy("src").count().where(F.col("count") == DN.NEIGHBOURS)
+    parts = [("n_rows", vecs), ("full_lists", full), ("edges_and_trees", tree.select("u").union(roots.select("root").distinct()))]
+    rows = None
+    for name, df in parts:
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("fact"), "n")
+        rows = one if rows is None else rows.union(one)
+    return rows.groupBy().agg(*[F.max(F.when(F.col("fact") == name, F.col("n"))).alias(name) for name, _ in parts])
