@@ -9,7 +9,8 @@ the search loses no pair. The size partition sets the sketch's length only; docu
 
 Documents are exploded into shingle hashes and joined with the sketches, a table of a few rows per
 item whose written size Spark checks before it broadcasts it (else both sides are shuffled).
-Pairs with enough sketch hits are verified by exact containment of the shingle strings.
+Pairs with enough sketch hits are verified by exact containment: the document's shingle strings are intersected with
+the item's within the row, so no task meets all rows of a frequent shingle.
 
 Edge cases: null and empty texts have no shingles and never match. In ``contained_items`` and
 ``decontaminate`` rows that share an id count as one text's shingles together, and rows with a null id
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, with_row_key, written
+from .common import free_name, text_or_empty, with_row_key, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -34,15 +35,24 @@ def words(text_col: str) -> Column:
     return F.array_remove(F.split(F.lower(text_or_empty(text_col)), NOT_WORD), "")
 
 
+def shingle_structs(w: Column) -> Column:
+    """The shingles of an array of words, as structs w0..w4 (fewer words: one, the whole)."""
+    n = F.size(w)
+    many = F.arrays_zip(*[F.slice(w, F.lit(i + 1), F.greatest(n - (SHINGLE - 1), F.lit(0))).alias(f"w{i}")
+                          for i in range(SHINGLE)])
+    one = F.array(F.struct(*[F.get(w, F.lit(i)).alias(f"w{i}") for i in range(SHINGLE)]))
+    return F.when(n >= SHINGLE, many).otherwise(one)
+
+
 def shingle_rows(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     """``keep`` and the five words of each shingle as w0..w4."""
     w = df.select(*keep, words(text_col).alias("_w")).where(F.size("_w") > 0)
-    n = F.size("_w")
-    many = F.arrays_zip(*[F.slice("_w", i + 1, F.greatest(n - (SHINGLE - 1), F.lit(0))).alias(f"w{i}")
-                          for i in range(SHINGLE)])
-    one = F.array(F.struct(*[F.get("_w", F.lit(i)).alias(f"w{i}") for i in range(SHINGLE)]))
-    z = F.when(n >= SHINGLE, many).otherwise(one)
-    return w.select(*keep, F.inline(z).alias(*[f"w{i}" for i in range(SHINGLE)]))
+    return w.select(*keep, F.inline(shingle_structs(F.col("_w"))).alias(*[f"w{i}" for i in range(SHINGLE)]))
+
+
+def shingle_array(text_col: str) -> Column:
+    """The shingle strings of a text that has words."""
+    return F.transform(shingle_structs(words(text_col)), lambda s: F.concat_ws(" ", *[s[f"w{i}"] for i in range(SHINGLE)]))
 
 
 def shingle_hash() -> Column:
@@ -77,11 +87,10 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
             .join(sketch, "h").select("_item", "_doc", "need", "h").distinct()
             .groupBy("_item", "_doc", "need").agg(F.count("*").alias("hits")))
     pairs = written(hits.where(F.col("hits") >= F.col("need")).select("_item", "_doc"), "op8-candidates")
-    # exact check: the candidates' whole texts against the items' shingle strings
-    texts = d.join(pairs.select("_doc").distinct(), "_doc", "left_semi")
-    found = (shingle_rows(texts, ["_doc"], "_text").select("_doc", shingle_text().alias("sh"))
-             .join(shingles.select("_item", "sh", "m"), "sh").distinct()
-             .join(pairs, ["_item", "_doc"], "left_semi")
+    # exact check: each candidate's whole text against the item's shingle strings, within the row
+    sets = shingles.groupBy("_item", "m").agg(F.collect_set("sh").alias("_set"))  # one item's text each
+    found = (d.join(pairs, "_doc").join(sets, "_item")
+             .select("_item", "_doc", "m", F.explode(F.array_intersect(shingle_array("_text"), F.col("_set"))).alias("sh")).distinct()
              .groupBy("_item", "_doc", "m").agg(F.count("*").alias("n_found")))
     share = F.col("n_found") / F.col("m")
     return (found.where(share >= threshold)
@@ -93,13 +102,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
                   item_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """The documents that contain no item, told apart by id; all columns stay."""
     bad = contained_items(docs, items, threshold, doc_id, item_id, text_col)
-    bad = written(bad.select(F.col(doc_id).alias("_bad")).distinct(), "op8-bad")
-    return docs.join(bad, docs[doc_id] == bad["_bad"], "left_anti")
+    bad = written(bad.select(doc_id).distinct(), "op8-bad")
+    return docs.join(bad, doc_id, "left_anti").select(*docs.columns)
 
 
 def decontaminate_rows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                        text_col: str = "text") -> DataFrame:
     """The document rows that contain no item row, whatever their ids; all columns stay."""
-    keyed = with_row_key(docs, "__doc_row")
-    rows = with_row_key(items.select(text_col), "__item_row")
-    return decontaminate(keyed, rows, threshold, "__doc_row", "__item_row", text_col).select(*docs.columns)
+    doc_row, item_row = free_name(docs, "_doc_row"), free_name(items.select(text_col), "_item_row")
+    keyed, rows = with_row_key(docs, doc_row), with_row_key(items.select(text_col), item_row)
+    return decontaminate(keyed, rows, threshold, doc_row, item_row, text_col).select(*docs.columns)

@@ -115,3 +115,13 @@ def test_contract(spark, made, op):
         if op == "op7":
             held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 3 == 1 for i, _ in rows}
             assert all(r["held_out"] == held[r["doc_id"]] and r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in got)
+
+
+def test_stages_keep_columns_of_clashing_names(spark, made):
+    docs = spark.read.parquet(f"{made[0]}/documents.parquet")
+    odd = ("_place", "_PLACE_", "_score", "_scored_text", "_doc_row", "_row_key")
+    more = docs.selectExpr("*", *[f"'kept' AS {c}" for c in odd])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, made[0])
+        assert out.columns == more.columns
+        assert out.where("_place = 'kept' AND _score = 'kept' AND _doc_row = 'kept'").count() == stage(spark, docs, made[0]).count() > 0
