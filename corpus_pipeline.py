@@ -19,40 +19,41 @@ from curio.llm import exact_dedup as ed
 from curio.llm import sentencepieces as sp
 from curio.llm import simhash as sim
 from curio.llm import toxicity as tox
-from curio.llm.common import read_table, with_row_key, written
+from curio.llm.common import free_name, read_table, with_row_key, written
 from curio.llm.queries import TOXIC_AT, model_path, sha, toxicity_rest
 
 #: Learned models and random choices; checked against a brute-force version in tests/llm.
 ORACLE_SQL = None
 
-KEY = "__row_key"
 
-
-def _keep(docs: DataFrame, keyed: DataFrame, kept: DataFrame) -> DataFrame:
+def _keep(docs: DataFrame, keyed: DataFrame, key: str, kept: DataFrame) -> DataFrame:
     """The rows of ``keyed`` that ``kept`` marks, with the columns of ``docs``."""
-    rows = written(kept.where("kept").select(F.col(f"row.{KEY}").alias(KEY)), "pipeline-kept")
+    rows = written(kept.where("kept").select(F.col("row.place").alias(key)), "pipeline-kept")
     # the kept rows grow with the documents, so they are never broadcast
-    return keyed.join(rows.hint("merge"), KEY, "left_semi").select(*docs.columns)
+    return keyed.join(rows.hint("merge"), key, "left_semi").select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not hold for toxic."""
     model = tox.train(docs, read_table(spark, sf_dir, "labels"), use=toxicity_rest() != 1)
-    return tox.score(docs, model, score_col="__score").where(F.col("__score") < TOXIC_AT).drop("__score")
+    score = free_name(docs, "_score")
+    return tox.score(docs, model, score_col=score).where(F.col(score) < TOXIC_AT).drop(score)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id."""
-    keyed = with_row_key(docs, KEY)
-    ids = keyed.select(F.struct("doc_id", KEY).alias("row"), "text")
-    return _keep(docs, keyed, ed.exact_dedup(ids, id_col="row"))
+    key = free_name(docs, "_place")
+    keyed = with_row_key(docs, key)
+    ids = keyed.select(F.struct("doc_id", F.col(key).alias("place")).alias("row"), "text")
+    return _keep(docs, keyed, key, ed.exact_dedup(ids, id_col="row"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component, the one with the smallest id."""
-    keyed = with_row_key(docs, KEY)
-    ids = keyed.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", KEY).alias("row"), "text")
-    return _keep(docs, keyed, sim.simhash_components(ids, id_col="row"))
+    key = free_name(docs, "_place")
+    keyed = with_row_key(docs, key)
+    ids = keyed.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(key).alias("place")).alias("row"), "text")
+    return _keep(docs, keyed, key, sim.simhash_components(ids, id_col="row"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
