@@ -104,7 +104,8 @@ class Featuriser:
 
 
 def featurise(labelled: DataFrame, groups: list[str]) -> DataFrame:
-    """(label, x, xs): a document's features and those of its counterfactuals (none without identity terms)."""
+    """(label, x, xs): a document's features and what its counterfactuals change (nothing without identity terms): a
+    feature that goes stands as itself, one that comes as -1 - feature."""
     def run(batches):
         f, maps = Featuriser(), swaps(groups)
         terms = set(maps[0])
@@ -113,7 +114,8 @@ def featurise(labelled: DataFrame, groups: list[str]) -> DataFrame:
             for t in text_bytes(b.column("_t")):
                 w = set(words(t))
                 x.append(f(w))
-                xs.append([f({m.get(a, a) for a in w}) for m in maps] if w & terms else [])
+                other = [f({m.get(a, a) for a in w}) for m in maps] if w & terms else []
+                xs.append([np.r_[np.setdiff1d(x[-1], v), -1 - np.setdiff1d(v, x[-1])].astype(np.int32) for v in other])
             yield pa.RecordBatch.from_arrays([b.column("_y"), pa.array(x, pa.list_(pa.int32())), pa.array(xs, pa.list_(pa.list_(pa.int32())))],
                                              ["label", "x", "xs"])
 
@@ -144,7 +146,7 @@ def select_features(y: np.ndarray, rows: list[np.ndarray], always: np.ndarray) -
 
 def fit(y: np.ndarray, rows: list[np.ndarray], pairs: list[tuple[int, np.ndarray]], cf: float, l2: float = 1e-4,
         steps: int = 600, always: np.ndarray = np.zeros(0, np.int64)) -> tuple[float, np.ndarray, np.ndarray]:
-    """(intercept, feature numbers, weights). ``pairs`` holds (row, counterfactual features)."""
+    """(intercept, feature numbers, weights). ``pairs`` holds (row, features that a counterfactual of it changes)."""
     n, n1 = len(y), float(y.sum())
     prior = float(np.log((n1 + 0.5) / (n - n1 + 0.5)))
     feats = select_features(y, rows, always) if 0 < n1 < n else np.zeros(0, dtype=np.int32)
@@ -159,7 +161,7 @@ def fit(y: np.ndarray, rows: list[np.ndarray], pairs: list[tuple[int, np.ndarray
     own = [compact(r) for r in rows]
     r = np.repeat(np.arange(n), [len(c) for c in own])
     c = np.concatenate(own)
-    diff = [(np.setdiff1d(own[i], x), np.setdiff1d(x, own[i])) for i, x in ((i, compact(x)) for i, x in pairs)]
+    diff = [(compact(x[x >= 0]), compact(-1 - x[x < 0])) for _, x in pairs]
     pr = np.concatenate([np.full(len(a) + len(b), k) for k, (a, b) in enumerate(diff)] or [np.zeros(0, int)]).astype(np.int64)
     pcol = np.concatenate([np.r_[a, b] for a, b in diff] or [np.zeros(0, int)]).astype(np.int64)
     pv = np.concatenate([np.r_[np.ones(len(a)), -np.ones(len(b))] for a, b in diff] or [np.zeros(0)])

@@ -428,7 +428,7 @@ def test_components_of_a_long_chain(spark):
 def plain_toxicity(y, rows, pairs, cf, feats, l2=1e-4):
     """Newton steps on the loss of ``toxicity.fit`` over the features ``feats``."""
     x = np.array([[float(f in set(r.tolist())) for f in feats] for r in rows])
-    d = np.array([x[i] - np.array([float(f in set(v.tolist())) for f in feats]) for i, v in pairs]).reshape(-1, len(feats))
+    d = np.array([[float(f in v) - float(-1 - f in v) for f in feats] for _, v in pairs]).reshape(-1, len(feats))
     n, n1 = len(y), y.sum()
     each = np.where(y > 0, 0.5 / n1, 0.5 / (n - n1))
     x1 = np.c_[x, np.ones(n)]
@@ -461,7 +461,9 @@ def test_toxicity_fit_equals_a_plain_optimiser(cf):
     f, maps = tox.Featuriser(), tox.swaps()
     bags = [set(tox.words(t.encode())) for t in texts]
     rows = [f(b) for b in bags]
-    pairs = [(i, f({m.get(w, w) for w in b})) for m in maps for i, b in enumerate(bags) if b & set(maps[0])]
+    swapped = [(i, f({m.get(w, w) for w in b})) for m in maps for i, b in enumerate(bags) if b & set(maps[0])]
+    pairs = [(i, np.array([*(set(rows[i].tolist()) - set(v.tolist())), *(-1 - k for k in set(v.tolist()) - set(rows[i].tolist()))])) for i, v in swapped]
+    assert pairs and all(len(d) for _, d in pairs)
     always = tox.term_features(tox.IDENTITY_GROUPS)
     bias, feats, w = tox.fit(y, rows, pairs, cf, steps=20000, always=always)
     assert np.isin(feats, always).sum() == 2
