@@ -19,6 +19,7 @@ import json
 import os
 import re
 import struct
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -32,7 +33,7 @@ from ..session import scratch_path
 from .common import shard_count, sliced, text_or_empty
 
 SHARD_BYTES = 16 << 20
-TABLE_SIZE = 500_000
+TABLE_SIZE = 400_000
 POLY = 0x82F63B78  # CRC-32C, reflected
 STEP = 64  # bytes that one vector step of the checksum takes from every record
 
@@ -110,6 +111,9 @@ class BpeTable:
     VISIBLE = "!-~¡-¬®-ɏ"
     CUT = re.compile(f"(?<=[{VISIBLE}])(?: (?=[{VISIBLE}])|(?=\n[{VISIBLE}]))")
     PLAIN = re.compile(f" ?[{VISIBLE}]+").fullmatch
+    PART = re.compile(f"\n?[{VISIBLE}](?:[^ \n]*[{VISIBLE}])?").fullmatch
+    HEAD = re.compile(f"[^ \n]*[{VISIBLE}]").fullmatch
+    WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@[-`{-~]+)").fullmatch  # the pattern parts letters and the marks after them
     LINES = 40
 
     def __init__(self, spec: str, end_id: int, table_size: int = TABLE_SIZE):
@@ -119,6 +123,8 @@ class BpeTable:
         self.end = np.array([end_id], dtype="<u4").tobytes()
         self.first: dict[str, bytes] = {}  # chunks that begin a text
         self.rest: dict[str, bytes] = {}  # chunks that follow a space, without it, or that begin with a newline
+        self.odd: dict[str, bytes] = {}  # chunks of the latter kind that a plain split may not cut out
+        self.old: dict[str, bytes] = {}  # the last full ``rest``
         self.table_size = table_size
         d = json.loads(spec)
         pre = d.get("pre_tokenizer") or {}
@@ -148,24 +154,52 @@ class BpeTable:
         """The ids of each text with the end id, little-endian unsigned 32-bit."""
         if not self.chunked:
             return [self.ids(t).tobytes() + self.end for t in texts]
-        if len(self.rest) + len(self.first) > self.table_size:
+        if len(self.rest) > self.table_size:
+            self.old, self.rest = self.rest, {}
+        if len(self.first) + len(self.odd) > self.table_size:
             self.first.clear()
-            self.rest.clear()
-        split = self.CUT.split
-        whole = [any(a in t for a in self.added) for t in texts]
-        cut = [[t] if w else split(t) for t, w in zip(texts, whole)]
-        heads = [c[0] for c in cut]
-        for c in cut:
-            del c[0]
-        new = [c for c in set().union(*cut) if c not in self.rest]
-        lines = [c for c in new if c[0] == "\n"]
-        begin = {h for h, w in zip(heads, whole) if not w}.union(c[1:] for c in lines)
-        self.learn(self.first, [c for c in begin if c not in self.first], "")
+            self.odd.clear()
+        known, part, new, odd = self.rest.get, self.PART, set(), set()
+        heads, cut, got = [], [], []
+        for t in texts:
+            if any(a in t for a in self.added):
+                h, c = None, []
+            else:
+                h, *c = t.replace("\n", " \n").split(" ")
+            ids = list(map(known, c))
+            miss = {x for x, v in zip(c, ids) if v is None} - new
+            if h is None or self.HEAD(h) and all(map(part, miss)):
+                new |= miss
+            else:
+                h, *c = self.CUT.split(t)
+                ids = [known(x) if part(x) else None for x in c]
+                for x, v in zip(c, ids):
+                    if v is None:
+                        (new if part(x) else odd).add(x)
+            heads.append(h)
+            cut.append(c)
+            got.append(ids)
+        old = self.old
+        moved = [x for x in new if x in old]
+        self.rest.update((x, old[x]) for x in moved)
+        new.difference_update(moved)
+        odd.difference_update(self.odd)
+        parted = [(x, *m.groups()) for x, m in zip(new, map(self.WORD, new)) if m]
+        new.difference_update([x for x, _, _ in parted])
+        words = {w for _, w, _ in parted if w not in self.rest}
+        self.rest.update((w, old[w]) for w in words if w in old)
+        new.update(w for w in words if w not in old)
+        begin = {h for h in heads if h is not None}.union((x[1:] for x in chain(new, odd) if x[0] == "\n"), (m for _, _, m in parted))
+        self.learn(self.first, [h for h in begin if h not in self.first], "")
         newline = self.newline.tobytes()
-        self.rest.update((c, newline + self.first[c[1:]]) for c in lines)
-        self.learn(self.rest, [c for c in new if c[0] != "\n"], " ")
-        get = self.rest.__getitem__
-        return [b"".join((self.ids(h).tobytes() if w else self.first[h], *map(get, c), self.end)) for h, w, c in zip(heads, whole, cut)]
+        for table, some in ((self.rest, new), (self.odd, odd)):
+            table.update((x, newline + self.first[x[1:]]) for x in some if x[0] == "\n")
+            self.learn(table, [x for x in some if x[0] != "\n"], " ")
+        self.rest.update((x, self.rest[w] + self.first[m]) for x, w, m in parted)
+        rest, odd = self.rest, self.odd
+        return [b"".join((self.ids(t).tobytes() if h is None else self.first[h],
+                          *[(rest[x] if x in rest else odd[x]) if v is None else v for x, v in zip(c, ids)], self.end))
+                for t, h, c, ids in zip(texts, heads, cut, got)]
 
 
 _TABLES: dict[tuple, BpeTable] = {}

@@ -6,6 +6,7 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -501,3 +502,18 @@ def test_toxicity_bounds_rows_of_one_id_and_keeps_clashing_columns(spark):
     odd = docs.withColumn("_scored_text", F.lit("kept")).withColumn("_SCORED_TEXT_", F.lit(1))
     got = tox.score(odd, model, score_col="p")
     assert got.columns == [*odd.columns, "p"] and got.where("_scored_text = 'kept'").count() == odd.count()
+
+
+def test_bpe_table_equals_the_library_on_hard_cuts_and_with_a_tiny_table():
+    from tokenizers import Tokenizer
+    spec = Path(model_path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+    library = Tokenizer.from_str(spec)
+    texts = ["", " a", "\n", "a\n", "a\n\nb", "a \nb", "a  b", "b\t", "b\t c", "x b\t", "\nfoo bar", "\n foo", "é\n　z q", "q 　 r",
+             "a\nb\nc d\n\ne f", "x\r\ny z", "it's \n's x\n's", "a\xad b c", "​z y", "a <|endoftext|> b", "can't' x", " ab!!'s", "q it!'s",
+             "z foo,'ll bar", "q ×a! ÷b! ×", "Wort### Wort, Wort!? Wort", "one two. one two, one"]
+    table = rec.BpeTable(spec, 0, table_size=5)
+    for step in (1, 4, len(texts)):
+        for i in range(0, len(texts), step):
+            some = texts[i:i + step]
+            want = [np.array([*library.encode(t, add_special_tokens=False).ids, 0], dtype="<u4").tobytes() for t in some]
+            assert table.apply(some) == want
