@@ -81,6 +81,14 @@ def dedup_by_id(df: DataFrame, order_col: str, id_col: str = "id") -> DataFrame:
     return first.select(id_col, "_r.*")
 
 
+def dedup_counts(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """One row (before, after, removed): what ``dedup_by_id`` keeps and drops. Only ids are shuffled,
+    as partial counts; null ids are one id, as in ``dedup_by_id``. An empty table gives zeros."""
+    n = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
+    total = n.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("before"), F.count(F.lit(1)).alias("after"))
+    return total.select("before", "after", (F.col("before") - F.col("after")).alias("removed"))
+
+
 def prep_pool(corpus: DataFrame) -> DataFrame:
     """Train split -> unlabeled pool (id, title, text), de-duplicated by cleaned id."""
     tr = keep_long(clean_corpus(corpus.filter(F.col("split") == "train")))

@@ -104,18 +104,25 @@ def hashed_counts(df: DataFrame, text_col: str, n_terms: int = HASH_TERMS, id_co
 
 
 def fit_lda(bow: DataFrame, k: int, max_iter: int = 10, seed: int = 1, subsampling: float = 1.0):
-    """A fitted LDA model; save it with ``model.write().save`` and load it with ``load_lda``."""
+    """A fitted LDA model; ``save_lda`` writes it and ``load_lda`` reads it."""
     return LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=subsampling, featuresCol="_bow",
                topicDistributionCol="_dist").fit(bow)
 
 
+def save_lda(model, path: str) -> None:
+    """Write the model below a shared path; a path that holds one already is an error. The driver holds
+    ``n_terms`` x k numbers, as the fit itself does."""
+    model.write().save(path)
+
+
 def load_lda(path: str):
+    """The model that ``save_lda`` wrote; it assigns texts hashed to as many terms as it was fitted on."""
     return LocalLDAModel.load(path)
 
 
-def assign_lda(model, bow: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, label_cluster) of new or old texts under a fitted model."""
-    return model.transform(bow).select(id_col, argmax_index(vector_to_array("_dist")).alias("label_cluster"))
+def assign_lda(model, bow: DataFrame, id_col: str = "id", *keep: str) -> DataFrame:
+    """(id, kept columns, label_cluster) of new or old texts under a fitted model."""
+    return model.transform(bow).select(id_col, *keep, argmax_index(vector_to_array("_dist")).alias("label_cluster"))
 
 
 def index_bits(token, dim: int = EMBED_DIM) -> list[Column]:

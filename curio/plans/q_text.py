@@ -119,6 +119,14 @@ def dedup_by_id(spark, d):
     return P.dedup_by_id(tr.withColumn("id", T.clean_id("new_id")).select("id", "doc_id"), "doc_id")
 
 
+@query("dedup_counts", f"""SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS before, count(*) AS after,
+  CAST(coalesce(sum(n), 0) AS BIGINT) - count(*) AS removed
+FROM (SELECT id, count(*) AS n FROM (SELECT {S.clean_id('new_id')} AS id FROM ({S.KEPT_CORPUS}) WHERE split = 'train') GROUP BY id)""")
+def dedup_counts(spark, d):
+    tr = P.keep_long(P.clean_corpus(B.raw_news(spark, d)).filter(F.col("split") == "train"))
+    return P.dedup_counts(tr.select(T.clean_id("new_id").alias("id")))
+
+
 @query("prep_pool", f"""SELECT id, title, text FROM (SELECT {S.clean_id('new_id')} AS id, title, text,
   row_number() OVER (PARTITION BY {S.clean_id('new_id')} ORDER BY doc_id) AS rn
   FROM ({S.KEPT_CORPUS}) WHERE split = 'train') WHERE rn = 1""")

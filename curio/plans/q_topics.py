@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import density as DN
 from ..operators import topics as TP
+from ..session import checkpoint_dir, scratch_path
 from ..sources import bind as B
 from . import sqlbits as S
 from .registry import query
@@ -117,6 +118,23 @@ def lda_topics(spark, d):
     return TP.lda_topics(_docs(spark, d), "topic_text", K, max_iter=10, seed=SEED)
 
 
+@query("lda_save_load", f"SELECT id, TRUE AS assigned, TRUE AS same FROM ({DOCS_SQL})")
+def lda_save_load(spark, d):
+    """Fit, save, load: every row gets a topic in range, the same from the loaded model as from the fitted one."""
+    bow = TP.hashed_counts(_docs(spark, d), "topic_text").persist()
+    try:
+        model = TP.fit_lda(bow, K, max_iter=10, seed=SEED)
+        path = scratch_path(spark, "lda-model")
+        TP.save_lda(model, path)
+        fitted = TP.assign_lda(model, bow, "id", "_bow").withColumnRenamed("label_cluster", "_fitted")
+        both = TP.assign_lda(TP.load_lda(path), fitted, "id", "_fitted")
+        checkpoint_dir(spark)
+        return both.select("id", F.col("label_cluster").between(0, K - 1).alias("assigned"),
+                           (F.col("label_cluster") == F.col("_fitted")).alias("same")).checkpoint()
+    finally:
+        bow.unpersist()
+
+
 def _bit(i):
     return f"2 * ((CAST('0x' || substr(md5(token), {1 + 8 * (i // 32)}, 8) AS BIGINT) >> {i % 32}) & 1) - 1"
 

@@ -20,15 +20,26 @@ DEFAULT_CONF = {
 }
 
 
-def get_spark(master: str | None = None, app: str = "curio", shuffle_partitions: int = 8,
-              driver_memory: str = "16g", extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session. On a cluster pass ``master=None`` and let spark-submit decide."""
+LOCAL_CONF = {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g"}
+
+
+def is_local(master: str | None) -> bool:
+    """One process on one machine (``local[8]``), not a cluster of any kind."""
+    return bool(master) and re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
+def get_spark(master: str | None = None, app: str = "curio", shuffle_partitions: int | None = None,
+              driver_memory: str | None = None, extra: dict | None = None) -> SparkSession:
+    """Build (or reuse) a session. On a cluster pass ``master=None`` and let spark-submit decide:
+    shuffle partitions and driver memory have defaults of their own only for a local master."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.driver.memory"] = driver_memory
+    conf = DEFAULT_CONF | (LOCAL_CONF if is_local(master) else {})
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if driver_memory is not None:
+        conf["spark.driver.memory"] = driver_memory
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -56,7 +67,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         master = sc.master
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):  # local-cluster has executors of its own
+        if not is_local(master):  # local-cluster has executors of its own
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="curio-ckpt-", dir=os.environ.get("CURIO_TMP", "/tmp"))
     sc.setCheckpointDir(d)

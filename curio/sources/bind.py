@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import is_local
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -36,13 +37,14 @@ SPREAD_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan on ``key`` only when it yields fewer tasks than the cluster's
-    parallelism (a file with one row group is one task). A large table already scans in many
-    splits and is left alone, so at scale this adds no shuffle; on small files it spreads the
-    per-row text work over all cores and pre-partitions joins on the key."""
+    """For local runs only: hash-partition a scan on ``key`` when it yields fewer tasks than there are
+    cores (a file with one row group is one task), so that the text work of small files uses all cores.
+    On a cluster the scan is left as it is, whatever its size: no shuffle is added."""
     try:
-        n = df.rdd.getNumPartitions()
-        par = df.sparkSession.sparkContext.defaultParallelism
+        sc = df.sparkSession.sparkContext
+        if not is_local(sc.master):
+            return df
+        n, par = df.rdd.getNumPartitions(), sc.defaultParallelism
     except Exception:  # noqa: BLE001 - no RDD/SparkContext access (e.g. a Spark Connect session)
         return df
     return df.repartition(par, key) if n < par else df

@@ -94,3 +94,13 @@ def test_dedup_by_id_keeps_first_on_hot_id(spark):
     for d in (df.repartition(1), df.repartition(8)):
         got = {r["id"]: (r["doc_id"], r["text"]) for r in dedup_by_id(d, "doc_id").collect()}
         assert got == {"hot": (1, "t1"), "a": (3, "y"), "b": (9, "z")}
+
+
+def test_dedup_counts_reports_what_dedup_by_id_drops(spark):
+    from curio.operators.prepare import dedup_by_id, dedup_counts
+    rows = [("hot", i) for i in range(500)] + [("a", 1), ("a", 2), ("b", 3), (None, 4), (None, 5)]
+    df = spark.createDataFrame(rows, "id string, doc_id int")
+    got = dedup_counts(df).first()
+    assert (got["before"], got["after"], got["removed"]) == (505, 4, 501)
+    assert dedup_by_id(df, "doc_id").count() == 4
+    assert tuple(dedup_counts(df.limit(0)).first()) == (0, 0, 0)

@@ -60,3 +60,21 @@ def test_grid_runs_share_one_assignment(spark, monkeypatch):
     monkeypatch.setattr(topics, "cluster", lambda *a, **kw: fits.append(1) or fit(*a, **kw))
     run_grid(spark, SF_SMALL, grid_configs(methods=("lda",), balance=(True, False), repeats=1), rounds=0, k=4)
     assert len(fits) == 1
+
+
+def test_only_one_process_masters_get_local_settings():
+    from curio.session import is_local
+    assert all(map(is_local, ["local", "local[8]", "local[*]", "local[4,2]"]))
+    assert not any(map(is_local, [None, "", "yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://x"]))
+
+
+def test_saved_topic_model_assigns_new_texts_as_the_fitted_one(spark):
+    from curio.operators import topics as TP
+    docs = spark.createDataFrame([(str(i), w * 6) for i, w in enumerate(["oil gas well ", "cow milk farm "] * 10)], "id string, t string")
+    new = spark.createDataFrame([("n1", "gas well oil oil"), ("n2", "farm cow unseen"), ("n3", ""), ("n4", None)], "id string, t string")
+    model = TP.fit_lda(TP.hashed_counts(docs, "t", 1 << 10), 2, 5)
+    path = scratch_path(spark, "lda")
+    TP.save_lda(model, path)
+    bow = TP.hashed_counts(new, "t", 1 << 10)
+    want = sorted(map(tuple, TP.assign_lda(model, bow).collect()))
+    assert sorted(map(tuple, TP.assign_lda(TP.load_lda(path), bow).collect())) == want and len(want) == 4
