@@ -71,14 +71,10 @@ def dominant_topic(df: DataFrame, dist_col: str) -> DataFrame:
     return df.withColumn("topic", argmax_index(arr))
 
 
-def _settle(df: DataFrame, *cached: DataFrame) -> DataFrame:
-    """Materialise a model's output once with a reliable checkpoint (spark.checkpoint.dir), then
-    release the inputs that were persisted for the iterative fit."""
+def _settle(df: DataFrame) -> DataFrame:
+    """Materialise a model's output once with a reliable checkpoint (spark.checkpoint.dir)."""
     checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    for c in cached:
-        c.unpersist()
-    return out
+    return df.checkpoint(eager=True)
 
 
 def lda_topics(df: DataFrame, text_col: str, k: int = N_TOPICS, max_iter: int = 10, seed: int = 1,
@@ -164,14 +160,16 @@ def kmeans_topics(emb: DataFrame, k: int = N_TOPICS, n_init: int = 10, seed: int
     """KMeans with exactly k clusters; best training cost over ``n_init`` seeds."""
     v = emb.select(id_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
-    best = None
-    for i in range(n_init):
-        m = KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="_c", maxIter=max_iter).fit(v)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
-    out = best[1].transform(v).select(id_col, F.col("_c").cast("int").alias("label_cluster"))
-    return _settle(out, v)
+    try:
+        best = None
+        for i in range(n_init):
+            m = KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="_c", maxIter=max_iter).fit(v)
+            cost = m.summary.trainingCost
+            if best is None or cost < best[0]:
+                best = (cost, m)
+        return _settle(best[1].transform(v).select(id_col, F.col("_c").cast("int").alias("label_cluster")))
+    finally:
+        v.unpersist()
 
 
 def centroids(df: DataFrame, group_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -216,11 +214,14 @@ def nearest_centroid(df: DataFrame, cents: DataFrame, group_col: str, vec_col: s
 
 def fine_topics(emb: DataFrame, k_fine: int = 2 * N_TOPICS, seed: int = 1, id_col: str = "id",
                 vec_col: str = "embedding") -> DataFrame:
-    """Many fine topics: bisecting k-means in the embedding space, doc -> nearest centroid."""
+    """Many fine topics: bisecting k-means in the embedding space, doc -> leaf of the tree it descends to."""
     v = emb.select(id_col, vec_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
-    m = BisectingKMeans(k=k_fine, seed=seed, featuresCol="_v", predictionCol="_c").fit(v)
-    return _settle(m.transform(v).select(id_col, vec_col, F.col("_c").cast("int").alias("fine_topic")), v)
+    try:
+        m = BisectingKMeans(k=k_fine, seed=seed, featuresCol="_v", predictionCol="_c").fit(v)
+        return _settle(m.transform(v).select(id_col, vec_col, F.col("_c").cast("int").alias("fine_topic")))
+    finally:
+        v.unpersist()
 
 
 def reduce_topics(assigned: DataFrame, k: int, topic_col: str = "fine_topic", vec_col: str = "embedding",
