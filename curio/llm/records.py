@@ -19,11 +19,14 @@ import json
 import os
 import re
 import struct
-from itertools import chain
+from array import array
+from itertools import chain, count
 from pathlib import Path
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,6 +37,7 @@ from .common import shard_count, sliced, text_or_empty
 
 SHARD_BYTES = 16 << 20
 TABLE_SIZE = 400_000
+STEP_BYTES = 8 << 20  # texts encoded in one go
 POLY = 0x82F63B78  # CRC-32C, reflected
 STEP = 64  # bytes that one vector step of the checksum takes from every record
 
@@ -99,12 +103,20 @@ def masked(crc: np.ndarray) -> np.ndarray:
     return ((c >> np.uint32(15)) | (c << np.uint32(17))) + np.uint32(0xA282EAD8)
 
 
+def _byte_letters() -> list[str]:
+    """The character that a byte-level model shows for each byte: itself if visible, else the next one from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = count(256)
+    return [chr(b if b in visible else next(spare)) for b in range(256)]
+
+
 class BpeTable:
     """Encodes texts with a ``tokenizers`` model through a table of distinct chunks.
 
     A text is cut at single spaces and before single newlines between two visible characters: a byte-level splitting
-    pattern always begins a token there (and ends one after the newline), so each chunk can be encoded alone. New chunks without
-    other white space are encoded many at a time, one to a line: the newline between two of them is
+    pattern always begins a token there (and ends one after the newline), so each chunk can be encoded alone. A new chunk
+    of letters is one part of that pattern and goes to the library's model directly. Others without
+    white space are encoded many at a time, one to a line: the newline between two of them is
     always a token of its own. Texts that name an added token are encoded whole.
     """
 
@@ -113,7 +125,7 @@ class BpeTable:
     PLAIN = re.compile(f" ?[{VISIBLE}]+").fullmatch
     PART = re.compile(f"\n?[{VISIBLE}](?:[^ \n]*[{VISIBLE}])?").fullmatch
     HEAD = re.compile(f"[^ \n]*[{VISIBLE}]").fullmatch
-    WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@[-`{-~]+)").fullmatch  # the pattern parts letters and the marks after them
+    LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
     LINES = 40
 
     def __init__(self, spec: str, end_id: int, table_size: int = TABLE_SIZE):
@@ -133,13 +145,28 @@ class BpeTable:
         self.added = [a["content"] for a in d.get("added_tokens") or [] if a["content"]]
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.newline = self.ids("\n")
+        self.shown = dict(enumerate(_byte_letters()))
+        self.space, self.model = self.shown[32], self.tok.model
+
+    def word(self, x: str) -> bool:
+        """Letters only: with a space before, the splitting pattern makes one part of it, and parts it from marks after it."""
+        return x.isalpha() and (x.isascii() or self.LATIN(x) is not None)
+
+    def word_ids(self, x: str) -> bytes:
+        """The ids of a space and a word, straight from the library's model: the word is one part, so it needs no split."""
+        shown = x if x.isascii() else x.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.model.tokenize(self.space + shown)]).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def learn(self, table: dict[str, bytes], new: list[str], before: str) -> None:
         """Encode chunks that follow ``before`` (a space or nothing) into ``table``."""
-        plain = [c for c in new if self.PLAIN(c)] if self.chunked and len(self.newline) == 1 else []
+        if before:
+            words = set(filter(self.word, new))
+            table.update(zip(words, map(self.word_ids, words)))
+            new = [c for c in new if c not in words]
+        plain = [c for c in new if self.PLAIN(c)] if len(self.newline) == 1 else []
         groups = [plain[i:i + self.LINES] for i in range(0, len(plain), self.LINES)]
         for e, some in zip(self.tok.encode_batch_fast([before + ("\n" + before).join(g) for g in groups], add_special_tokens=False), groups):
             ids = np.array(e.ids, dtype="<u4")
@@ -150,56 +177,92 @@ class BpeTable:
         for c, e in zip(other, self.tok.encode_batch_fast([before + c for c in other], add_special_tokens=False)):
             table[c] = np.array(e.ids, dtype="<u4").tobytes()
 
-    def apply(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text with the end id, little-endian unsigned 32-bit."""
-        if not self.chunked:
-            return [self.ids(t).tobytes() + self.end for t in texts]
-        if len(self.rest) > self.table_size:
-            self.old, self.rest = self.rest, {}
-        if len(self.first) + len(self.odd) > self.table_size:
-            self.first.clear()
-            self.odd.clear()
-        known, part, new, odd = self.rest.get, self.PART, set(), set()
-        heads, cut, got = [], [], []
-        for t in texts:
-            if any(a in t for a in self.added):
-                h, c = None, []
-            else:
-                h, *c = t.replace("\n", " \n").split(" ")
-            ids = list(map(known, c))
-            miss = {x for x, v in zip(c, ids) if v is None} - new
-            if h is None or self.HEAD(h) and all(map(part, miss)):
-                new |= miss
-            else:
-                h, *c = self.CUT.split(t)
-                ids = [known(x) if part(x) else None for x in c]
-                for x, v in zip(c, ids):
-                    if v is None:
-                        (new if part(x) else odd).add(x)
-            heads.append(h)
-            cut.append(c)
-            got.append(ids)
+    def add(self, new: set[str], odd: set[str], heads: set[str]) -> None:
+        """Put chunks that are not in the tables yet into them: ``new`` into ``rest``, ``odd``, and ``heads`` into ``first``."""
         old = self.old
         moved = [x for x in new if x in old]
         self.rest.update((x, old[x]) for x in moved)
-        new.difference_update(moved)
-        odd.difference_update(self.odd)
-        parted = [(x, *m.groups()) for x, m in zip(new, map(self.WORD, new)) if m]
+        new = new.difference(moved)
+        odd = odd.difference(self.odd)
+        parted = [(x, w, x[len(w):]) for x in new if len(w := x.rstrip(punctuation)) < len(x) and self.word(w)]
         new.difference_update([x for x, _, _ in parted])
         words = {w for _, w, _ in parted if w not in self.rest}
         self.rest.update((w, old[w]) for w in words if w in old)
         new.update(w for w in words if w not in old)
-        begin = {h for h in heads if h is not None}.union((x[1:] for x in chain(new, odd) if x[0] == "\n"), (m for _, _, m in parted))
+        begin = heads.union((x[1:] for x in chain(new, odd) if x[0] == "\n"), (m for _, _, m in parted))
         self.learn(self.first, [h for h in begin if h not in self.first], "")
         newline = self.newline.tobytes()
         for table, some in ((self.rest, new), (self.odd, odd)):
             table.update((x, newline + self.first[x[1:]]) for x in some if x[0] == "\n")
             self.learn(table, [x for x in some if x[0] != "\n"], " ")
         self.rest.update((x, self.rest[w] + self.first[m]) for x, w, m in parted)
-        rest, odd = self.rest, self.odd
-        return [b"".join((self.ids(t).tobytes() if h is None else self.first[h],
-                          *[(rest[x] if x in rest else odd[x]) if v is None else v for x, v in zip(c, ids)], self.end))
-                for t, h, c, ids in zip(texts, heads, cut, got)]
+
+    def apply(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text with the end id, little-endian unsigned 32-bit.
+
+        All texts are cut by a plain split and their distinct chunks looked up once; the ids are then taken by the
+        chunks' places. Texts that a plain split may not cut go through ``careful``.
+        """
+        col = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string())
+        if not self.chunked:
+            return [self.ids(t).tobytes() + self.end for t in col.to_pylist()]
+        if not len(col):
+            return []
+        if len(self.rest) > self.table_size:
+            self.old, self.rest = self.rest, {}
+        if len(self.first) + len(self.odd) > self.table_size:
+            self.first.clear()
+            self.odd.clear()
+        cut = pc.split_pattern(pc.replace_substring(col, "\n", " \n"), " ")
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        size, at = np.diff(bounds), bounds[:-1]
+        distinct = cut.values.dictionary_encode()
+        codes, names = distinct.indices.to_numpy(), distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
+        inner = np.ones(len(codes), dtype=bool)
+        inner[at] = False
+        begin, used = codes[at], np.zeros(len(names), dtype=bool)
+        used[codes[inner]] = True
+        known = list(map(self.rest.get, names))
+        bad = np.zeros(len(names), dtype=bool)
+        bad[[i for i in np.flatnonzero(used).tolist() if known[i] is None and not self.PART(names[i])]] = True
+        bad_head = np.zeros(len(names), dtype=bool)
+        bad_head[[i for i in np.unique(begin).tolist() if not self.HEAD(names[i])]] = True
+        slow = np.logical_or.reduceat(bad[codes] & inner, at) | bad_head[begin]
+        for a in self.added:
+            slow |= pc.match_substring(col, a).to_numpy(zero_copy_only=False)
+        whole = np.repeat(~slow, size)
+        used[:] = False
+        used[codes[whole & inner]] = True
+        heads = np.unique(begin[~slow])
+        miss = [i for i in np.flatnonzero(used).tolist() if known[i] is None]
+        self.add({names[i] for i in miss}, set(), {names[i] for i in heads.tolist()})
+        for i in miss:
+            known[i] = self.rest[names[i]]
+        place = codes.astype(np.int64)
+        place[at] = len(names) + np.searchsorted(heads, begin)
+        taken = pa.array(known + [self.first[names[i]] for i in heads.tolist()], pa.large_binary()).take(pa.array(place[whole]))
+        ends = np.frombuffer(taken.buffers()[1], dtype=np.int64, count=len(taken) + 1)[np.cumsum(np.r_[0, size[~slow]])].tolist()
+        raw = memoryview(taken.buffers()[2] or b"")
+        fast = (b"".join((raw[i:j], self.end)) for i, j in zip(ends, ends[1:]))
+        rest = iter(self.careful(col.filter(pa.array(slow)).to_pylist()))
+        return [next(rest if s else fast) for s in slow.tolist()]
+
+    def careful(self, texts: list[str]) -> list[bytes]:
+        """``apply`` for texts that are cut one by one, or encoded whole."""
+        heads, cut, odd, new = [], [], set(), set()
+        for t in texts:
+            h, *c = [None] if any(a in t for a in self.added) else self.CUT.split(t)
+            heads.append(h)
+            cut.append(c)
+            for x in c:
+                if not self.PART(x):
+                    odd.add(x)
+                elif x not in self.rest:
+                    new.add(x)
+        self.add(new, odd, {h for h in heads if h is not None})
+        odd, rest = self.odd, self.rest
+        return [b"".join((self.ids(t).tobytes() if h is None else self.first[h], *[rest[x] if x in rest else odd[x] for x in c], self.end))
+                for t, h, c in zip(texts, heads, cut)]
 
 
 _TABLES: dict[tuple, BpeTable] = {}
@@ -243,14 +306,14 @@ def write_records(df: DataFrame, tokenizer_path: str, root: str, end_id: int = 0
         ctx = TaskContext.get()
         shard = ctx.partitionId()
         bpe, out, offset, place, fs, tmp = None, None, 0, 0, None, None
-        for b in sliced(batches, "_t"):
+        for b in sliced(batches, "_t", STEP_BYTES):
             if out is None:
                 bpe = bpe_table(spec, end_id)
                 fs, path = filesystem(root)
                 fs.create_dir(path, recursive=True)
                 tmp = f"{path}/.attempt-{shard}-{ctx.taskAttemptId()}"
                 out = fs.open_output_stream(tmp)
-            ids, tokens = b.column("id").to_pylist(), bpe.apply(b.column("_t").to_pylist())
+            ids, tokens = b.column("id").to_pylist(), bpe.apply(b.column("_t"))
             recs = frames(ids, tokens, bpe.width)
             size = np.array([len(r) for r in recs], dtype=np.int64)
             out.write(b"".join(recs))

@@ -510,7 +510,8 @@ def test_bpe_table_equals_the_library_on_hard_cuts_and_with_a_tiny_table():
     library = Tokenizer.from_str(spec)
     texts = ["", " a", "\n", "a\n", "a\n\nb", "a \nb", "a  b", "b\t", "b\t c", "x b\t", "\nfoo bar", "\n foo", "é\n　z q", "q 　 r",
              "a\nb\nc d\n\ne f", "x\r\ny z", "it's \n's x\n's", "a\xad b c", "​z y", "a <|endoftext|> b", "can't' x", " ab!!'s", "q it!'s",
-             "z foo,'ll bar", "q ×a! ÷b! ×", "Wort### Wort, Wort!? Wort", "one two. one two, one"]
+             "z foo,'ll bar", "q ×a! ÷b! ×", "Wort### Wort, Wort!? Wort", "one two. one two, one",
+             "über Straße, Ñandú où él! ªº µm ŷes ʼn", "Größe Größe. größe\nÀ-ÿ z"]
     table = rec.BpeTable(spec, 0, table_size=5)
     for step in (1, 4, len(texts)):
         for i in range(0, len(texts), step):
