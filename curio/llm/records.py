@@ -110,6 +110,10 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in visible else next(spare)) for b in range(256)]
 
 
+def strings(col: pa.Array) -> list[str]:
+    return col.to_numpy(zero_copy_only=False).tolist()
+
+
 class BpeTable:
     """Encodes texts with a ``tokenizers`` model through a table of distinct chunks.
 
@@ -125,7 +129,8 @@ class BpeTable:
     PLAIN = re.compile(f" ?[{VISIBLE}]+").fullmatch
     PART = re.compile(f"\n?[{VISIBLE}](?:[^ \n]*[{VISIBLE}])?").fullmatch
     HEAD = re.compile(f"[^ \n]*[{VISIBLE}]").fullmatch
-    LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+    LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+    LATIN = re.compile(LETTERS).fullmatch
     LINES = 40
 
     def __init__(self, spec: str, end_id: int, table_size: int = TABLE_SIZE):
@@ -197,11 +202,29 @@ class BpeTable:
             self.learn(table, [x for x in some if x[0] != "\n"], " ")
         self.rest.update((x, self.rest[w] + self.first[m]) for x, w, m in parted)
 
+    def parted(self, chunks: pa.Array, names: list[str]) -> tuple[np.ndarray, list[str], list[bool], np.ndarray, list[str]]:
+        """Words apart from the marks after them; other chunks stay whole.
+
+        Each chunk's place among the stems, the distinct stems, whether a stem is a word, each chunk's place among the
+        distinct marks, and these (the first is empty).
+        """
+        bare = pc.utf8_rtrim(chunks, characters=punctuation)
+        word = pc.match_substring_regex(bare, f"^{self.LETTERS}$")
+        stem = pc.if_else(word, bare, chunks).dictionary_encode()
+        stemmed = stem.indices.to_numpy().astype(np.int64)
+        words = np.zeros(len(stem.dictionary), dtype=bool)
+        words[stemmed[word.to_numpy(zero_copy_only=False)]] = True
+        left = pc.subtract(pc.binary_length(chunks), pc.binary_length(stem.dictionary).take(stem.indices)).to_numpy()
+        tails, marks = {"": 0}, np.zeros(len(names), dtype=np.int64)
+        some = np.flatnonzero(left)
+        marks[some] = [tails.setdefault(names[i][-k:], len(tails)) for i, k in zip(some.tolist(), left[some].tolist())]
+        return stemmed, strings(stem.dictionary), words.tolist(), marks, list(tails)
+
     def apply(self, texts: pa.Array | list[str]) -> list[bytes]:
         """The ids of each text with the end id, little-endian unsigned 32-bit.
 
-        All texts are cut by a plain split and their distinct chunks looked up once; the ids are then taken by the
-        chunks' places. Texts that a plain split may not cut go through ``careful``.
+        All texts are cut by a plain split, marks at the end of words parted from them, and distinct stems looked up once;
+        the ids are then taken by the chunks' places. Texts that a plain split may not cut go through ``careful``.
         """
         col = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string())
         if not self.chunked:
@@ -217,30 +240,37 @@ class BpeTable:
         bounds = cut.offsets.to_numpy().astype(np.int64)
         size, at = np.diff(bounds), bounds[:-1]
         distinct = cut.values.dictionary_encode()
-        codes, names = distinct.indices.to_numpy(), distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes, names = distinct.indices.to_numpy(), strings(distinct.dictionary)
+        stemmed, stems, words, marks, tails = self.parted(distinct.dictionary, names)
         inner = np.ones(len(codes), dtype=bool)
         inner[at] = False
         begin, used = codes[at], np.zeros(len(names), dtype=bool)
         used[codes[inner]] = True
-        known = list(map(self.rest.get, names))
-        bad = np.zeros(len(names), dtype=bool)
-        bad[[i for i in np.flatnonzero(used).tolist() if known[i] is None and not self.PART(names[i])]] = True
+        known = list(map(self.rest.get, stems))
+        bad = np.zeros(len(stems), dtype=bool)
+        bad[[i for i in np.unique(stemmed[used]).tolist() if known[i] is None and not words[i] and not self.PART(stems[i])]] = True
         bad_head = np.zeros(len(names), dtype=bool)
         bad_head[[i for i in np.unique(begin).tolist() if not self.HEAD(names[i])]] = True
-        slow = np.logical_or.reduceat(bad[codes] & inner, at) | bad_head[begin]
+        slow = np.logical_or.reduceat(bad[stemmed][codes] & inner, at) | bad_head[begin]
         for a in self.added:
             slow |= pc.match_substring(col, a).to_numpy(zero_copy_only=False)
         whole = np.repeat(~slow, size)
         used[:] = False
         used[codes[whole & inner]] = True
         heads = np.unique(begin[~slow])
-        miss = [i for i in np.flatnonzero(used).tolist() if known[i] is None]
-        self.add({names[i] for i in miss}, set(), {names[i] for i in heads.tolist()})
+        miss = [i for i in np.unique(stemmed[used]).tolist() if known[i] is None]
+        first, old = self.first, self.old
+        self.rest.update((x, old[x] if x in old else self.word_ids(x)) for x in (stems[i] for i in miss if words[i]))
+        self.add({stems[i] for i in miss if not words[i]}, set(), {names[i] for i in heads.tolist()}.union(tails))
         for i in miss:
-            known[i] = self.rest[names[i]]
+            known[i] = self.rest[stems[i]]
+        inside = pc.binary_join_element_wise(pa.array(known, pa.large_binary()).take(pa.array(stemmed)),
+                                             pa.array([first[m] if m else b"" for m in tails], pa.large_binary()).take(pa.array(marks)),
+                                             pa.scalar(b"", pa.large_binary()))
         place = codes.astype(np.int64)
         place[at] = len(names) + np.searchsorted(heads, begin)
-        taken = pa.array(known + [self.first[names[i]] for i in heads.tolist()], pa.large_binary()).take(pa.array(place[whole]))
+        values = pa.concat_arrays([inside, pa.array([first[names[i]] for i in heads.tolist()], pa.large_binary())])
+        taken = values.take(pa.array(place[whole]))
         ends = np.frombuffer(taken.buffers()[1], dtype=np.int64, count=len(taken) + 1)[np.cumsum(np.r_[0, size[~slow]])].tolist()
         raw = memoryview(taken.buffers()[2] or b"")
         fast = (b"".join((raw[i:j], self.end)) for i, j in zip(ends, ends[1:]))
