@@ -39,8 +39,11 @@ def _c(c) -> Column:
 
 
 def collapse_ws(c) -> Column:
-    """Replace every run of whitespace by one space (no trim)."""
-    return F.regexp_replace(_c(c), f"[{WS}]+", " ")
+    """Replace every run of whitespace by one space (no trim).
+
+    A lone space is already right and is not matched, and the lookaheads dismiss a printable character by one
+    range instead of all parts of the class."""
+    return F.regexp_replace(_c(c), f"(?![ -~])[{WS}]+| (?![!-~])[{WS}]+", " ")
 
 
 def strip_ws(c) -> Column:
@@ -54,14 +57,15 @@ def clean_text(c) -> Column:
     Newlines and NBSP become spaces through the collapse. No trim; NULL stays NULL.
     """
     low = F.lower(_c(c))
-    kept = F.regexp_replace(low, f"[^{KEEP_CLASS}]", "")
+    kept = F.regexp_replace(low, f"(?![a-z0-9 ])[^{KEEP_CLASS}]+", "")
     return collapse_ws(kept)
 
 
 def strip_wire_tag(c) -> Column:
     """Clean a news article: drop the trailing wire tag, collapse whitespace, strip; NULL -> ''."""
-    no_tag = F.regexp_replace(_c(c), f"[{WS}]+{WIRE_TAG}[{WS}]*$", "")
-    return F.coalesce(F.trim(collapse_ws(no_tag)), F.lit(""))
+    flat = F.rtrim(collapse_ws(c))  # the tag is then the last seven characters, its space included
+    tagged = F.substring(flat, -7, 7).rlike(f"^ {WIRE_TAG}$")
+    return F.coalesce(F.trim(F.when(tagged, F.left(flat, F.length(flat) - 7)).otherwise(flat)), F.lit(""))
 
 
 def clean_headline(c) -> Column:
@@ -79,7 +83,13 @@ def clean_id(c) -> Column:
 
 def word_count(c) -> Column:
     """Number of whitespace-separated words (Python ``len(s.split())``)."""
-    return F.regexp_count(_c(c), F.lit(f"[^{WS}]+"))
+    return F.regexp_count(_c(c), F.lit(f"[!-~[^{WS}]]+"))
+
+
+def spaced_word_count(c) -> Column:
+    """``word_count`` of a text that ``strip_wire_tag`` or ``clean_headline`` returned: one more than its spaces."""
+    s = _c(c)
+    return F.when(s == "", F.lit(0)).otherwise(F.length(s) - F.length(F.replace(s, F.lit(" "))) + 1)
 
 
 def first_line(c) -> Column:

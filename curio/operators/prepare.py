@@ -49,11 +49,10 @@ def computed_once(df: DataFrame) -> DataFrame:
 
 def clean_corpus(df: DataFrame) -> DataFrame:
     """Raw news corpus -> parsed topics, cleaned article and headline, word count."""
-    body = T.strip_wire_tag("text")
     keep = [c for c in df.columns if c not in ("text", "title")]
-    cleaned = df.select(*keep, T.parse_list_literal("topics").alias("topics_list"), body.alias("text"),
-                        T.clean_headline("title").alias("title"), T.word_count(body).alias("n_words"))
-    return computed_once(cleaned)
+    cleaned = df.select(*keep, T.parse_list_literal("topics").alias("topics_list"), T.strip_wire_tag("text").alias("text"),
+                        T.clean_headline("title").alias("title"))
+    return computed_once(cleaned).withColumn("n_words", T.spaced_word_count("text"))
 
 
 def keep_long(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -64,7 +63,8 @@ def keep_long(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def drop_short_counts(df: DataFrame, keys: list[str], min_words: int = MIN_WORDS) -> DataFrame:
-    keep = (F.length("text") > 0) & (F.length("title") > 0) & (T.word_count("text") >= min_words)
+    wc = F.col("n_words") if "n_words" in df.columns else T.word_count("text")
+    keep = (F.length("text") > 0) & (F.length("title") > 0) & (wc >= min_words)
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("before"),
                                  F.sum(keep.cast("int")).alias("after"),
                                  F.sum((~keep).cast("int")).alias("dropped"))

@@ -68,3 +68,30 @@ def test_title_and_desc(spark):
     df = spark.createDataFrame([("t", None), ("t", "d")], "title string, description string")
     got = [r[0] for r in df.select(T.title_and_desc("title", "description")).collect()]
     assert sorted(got) == ["t", "t. d"]
+
+
+def test_whitespace_patterns_equal_the_plain_ones(spark):
+    import random
+    import re
+
+    r = random.Random(5)
+    ws = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        　"
+    words = ["Reuter", "reuter", "xReuter", "a", "B7", "é", "-", "​", "\U0001f600", "K"]
+    texts = ["".join(r.choice(words) if r.random() < 0.5 else " " if r.random() < 0.5 else r.choice(ws) for _ in range(r.randrange(9)))
+             for _ in range(600)]
+    texts += ["Reuter", " Reuter", " Reuter \n", "a Reuter Reuter \x85", "aReuter ", ""]
+    flat = [re.sub(f"[{ws}]+", " ", t) for t in texts]
+    assert run(spark, T.collapse_ws, texts) == flat
+    assert run(spark, T.word_count, texts) == [len(re.findall(f"[^{ws}]+", t)) for t in texts]
+    assert run(spark, T.clean_text, texts) == [re.sub(f"[{ws}]+", " ", re.sub(f"[^a-z0-9{ws}]", "", t.lower())) for t in texts]
+    bare = [re.sub(f"[{ws}]+", " ", re.sub(f"[{ws}]+reuter[{ws}]*$", "", t, flags=re.I)).strip(" ") for t in texts]
+    assert run(spark, T.strip_wire_tag, texts) == bare
+    assert run(spark, T.spaced_word_count, bare) == [len(t.split()) for t in bare]
+
+
+def test_drop_short_counts_reads_the_words_counted_by_the_cleaner(spark):
+    from curio.operators import prepare as P
+
+    rows = [("a", "x y z", "t", 12), ("a", "x y z", "t", 3), ("b", "", "t", 12)]
+    got = P.drop_short_counts(spark.createDataFrame(rows, "split string, text string, title string, n_words int"), ["split"])
+    assert sorted(map(tuple, got.collect())) == [("a", 2, 1, 1), ("b", 1, 0, 1)]
