@@ -83,6 +83,11 @@ def bandit_posterior(rewards: DataFrame, n_arms: int, decay: float = DECAY,
             .withColumn("beta", F.col("losses") + F.lit(beta)))
 
 
+def block_size(decay: float) -> int:
+    """Steps of a block: powers of ``decay`` over that many stay below e^100."""
+    return max(1, int(100 / -math.log(decay))) if 0 < decay < 1 else 1 if decay <= 0 else 1 << 30
+
+
 def bandit_history(rewards: DataFrame, n_arms: int, decay: float = DECAY) -> DataFrame:
     """(wins, losses) of every arm after every step: the state the original saves per update.
 
@@ -92,7 +97,7 @@ def bandit_history(rewards: DataFrame, n_arms: int, decay: float = DECAY) -> Dat
     blocks' totals carries what came before. Totals weigh e^-100 less with each block, so after
     ``CARRY_BLOCKS`` blocks nothing is left in a double.
     """
-    size = max(1, int(100 / -math.log(decay))) if 0 < decay < 1 else 1 if decay <= 0 else 1 << 30
+    size = block_size(decay)
     grid = rewards.select("run_id", "step", F.col("arm").alias("_chosen"), "reward").withColumn(
         "arm", F.explode(F.sequence(F.lit(0), F.lit(n_arms - 1))))
     block = F.floor(F.col("step") / size)

@@ -172,18 +172,15 @@ def results_by_arm(spark, d):
 @query("bandit_state_stream", f"SELECT run_id, arm, round(wins, 6) AS wins, round(losses, 6) AS losses FROM ({STATE_SQL})")
 def bandit_state_stream(spark, d):
     """The same state maintained incrementally: the reward log is appended to a parquet folder
-    and a Structured Streaming query (availableNow) folds it into per-(run, arm) state."""
+    and a Structured Streaming query (availableNow) folds it into state per run, arm and block of steps."""
     from ..schemas import REWARDS
     from ..session import scratch_path
-    from ..streaming.rewards import arm_state_stream, current_state, reward_stream
+    from ..streaming.rewards import arm_state_stream, current_state, latest_states, reward_stream
     log, out, ckpt = (scratch_path(spark, n) for n in ("rewards_log", "arm_state", "arm_state_ckpt"))
     _rewards(spark, d).select(*[f.name for f in REWARDS.fields]).write.mode("append").parquet(log)
     q = (arm_state_stream(reward_stream(spark, log)).writeStream.outputMode("update")
          .foreachBatch(lambda b, _: b.write.mode("append").parquet(out))
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    states = spark.read.parquet(out)
-    latest = states.groupBy("run_id", "arm").agg(
-        F.max_by(F.struct("last_step", "wins", "losses"), "last_step").alias("s")).select(
-        "run_id", "arm", "s.last_step", "s.wins", "s.losses")
+    latest = latest_states(spark.read.parquet(out))
     return current_state(latest).select("run_id", "arm", _r6("wins"), _r6("losses"))
