@@ -2,7 +2,7 @@
 
 1. ``knn_graph``: rows are dealt into blocks of similar vectors several times (sign bits of random directions, then a
    projection) and compared within a block; neighbours of neighbours are then compared with each other
-   (neighbour descent). A block and a neighbour list have a fixed size, so no group grows with the data, also
+   (neighbour descent), the vectors of a list in one place. A block and a neighbour list have a fixed size, so no group grows with the data, also
    when a third of all vectors are equal.
 2. ``spanning_tree``: edges weigh the larger of their length and both ends' core distances. Every component picks
    its least edge, picked edges merge components by pointer jumping, until none is left (Boruvka). All rounds are
@@ -43,6 +43,12 @@ def unit_vectors(emb: DataFrame, id_col: str = "id", vec_col: str = "embedding")
         F.col(id_col).alias("id"), F.transform(v, lambda x: x / F.when(norm > 0, norm).otherwise(1.0)).alias("v"))
 
 
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of rows of ``a`` and ``b``; a pair has the same one in every task and direction."""
+    d = a - b
+    return np.sqrt((d * d).sum(1))
+
+
 def _nearest(edges: DataFrame, k: int) -> DataFrame:
     """The k nearest of each row; a row's list is cut map-side before the shuffle."""
     rank = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
@@ -73,10 +79,10 @@ def _block_edges(vecs: DataFrame, k: int, tables: int, block: int, seed: int) ->
             d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * x @ x.T))
             np.fill_diagonal(d, np.inf)
             m = min(k, len(b) - 1)
-            near = np.argsort(d, axis=1, kind="stable")[:, :m]
+            near = np.argsort(d, axis=1, kind="stable")[:, :m].ravel()
             ids = b["id"].to_numpy()
             row = np.repeat(np.arange(len(b)), m)
-            return pd.DataFrame({"src": ids[row], "dst": ids[near.ravel()]})
+            return pd.DataFrame({"src": ids[row], "dst": ids[near], "dist": _lengths(x[row], x[near])})
         held = None
         for p in batches:  # sorted: cut into blocks of one table
             held = p if held is None else pd.concat([held, p], ignore_index=True)
@@ -91,18 +97,60 @@ def _block_edges(vecs: DataFrame, k: int, tables: int, block: int, seed: int) ->
 
     dealt = vecs.mapInPandas(deal, f"t int, code long, z double, id {kind}, v array<double>")
     order = ["t", "code", "z", "id"]
-    pairs = dealt.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(compare, f"src {kind}, dst {kind}")
-    return pairs
+    return dealt.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(compare, f"src {kind}, dst {kind}, dist double")
+
 
+def _near_pairs(graph: DataFrame, vecs: DataFrame, k: int) -> DataFrame:
+    """(src, dst, dist) of rows that stand in one list (2 k at most, both directions) and would enter src's list of k.
+
+    A list's vectors are sent to one place and compared there, so that a row's vector travels once a list and not once
+    a pair; with it goes the last entry of its own list, and only pairs that beat it leave the task.
+    """
+    kind = vecs.schema["id"].dataType.simpleString()
+    both = graph.union(graph.select("dst", "src", "dist")).distinct()
+    lists = _nearest(both, 2 * k).select(F.col("src").alias("c"), F.col("dst").alias("id"))
+    last = graph.groupBy("src").agg(F.count("*").alias("_n"), F.max(F.struct("dist", "dst")).alias("_e"))
+    last = last.select(F.col("src").alias("id"), F.when(F.col("_n") >= k, F.col("_e.dist")).otherwise(float("inf")).alias("reach"),
+                       F.col("_e.dst").alias("last"))
+    ends = lists.join(vecs.join(last, "id"), "id").repartition("c").sortWithinPartitions("c", "id")
+
+    def pairs(p):
+        c, ids, reach, end = (p[x].to_numpy() for x in ("c", "id", "reach", "last"))
+        x = np.stack(p["v"].to_numpy())
+        begin = np.r_[0, np.flatnonzero(c[1:] != c[:-1]) + 1]
+        size = np.diff(np.r_[begin, len(c)])
+        group, at = np.repeat(np.arange(len(size)), size), np.arange(len(c)) - np.repeat(begin, size)
+        row = np.full((len(size), size.max()), -1)
+        row[group, at] = np.arange(len(c))
+        y = np.zeros((*row.shape, x.shape[1]))
+        y[group, at] = x
+        sq = (y * y).sum(2)
+        rough = sq[:, :, None] + sq[:, None, :] - 2 * y @ y.transpose(0, 2, 1)
+        bound = np.where(row >= 0, reach[row] ** 2 + 1e-9, -np.inf)
+        rough[(row < 0)[:, None, :] | np.eye(row.shape[1], dtype=bool)] = np.inf
+        g, i, j = np.nonzero((rough <= bound[:, :, None]) & (rough < np.inf))
+        a, b = row[g, i], row[g, j]
+        d = _lengths(x[a], x[b])
+        keep = d < reach[a]
+        tie = np.flatnonzero(d == reach[a])
+        keep[tie] = ids[b[tie]] < end[a[tie]]
+        return pd.DataFrame({"src": ids[a[keep]], "dst": ids[b[keep]], "dist": d[keep]})
+
+    def compare(batches):
+        held = None
+        for p in batches:  # sorted by list: the last one may go on in the next batch
+            held = p if held is None or not len(held) else pd.concat([held, p], ignore_index=True)
+            if len(held):
+                c = held["c"].to_numpy()
+                whole = np.flatnonzero(c != c[-1])
+                cut = whole[-1] + 1 if len(whole) else 0
+                if cut:
+                    yield pairs(held.iloc[:cut])
+                    held = held.iloc[cut:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield pairs(held)
 
-def _with_distance(pairs: DataFrame, vecs: DataFrame) -> DataFrame:
-    """Distances of (src, dst), by joins on both ends; both directions."""
-    one = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
-    d = (one.join(vecs.select(F.col("id").alias("src"), F.col("v").alias("_a")), "src")
-         .join(vecs.select(F.col("id").alias("dst"), F.col("v").alias("_b")), "dst"))
-    sq = F.aggregate(F.zip_with("_a", "_b", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    d = d.select("src", "dst", F.sqrt(sq).alias("dist"))
-    return d.union(d.select("dst", "src", "dist"))
+    return ends.mapInPandas(compare, f"src {kind}, dst {kind}, dist double")
 
 
 def knn_graph(vecs: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, block: int = BLOCK, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
@@ -110,14 +158,12 @@ def knn_graph(vecs: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, block:
 
     Blocks are cut from sampled ranges, so a rare neighbour may differ between runs; lists are written once and reread.
     """
-    graph = _written(_nearest(_with_distance(_block_edges(vecs, k, tables, block, seed), vecs), k), "knn")
+    # all of a row's candidates go to one place by its id and are told apart there
+    first = _block_edges(vecs, k, tables, block, seed).repartition("src").distinct()
+    graph = _written(_nearest(first, k), "knn")
     for _ in range(rounds):
-        both = graph.union(graph.select("dst", "src", "dist")).distinct()
-        lists = _nearest(both, 2 * k).groupBy("src").agg(F.collect_list("dst").alias("near"))  # 2 k at most
-        near = lists.select(F.explode("near").alias("src"), "near").select("src", F.explode("near").alias("dst"))
-        known = graph.select("src", "dst")
-        new = near.where("src < dst").distinct().join(known, ["src", "dst"], "left_anti")
-        graph = _written(_nearest(graph.union(_with_distance(new, vecs)).distinct(), k), "knn")
+        more = graph.union(_near_pairs(graph, vecs, k)).repartition("src").distinct()
+        graph = _written(_nearest(more, k), "knn")
     return graph
 
 

@@ -98,3 +98,36 @@ def test_density_topics_with_equal_vectors_and_few_rows(spark):
     tiny = vectors(spark, np.eye(3)[:2]).withColumnRenamed("v", "embedding")
     assert {r["topic"] for r in D.density_topics(tiny).collect()} == {0}
     assert D.density_topics(tiny.limit(0)).count() == 0
+
+
+def test_descent_finds_every_better_pair_of_a_list_and_sends_no_vector_per_pair(spark):
+    """``_near_pairs`` against brute force over the lists, with equal vectors, and no join of pairs with vectors."""
+    r = np.random.default_rng(11)
+    x = r.normal(size=(60, 8))
+    x[40:52] = x[40]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    k = 4
+    rows = []
+    for i in range(60):
+        for j in sorted(set(r.choice(60, 6)) - {i})[:k if i % 9 else 2]:
+            rows.append((i, int(j), float(D._lengths(x[[i]], x[[int(j)]])[0])))
+    graph = spark.createDataFrame(rows, "src long, dst long, dist double")
+    own, lists = {i: [] for i in range(60)}, {i: set() for i in range(60)}
+    for i, j, w in rows:
+        own[i].append((w, j))
+        lists[i].add((w, j))
+        lists[j].add((w, i))
+    want = set()
+    for c, near in lists.items():
+        members = [j for _, j in sorted(near)[:2 * k]]
+        for a in members:
+            for b in members:
+                last = max(own[a]) if len(own[a]) >= k else (np.inf, 0)
+                if a != b and (d[a, b] < last[0] - 1e-12 or (abs(d[a, b] - last[0]) <= 1e-12 and b < last[1])):
+                    want.add((a, b))
+    found = D._near_pairs(graph, vectors(spark, x), k)
+    got = {(r["src"], r["dst"]): r["dist"] for r in found.collect()}
+    assert set(got) == want and all(abs(d[a, b] - w) < 1e-12 for (a, b), w in got.items())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "zip_with" not in plan
