@@ -150,9 +150,11 @@ def run_loop(spark: SparkSession, pool: DataFrame, validation: DataFrame, labele
                  .dropDuplicates(["id"]))
         if cfg.balance:
             train = SM.balance_two_to_one(train, f"{cfg.seed}:{cfg.run_id}:{step}:b", ["run_id"])
+        # settled once, in as many partitions as its rows need (at most rounds x sample size rows): every pass of the
+        # fit sends a weight vector per partition, and a cache would keep all of the shuffle's partitions
+        train = train.checkpoint(eager=True)
         io.append(train.select("run_id", F.lit(step).alias("step"), "id", "title", "label"), store.path("training"), ["run_id"])
-        train = train.cache()
-        # one job fills the cache and gives both the class counts and the row count (labels are 0/1)
+        # one job gives both the class counts and the row count (labels are 0/1)
         flags = class_ratio_flags(train, ["run_id"]).first()
         weighted = bool(flags["still_unbalanced"]) if flags else True
         n_train = int(flags["n_pos"] + flags["n_neg"]) if flags else 0
@@ -162,7 +164,6 @@ def run_loop(spark: SparkSession, pool: DataFrame, validation: DataFrame, labele
         else:
             cand = C.train_classifier(train, "title", weighted)
             metrics = C.evaluate(cand, validation, cfg.feature_col).first().asDict()
-        train.unpersist()
         metric = metrics.get(cfg.metric)
         reward = BD.DEAD_REWARD if metric is None else metric - baseline
         if metric is not None and reward > 0:

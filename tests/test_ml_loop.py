@@ -125,3 +125,14 @@ def test_write_once_repairs_a_short_table_and_refuses_lost_rows(spark):
     assert io.write_once(spark, path, lambda: spark.range(5), rows=5).count() == 5
     with pytest.raises(ValueError):
         io.write_once(spark, scratch_path(spark, "lost"), lambda: spark.range(4), rows=5)
+
+
+def test_a_round_fits_on_as_few_partitions_as_its_rows_need(spark, monkeypatch):
+    """The training set of a round is small: the fit must not run over all partitions of the shuffle before it."""
+    from curio.plans import loop
+    from curio.plans.flagship import active_learning
+
+    seen, fit = [], loop.C.train_classifier
+    monkeypatch.setattr(loop.C, "train_classifier", lambda train, *a: seen.append(train.rdd.getNumPartitions()) or fit(train, *a))
+    res = active_learning(spark, SF_SMALL, method="lda", k=3, rounds=2, sample_size=20, run_id="parts").collect()
+    assert len(res) == 2 and seen and max(seen) <= 2, seen
