@@ -197,9 +197,10 @@ def topic_words_by_vector(spark, d):
 @query("cluster_methods")
 def cluster_methods(spark, d):
     docs = _docs(spark, d)
+    emb = TP.embed_documents(docs, "topic_text")  # settled once for both methods that read it
     out = None
     for m in ("lda", "kmeans", "fine"):
-        a = TP.cluster(docs, m, K, text_col="topic_text", seed=SEED).withColumn("method", F.lit(m))
+        a = TP.cluster(docs, m, K, text_col="topic_text", seed=SEED, embeddings=emb).withColumn("method", F.lit(m))
         out = a if out is None else out.unionByName(a)
     return out
 

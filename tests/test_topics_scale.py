@@ -3,7 +3,6 @@
 import hashlib
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from curio.operators import topics as TP
 
@@ -60,3 +59,15 @@ def test_topic_words_keep_the_best_of_every_task(spark):
             assert abs(rows[t, i + 1][1] + want[i][0]) < 1e-9 and (t != 5 or rows[t, i + 1][0] == want[i][1])
     # tasks pass on few rows: nothing is exploded by topic before the cut
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cluster_methods_embeds_the_documents_once(spark, monkeypatch):
+    from curio.plans import q_topics
+    from tests.conftest import SF_SMALL
+
+    made, given = [], []
+    ids = spark.createDataFrame([("a", 0)], "id string, label_cluster int")
+    monkeypatch.setattr(q_topics.TP, "embed_documents", lambda *a, **k: made.append(1) or "vectors")
+    monkeypatch.setattr(q_topics.TP, "cluster", lambda *a, **k: given.append(k.get("embeddings")) or ids)
+    assert q_topics.cluster_methods(spark, SF_SMALL).count() == 3
+    assert made == [1] and given == ["vectors"] * 3
