@@ -83,3 +83,16 @@ def test_a_fit_does_not_depend_on_partitions_and_parts_topics(spark):
     got = {r["id"]: r["label_cluster"] for r in TP.assign_lda(many, TP.hashed_counts(df, "t", 1 << 10)).collect()}
     assert len(got) == 91 and got["e"] == 0
     assert sum(len({got[str(i)] for i in range(j, 90, 3)}) for j in range(3)) == 3   # each theme goes to one topic
+
+
+def test_a_saved_model_is_read_back_bit_by_bit(spark):
+    import pytest
+    from curio.session import scratch_path
+    model = LD.TopicModel(np.random.default_rng(2).gamma(3, 1, (1 << 10, 4)), np.array([0.3, 0.1, 0.25, 0.2]), 11)
+    path = scratch_path(spark, "lda-bits")
+    TP.save_lda(model, path)
+    back = TP.load_lda(path)
+    assert np.array_equal(back.weight, model.weight) and np.array_equal(back.alpha, model.alpha) and back.seed == 11
+    assert np.array_equal(back.start, model.start)
+    with pytest.raises(Exception):
+        TP.save_lda(model, path)
