@@ -13,7 +13,7 @@
 
 One task handles the sizes of one source (a row per distinct size) and one the table of sources (a row per source); both
 are counts, not documents. The dynamic program's array is as long as the remaining budget, at most ``reserve`` words
-plus the longest document.
+plus the longest document, and half of that again.
 
 Edge cases: a null text has size 0 and is taken for nothing; a null source is a source of its own, ordered last. Null
 and repeated ids are rows of their own; which of several rows with one id is taken follows their place in the files.
@@ -78,7 +78,8 @@ def _knapsack(items: list[tuple[int, int, int]], goal: int) -> Iterator[tuple[in
     """(item, copies) of a choice from (item, size, copies at hand) whose sum is nearest ``goal`` (ties: below)."""
     if not items or goal <= 0:
         return
-    top = goal + min(s for _, s, _ in items)
+    # a nearest sum above the goal is over it by at most half of any size in it, and by no more than the goal itself (sum 0)
+    top = goal + min(goal, max(s for _, s, _ in items) // 2)
     via = np.full(top + 1, -1, np.int32)  # the step that first reached a sum
     reach = np.zeros(top + 1, bool)
     reach[0] = True

@@ -133,6 +133,12 @@ def test_fit_reaches_the_nearest_sum(pairs, goal):
     assert abs(sum(s * t for s, t in zip(sizes, take)) - goal) == best_sum(sizes, counts, goal)
 
 
+def test_fit_takes_the_sum_above_where_it_is_nearer():
+    assert mix.fit_counts([1, 6], [1, 1], 4) == [0, 1]
+    assert mix.fit_counts([1, 8], [1, 1], 4) == [1, 0] and mix.fit_counts([3, 8], [1, 1], 4) == [1, 0]
+    assert mix.fit_counts([2, 30, 31], [1, 1, 1], 20) == [0, 1, 0]
+
+
 def test_fit_large_is_exact():
     r = random.Random(2)
     sizes = sorted({r.randrange(1, 20000) for _ in range(3000)})
