@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 WS = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 # Characters kept by the cleaner: ASCII letters and digits plus whitespace.
 KEEP_CLASS = r"a-zA-Z0-9" + WS
+# Nearly all characters of a lower-cased text, listed one by one: Java looks such a class up in one table.
+PLAIN = "abcdefghijklmnopqrstuvwxyz0123456789 "
 # Trailing wire-service tag of news articles (case-insensitive "reuter" after whitespace).
 WIRE_TAG = r"[Rr][Ee][Uu][Tt][Ee][Rr]"
 # Maximum characters of a text placed into a labeling prompt, and the ellipsis appended.
@@ -57,7 +59,7 @@ def clean_text(c) -> Column:
     Newlines and NBSP become spaces through the collapse. No trim; NULL stays NULL.
     """
     low = F.lower(_c(c))
-    kept = F.regexp_replace(low, f"(?![a-z0-9 ])[^{KEEP_CLASS}]+", "")
+    kept = F.regexp_replace(low, f"([{PLAIN}]+)|[^{KEEP_CLASS}]+", "$1")  # runs of plain characters are passed over whole
     return collapse_ws(kept)
 
 

@@ -16,8 +16,8 @@ import pyarrow as pa
 TOLERANCE = 1e-3
 #: Shape of the Gamma draws (mean 1) that topics and documents start from.
 GAMMA_SHAPE = 100.0
-#: Term counts in a block of documents (a longer document goes alone); one block's weights stay in the CPU's cache.
-BLOCK = 1 << 14
+#: Term counts in a block of documents (a longer document goes alone): enough documents that an update's work outweighs its calls.
+BLOCK = 1 << 16
 #: Updates after which a document goes on by plain updates, which never lower the bound.
 LONG_STEPS = 300
 #: Updates after which steps are taken by the update's slope (Newton).
@@ -157,6 +157,15 @@ def settle(weight: np.ndarray, count: np.ndarray, alpha: np.ndarray, start: np.n
     raise ArithmeticError(f"topic weights of {len(row)} documents do not settle")
 
 
+def met_terms(terms: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct terms ascending, place of each of ``terms`` among them): a batch's weights and sums are a small table."""
+    place = np.zeros(n_terms, np.int64)
+    place[terms] = 1
+    met = np.flatnonzero(place)
+    place[met] = np.arange(len(met))
+    return met, place[terms]
+
+
 def infer(terms: np.ndarray, counts: np.ndarray, ends: np.ndarray, weight: np.ndarray, alpha: np.ndarray, start: np.ndarray):
     """Yields (rows, topic weights, terms, shares) by block; ``ends`` has n + 1 places of the documents in ``terms`` and
     ``counts``, ``weight`` (terms, k). A document's share of a term is its count by what its topics expect of the term."""
@@ -187,14 +196,17 @@ def pass_sums(batches, weight: np.ndarray, alpha: np.ndarray, start: np.ndarray)
     sums, logs, n = np.zeros_like(weight), np.zeros(len(alpha)), 0
     for b in batches:
         times = b.column(0).to_numpy()
-        for rows, gamma, theta, term, share in infer(*flat(b.column(1)), weight, alpha, start):
+        terms, counts, ends = flat(b.column(1))
+        seen, terms = met_terms(terms, len(weight))
+        part = np.zeros((len(alpha), len(seen)))
+        for rows, gamma, theta, term, share in infer(terms, counts, ends, weight[seen], alpha, start):
             m = times[rows]
             n += int(m.sum())
             logs += m @ log_mean(gamma)
-            share = share * m[:, None]
-            for i in range(len(rows)):
-                held = np.count_nonzero(share[i])   # padding stands last
-                sums[term[i, :held]] += share[i, :held, None] * theta[i]
+            share = share * m[:, None]    # padding has none
+            for topic in range(len(alpha)):
+                part[topic] += np.bincount(term.ravel(), (share * theta[:, topic, None]).ravel(), len(seen))
+        sums[seen] += part.T
     met = np.flatnonzero(sums.any(1))
     values = np.rint(np.vstack([logs, sums[met] * weight[met]]) * POINT).astype(np.int64)
     columns = [pa.array(np.r_[-1, met].astype(np.int32)), pa.array(np.r_[n, np.zeros(len(met), np.int64)])]
@@ -206,7 +218,9 @@ def dominant(batches, weight: np.ndarray, alpha: np.ndarray, start: np.ndarray,
     """The batches with each document's largest topic (ties: lowest; no terms: 0) in place of column ``bow``."""
     for b in batches:
         best = np.zeros(b.num_rows, np.int32)
-        for rows, gamma, *_ in infer(*flat(b.column(bow)), weight, alpha, start):
+        terms, counts, ends = flat(b.column(bow))
+        seen, terms = met_terms(terms, len(weight))
+        for rows, gamma, *_ in infer(terms, counts, ends, weight[seen], alpha, start):
             best[rows] = gamma.argmax(1)
         names = b.schema.names
         kept = [i for i in range(len(names)) if i != bow]
