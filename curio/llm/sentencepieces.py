@@ -14,6 +14,7 @@ encoded alike. An empty table gives no rows. Extra columns are not read.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -26,6 +27,8 @@ from .common import sliced, text_or_empty
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 TABLE_SIZE = 300_000
+#: Text bytes encoded at a time; as lists of words they take about forty times that.
+ENCODE_BYTES = 1 << 19
 
 
 def cuts_at_markers(proto: bytes) -> bool:
@@ -79,6 +82,15 @@ class ChunkCodec:
                 [" ".join(map(words.__getitem__, c)) for c in cut])
 
 
+def encode_batches(batches: Iterator[pa.RecordBatch], codec: ChunkCodec) -> Iterator[pa.RecordBatch]:
+    """(_id, n_tokens, ids, decoded) of batches with _id and _t, a piece of ``ENCODE_BYTES`` at a time."""
+    for b in sliced(batches, "_t", ENCODE_BYTES):
+        ids, decoded = codec.apply(b.column("_t").to_pylist())
+        yield pa.RecordBatch.from_arrays(
+            [b.column("_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
+            ["_id", "n_tokens", "ids", "decoded"])
+
+
 def encode_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", bos: bool = True,
                  eos: bool = True) -> DataFrame:
     """(id, n_tokens, ids, decoded): ids as little-endian unsigned 32-bit integers in one binary value."""
@@ -86,12 +98,7 @@ def encode_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     src = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t"))
 
     def run(batches):
-        codec = ChunkCodec(proto, bos, eos)
-        for b in sliced(batches, "_t"):
-            ids, decoded = codec.apply(b.column("_t").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
-                ["_id", "n_tokens", "ids", "decoded"])
+        yield from encode_batches(batches, ChunkCodec(proto, bos, eos))
 
     kind = src.schema["_id"].dataType.simpleString()
     return src.mapInArrow(run, f"_id {kind}, n_tokens long, ids binary, decoded string").withColumnRenamed("_id", id_col)

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import free_name, sliced, text_bytes, text_or_empty, written
 
@@ -41,6 +41,8 @@ MIN_DOCS = 4
 PREFIXES = (4, 5, 6)
 #: Distinct words a task remembers before it starts anew.
 TABLE_SIZE = 500_000
+#: Text bytes that are scored at a time.
+SCORE_BYTES = 1 << 20
 
 #: Terms of a group stand in for each other in counterfactual texts.
 IDENTITY_GROUPS = [
@@ -130,11 +132,17 @@ def term_features(groups: list[str]) -> np.ndarray:
 def select_features(y: np.ndarray, rows: list[np.ndarray], always: np.ndarray) -> np.ndarray:
     """Features whose presence differs between the classes (likelihood ratio of the 2x2 table), and ``always`` where present."""
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
-    flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
-    feats, inv = np.unique(flat, return_inverse=True)
-    label = np.repeat(y, [len(r) for r in rows])
-    a = np.bincount(inv, weights=label, minlength=len(feats))  # present, label 1
-    b = np.bincount(inv, minlength=len(feats)) - a
+    # counted row by row: all rows' features at once, sorted, would take many times their size
+    size = 1 + max((int(r.max()) for r in rows if len(r)), default=-1)
+    seen_in, seen_in_1 = np.zeros(size, dtype=np.int32), np.zeros(size, dtype=np.int32)
+    for r, label in zip(rows, y):
+        np.add.at(seen_in, r, 1)
+        if label:
+            np.add.at(seen_in_1, r, 1)
+    feats = np.flatnonzero(seen_in).astype(np.int32)
+    a = seen_in_1[feats].astype(np.float64)  # present, label 1
+    b = seen_in[feats] - a
+    del seen_in, seen_in_1
     g2 = np.zeros(len(feats))
     for seen, total, share in ((a, n1, n1), (b, n0, n0), (n1 - a, n1, n1), (n0 - b, n0, n0)):
         held = (a + b) if seen is a or seen is b else (n1 + n0 - a - b)
@@ -227,12 +235,15 @@ def score(docs: DataFrame, model: tuple[float, dict[int, float]], text_col: str
     bias, weights = model
     docs = docs.drop(score_col) if score_col != text_col else docs
     keep = docs.columns
-    text = free_name(docs, "_scored_text")
-    src = docs.withColumn(text, text_or_empty(text_col))
+    if text_col in keep and isinstance(docs.schema[text_col].dataType, StringType):
+        text, src = text_col, docs  # read in place: a second copy of all texts would go to Python
+    else:
+        text = free_name(docs, "_scored_text")
+        src = docs.withColumn(text, text_or_empty(text_col))
 
     def run(batches):
         table: dict[bytes, tuple] = {}
-        for b in sliced(batches, text):
+        for b in sliced(batches, text, SCORE_BYTES):
             if len(table) > TABLE_SIZE:
                 table.clear()
             out = []

@@ -518,3 +518,67 @@ def test_bpe_table_equals_the_library_on_hard_cuts_and_with_a_tiny_table():
             some = texts[i:i + step]
             want = [np.array([*library.encode(t, add_special_tokens=False).ids, 0], dtype="<u4").tobytes() for t in some]
             assert table.apply(some) == want
+
+
+def traced_peak(call):
+    """What ``call`` gives and the most bytes that it held at once."""
+    import tracemalloc
+    tracemalloc.start()
+    try:
+        return call(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_feature_choice_holds_counts_not_all_rows_at_once():
+    r = np.random.default_rng(3)
+    rows = [np.unique(r.integers(0, 50_000, 600)).astype(np.int32) for _ in range(3000)]
+    y = (r.random(3000) < 0.2).astype(np.float64)
+    rows = [np.union1d(x, [7, 50_001]).astype(np.int32) if v else x for x, v in zip(rows, y)]
+    got, peak = traced_peak(lambda: tox.select_features(y, rows, np.array([11, 60_000])))
+    assert peak < sum(x.nbytes for x in rows)
+
+    def g2(f):
+        n = len(y)
+        held = np.array([f in x for x in rows])
+        out = 0.0
+        for here in (held, ~held):
+            for label in (y > 0, y == 0):
+                seen = (here & label).sum()
+                out += 2 * seen * np.log(seen * n / (here.sum() * label.sum())) if seen else 0
+        return out, held.sum()
+    assert {7, 11, 50_001} <= set(got.tolist()) and 60_000 not in got and got.dtype == np.int32
+    probe = [*got.tolist()[:10], *range(100, 110)]
+    assert [f in got for f in probe] == [f == 11 or (g2(f)[0] >= tox.MIN_G2 and g2(f)[1] >= tox.MIN_DOCS) for f in probe]
+    assert tox.select_features(np.array([0.0, 1.0]), [np.zeros(0, np.int32)] * 2, np.array([1])).tolist() == []
+
+
+def test_scoring_sends_texts_to_python_once(spark):
+    d = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, "")], "doc_id long, text string")
+    model = (-1.0, {f: 2.0 for f in tox.word_features(b"alpha")})
+    out = tox.score(d, model)
+    got = {r["doc_id"]: (r["text"], r["score"]) for r in out.collect()}
+    assert out.columns == ["doc_id", "text", "score"] and [got[i][0] for i in (1, 2, 3)] == ["alpha beta", None, ""]
+    assert got[1][1] > 0.9 and got[2][1] == got[3][1] == 1 / (1 + np.exp(1.0))
+    assert "_scored_text" not in out._jdf.queryExecution().analyzed().toString()
+    # other types are still read as text
+    n = tox.score(d.select("doc_id", F.lit(5).alias("text")), model)
+    assert n.schema["text"].dataType.simpleString() == "int" and {r["score"] for r in n.collect()} == {got[2][1]}
+
+
+def test_encoding_holds_small_pieces_of_a_batch():
+    import pyarrow as pa
+    proto = Path(model_path("piece_bpe_32k.model")).read_bytes()
+    texts = [" ".join(f"w{(i * j) % 997}" for j in range(2000)) for i in range(400)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(401)), pa.array([t or "" for t in texts])], ["_id", "_t"])
+    codec = sp.ChunkCodec(proto)
+
+    def run():
+        n = 0
+        for b in sp.encode_batches(iter([batch]), codec):
+            n += b.num_rows
+        return n
+    n, peak = traced_peak(run)
+    assert n == 401 and peak < 16 * sum(len(t or "") for t in texts)
+    first = next(sp.encode_batches(iter([batch]), codec))
+    assert np.frombuffer(first.column("ids")[3].as_py(), "<u4").tolist() == codec.sp.encode(texts[3], add_bos=True, add_eos=True)
