@@ -28,6 +28,9 @@ MOST_LEAP = 1000.0
 MOST_STEPS = 1 << 20
 #: Fixed point of a task's sums: added as integers they do not depend on the order of tasks.
 POINT = 1 << 24
+#: Terms of a packed range of a task's sums, and the columns of such a row.
+RANGE = 1 << 13
+PACKED = "fit int, first int, n long, terms binary, vals binary"
 #: Learning offset and decay of the online fit.
 OFFSET, DECAY = 1024.0, 0.51
 
@@ -50,9 +53,9 @@ class TopicModel:
         """Topic weights that every document starts from."""
         return np.random.default_rng([self.seed, 1]).gamma(GAMMA_SHAPE, 1 / GAMMA_SHAPE, len(self.alpha))
 
-    def term_weights(self) -> np.ndarray:
-        """What a topic is expected to give a term: exp of the expected logarithm, (n_terms, k)."""
-        return np.exp(digamma(self.weight) - digamma(self.weight.sum(0)))
+    def term_weights(self, terms: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """What a topic is expected to give a term: exp of the expected logarithm, (terms, k)."""
+        return np.exp(digamma(self.weight[terms]) - digamma(self.weight.sum(0)))
 
     def learn(self, turn: int, sums: np.ndarray, scale: float, logs: np.ndarray, n: float) -> None:
         """Blend in one pass (from 1): expected counts by term and topic, and the sum of the documents' log topic shares."""
@@ -67,12 +70,13 @@ class TopicModel:
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
+    """For numbers above 0: the asymptotic series six places on; the six reciprocals between stand in three pairs of like sum."""
     y = x + 6.0
-    f = 1.0 / (y * y)
-    out = np.log(y) - 0.5 / y - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132))))
-    for i in range(6):
-        out -= 1.0 / (x + i)
-    return out
+    r = 1.0 / y
+    f = r * r
+    t = x * (x + 5.0)
+    out = np.log(y) - 0.5 * r - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132))))
+    return out - (x + y - 1.0) * (1.0 / t + 1.0 / (t + 4.0) + 1.0 / (t + 6.0))
 
 
 def trigamma(x: np.ndarray) -> np.ndarray:
@@ -190,38 +194,124 @@ def flat(bow: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return terms.flatten().to_numpy(), counts.flatten().to_numpy(), ends
 
 
-def pass_sums(batches, weight: np.ndarray, alpha: np.ndarray, start: np.ndarray):
-    """A task's part of a pass, from batches of (times drawn, term counts): a row per term met, with its expected counts by
-    topic, and a row -1 with the sums of log topic shares; ``n`` counts documents. A document drawn twice counts twice."""
-    sums, logs, n = np.zeros_like(weight), np.zeros(len(alpha)), 0
-    for b in batches:
-        times = b.column(0).to_numpy()
-        terms, counts, ends = flat(b.column(1))
-        seen, terms = met_terms(terms, len(weight))
-        part = np.zeros((len(alpha), len(seen)))
-        for rows, gamma, theta, term, share in infer(terms, counts, ends, weight[seen], alpha, start):
+class Sums:
+    """What a task adds up in a pass of one model: expected counts by term and topic, log topic shares, documents."""
+
+    def __init__(self, weight: np.ndarray, alpha: np.ndarray, start: np.ndarray):
+        self.weight, self.alpha, self.start = weight, alpha, start
+        self.sums, self.logs, self.n = np.zeros_like(weight), np.zeros(len(alpha)), 0
+
+    def add(self, times: np.ndarray, terms: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> None:
+        """Documents with the times each was drawn; one drawn twice counts twice, one not drawn is left alone."""
+        sizes = np.diff(ends)
+        if not times.all():
+            go = np.flatnonzero(times)
+            place = np.repeat(ends[go] - np.r_[0, np.cumsum(sizes[go])[:-1]], sizes[go]) + np.arange(sizes[go].sum()) if len(go) else go
+            times, terms, counts, ends = times[go], terms[place], counts[place], np.r_[0, np.cumsum(sizes[go])]
+        seen, terms = met_terms(terms, len(self.weight))
+        part = np.zeros((len(self.alpha), len(seen)))
+        for rows, gamma, theta, term, share in infer(terms, counts, ends, self.weight[seen], self.alpha, self.start):
             m = times[rows]
-            n += int(m.sum())
-            logs += m @ log_mean(gamma)
+            self.n += int(m.sum())
+            self.logs += m @ log_mean(gamma)
             share = share * m[:, None]    # padding has none
-            for topic in range(len(alpha)):
+            for topic in range(len(self.alpha)):
                 part[topic] += np.bincount(term.ravel(), (share * theta[:, topic, None]).ravel(), len(seen))
-        sums[seen] += part.T
-    met = np.flatnonzero(sums.any(1))
-    values = np.rint(np.vstack([logs, sums[met] * weight[met]]) * POINT).astype(np.int64)
-    columns = [pa.array(np.r_[-1, met].astype(np.int32)), pa.array(np.r_[n, np.zeros(len(met), np.int64)])]
+        self.sums[seen] += part.T
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(terms met, values in fixed point); the first row, term -1, has the log topic shares."""
+        met = np.flatnonzero(self.sums.any(1))
+        values = np.vstack([self.logs, self.sums[met] * self.weight[met]]) * POINT
+        return np.r_[-1, met].astype(np.int32), np.rint(values).astype(np.int64)
+
+
+def pass_sums(batches, weight: np.ndarray, alpha: np.ndarray, start: np.ndarray):
+    """A task's part of a pass of one model, from batches of (times drawn, term counts): a row per term met, with its expected
+    counts by topic, and a row -1 with the sums of log topic shares; ``n`` counts documents."""
+    part = Sums(weight, alpha, start)
+    for b in batches:
+        part.add(b.column(0).to_numpy(), *flat(b.column(1)))
+    terms, values = part.rows()
+    columns = [pa.array(terms), pa.array(np.r_[part.n, np.zeros(len(terms) - 1, np.int64)])]
     yield pa.RecordBatch.from_arrays(columns + [pa.array(v) for v in values.T.copy()],
                                      names=["term", "n", *[f"s{i}" for i in range(len(alpha))]])
 
 
-def dominant(batches, weight: np.ndarray, alpha: np.ndarray, start: np.ndarray, bow: int, out: str):
-    """The batches with each document's largest topic (ties: lowest; no terms: 0) in place of column ``bow``."""
+def packed(fit: int, first: int, n: int, terms: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """One row: a fit's values for the terms met of the range from ``first`` (-1: the row of log topic shares)."""
+    columns = [pa.array([fit], pa.int32()), pa.array([first], pa.int32()), pa.array([n], pa.int64()),
+               pa.array([terms.astype(np.int32).tobytes()]), pa.array([np.ascontiguousarray(values).tobytes()])]
+    return pa.RecordBatch.from_arrays(columns, names=["fit", "first", "n", "terms", "vals"])
+
+
+def all_terms(batches, n_terms: int):
+    """A row with a bit for each term: whether the task's term counts hold it."""
+    seen = np.zeros(n_terms, bool)
+    for b in batches:
+        seen[flat(b.column(0))[0]] = True
+    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()])], names=["seen"])
+
+
+def packed_sums(batches, models: list[tuple], vocabulary: np.ndarray, n_terms: int):
+    """A task's part of a pass of several models, from batches of (times drawn under each, term counts). The models' weights
+    are those of the ``vocabulary``, the terms that occur at all."""
+    parts = [Sums(*m) for m in models]
+    place = np.zeros(n_terms, np.int32)
+    place[vocabulary] = np.arange(len(vocabulary), dtype=np.int32)
+    for b in batches:
+        terms, counts, ends = flat(b.column(len(parts)))
+        terms = place[terms]
+        for i, part in enumerate(parts):
+            part.add(b.column(i).to_numpy(), terms, counts, ends)
+    for i, part in enumerate(parts):
+        terms, values = part.rows()
+        yield packed(i, -1, part.n, terms[:1], values[:1])
+        terms[1:] = vocabulary[terms[1:]]
+        cuts = np.searchsorted(terms, np.arange(0, n_terms + RANGE, RANGE))
+        for j, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if b > a:
+                yield packed(i, j * RANGE, 0, terms[a:b], values[a:b])
+
+
+def united(batches, k: int):
+    """The rows of each fit and range added up to one."""
+    table: dict[tuple, list] = {}
+    for b in batches:
+        for r in b.to_pylist():
+            first = max(r["first"], 0)
+            own = table.setdefault((r["fit"], r["first"]), [0, np.zeros((RANGE if r["first"] >= 0 else 1, k), np.int64)])
+            own[0] += r["n"]
+            at = np.frombuffer(r["terms"], np.int32) - first if r["first"] >= 0 else np.zeros(1, np.int32)
+            own[1][at] += np.frombuffer(r["vals"], np.int64).reshape(-1, k)
+    for (fit, first), (n, values) in table.items():
+        met = np.flatnonzero(values.any(1)) if first >= 0 else np.zeros(1, np.int64)
+        yield packed(fit, first, n, met + first, values[met])
+
+
+def unpacked(rows: pa.Table, fits: int, n_terms: int, k: int) -> list[tuple | None]:
+    """(sums by term, log topic shares, documents) of each fit; nothing for a fit that drew none."""
+    out = [[np.zeros((n_terms, k)), np.zeros(k), 0] for _ in range(fits)]
+    for fit, first, n, terms, values in zip(*[rows[c].to_pylist() for c in ("fit", "first", "n", "terms", "vals")]):
+        values = np.frombuffer(values, np.int64).reshape(-1, k) / POINT
+        if first < 0:
+            out[fit][1], out[fit][2] = values[0], n
+        else:
+            out[fit][0][np.frombuffer(terms, np.int32)] = values
+    return [tuple(x) if x[2] else None for x in out]
+
+
+def dominant(batches, models: list[tuple], bow: int, out: str):
+    """For each model (seed, weights, prior, start) the batches with its seed first and each document's largest topic (ties:
+    lowest; no terms: 0) in place of column ``bow``."""
     for b in batches:
-        best = np.zeros(b.num_rows, np.int32)
         terms, counts, ends = flat(b.column(bow))
-        seen, terms = met_terms(terms, len(weight))
-        for rows, gamma, *_ in infer(terms, counts, ends, weight[seen], alpha, start):
-            best[rows] = gamma.argmax(1)
         names = b.schema.names
         kept = [i for i in range(len(names)) if i != bow]
-        yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], pa.array(best)], names=[*[names[i] for i in kept], out])
+        for seed, weight, alpha, start in models:
+            best = np.zeros(b.num_rows, np.int32)
+            seen, place = met_terms(terms, len(weight))
+            for rows, gamma, *_ in infer(place, counts, ends, weight[seen], alpha, start):
+                best[rows] = gamma.argmax(1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, seed, np.int64)), *[b.column(i) for i in kept], pa.array(best)],
+                                             names=["seed", *[names[i] for i in kept], out])

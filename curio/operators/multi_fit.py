@@ -1,4 +1,4 @@
-"""Text classifiers of many runs at once: one table of terms, one grouped fit, one join to score all.
+"""Text classifiers of many runs at once: one table of terms, one grouped fit, one join or one scan to score all.
 
 Every run has its own small training set (the rows its rounds have drawn) and its own weights. Terms are
 hashed tokens. Weights are stored in fixed point and terms are counted in integers, so a score is a sum of
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from .classify import NEG_WEIGHT, NUM_FEATURES, POS_WEIGHT, REG_PARAM
 INTERCEPT = -1
 POINT = 1 << 30
 STEPS = 300
+#: Partitions, for each core, that the runs are dealt out to for their fits.
+FITS_PER_CORE = 3
 
 
 def terms(text: str | Column, num_features: int = NUM_FEATURES) -> Column:
@@ -79,6 +82,8 @@ def fit_runs(train: DataFrame, run_col: str = "run_id", id_col: str = "id", text
     kind = train.schema[run_col].dataType.simpleString()
     rows = train.select(run_col, F.col(id_col).alias("_id"), terms(text_col).alias("_terms"), F.col(label_col).cast("double").alias("_y"),
                         F.col(weighted_col).alias("_weighted"))
+    # few rows and much work: a number of partitions that is not joined again for the rows' size
+    rows = rows.repartition(FITS_PER_CORE * train.sparkSession.sparkContext.defaultParallelism, run_col)
 
     def fit(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(["_id", "_y"], kind="stable")
@@ -108,3 +113,32 @@ def predict_runs(rows: DataFrame, counts: DataFrame, models: DataFrame, on: list
     by = [run_col, *[k for k in keys if k != run_col]]
     scored = rows.join(bias, run_col).join(hit, by, "left")
     return scored.withColumn(out_col, (F.col("_b") + F.coalesce("_s", F.lit(0)) > 0).cast("int")).drop("_b", "_s")
+
+
+def weights(t: pa.Table, run_col: str = "run_id") -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
+    """(intercept, feature numbers ascending, weights) of each run, on the driver: bounded by the terms of the training sets."""
+    names, run = np.unique(t[run_col].to_numpy(), return_inverse=True)
+    feature, weight = t["feature"].to_numpy(), t["weight"].to_numpy()
+    order = np.lexsort((feature, run))
+    feature, weight, ends = feature[order], weight[order], np.searchsorted(run[order], np.arange(len(names) + 1))
+    # the intercept's number is below all others
+    return {str(r): (int(weight[a]), feature[a + 1:b].astype(np.int32), weight[a + 1:b]) for r, a, b in zip(names, ends, ends[1:])}
+
+
+def flat_terms(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms of all rows, n + 1 places of the rows in them)."""
+    return lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int64)
+
+
+def judge(model: tuple[int, np.ndarray, np.ndarray], terms: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The class (0 or 1) that a run's weights give the ``rows``: the sums of integers that ``predict_runs`` takes by a join."""
+    bias, features, weight = model
+    size = (ends[1:] - ends[:-1])[rows]
+    last = np.cumsum(size)
+    total = np.zeros(len(rows), np.int64)
+    if len(features) and len(rows) and last[-1]:
+        term = terms[np.repeat(ends[rows] - (last - size), size) + np.arange(last[-1])]
+        at = np.minimum(np.searchsorted(features, term), len(features) - 1)
+        run = np.r_[0, np.cumsum(np.where(features[at] == term, weight[at], 0))]
+        total = run[last] - run[last - size]
+    return (bias + total > 0).astype(np.int64)

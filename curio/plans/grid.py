@@ -11,13 +11,13 @@ import hashlib
 import itertools
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 from ..sources import bind as B
-from .flagship import loop_tables, pool_fingerprint
-from .lockstep import run_lockstep
+from .lockstep import local, pool_fingerprints, run_lockstep
 
 METHODS = ("lda", "kmeans", "fine")
 
@@ -31,9 +31,11 @@ def grid_configs(methods=METHODS, balance=(True, False), repeats: int = 3, filte
     return out
 
 
-def grid_root(spark: SparkSession, sf_dir: str, configs: list[dict], rounds: int, k: int) -> str:
+def grid_root(spark: SparkSession, sf_dir: str, configs: list[dict], rounds: int, k: int,
+              fingerprints: dict[str, tuple[str, int]] | None = None) -> str:
     """The grid's folder, named by the content of its pools and by its configurations."""
-    pools = [pool_fingerprint(loop_tables(spark, sf_dir, ds)[0]) for ds in sorted({c["dataset"] for c in configs})]
+    found = fingerprints or pool_fingerprints(spark, sf_dir, configs)
+    pools = [found[ds] for ds in sorted(found)]
     labels = [B.table(spark, sf_dir, t).agg(F.sum(F.xxhash64(*c).cast("decimal(38,0)"))).first()[0]
               for t, c in (("labels", ["doc_id", "toxic"]), ("part", ["p_partkey", "p_name"]))]
     key = json.dumps([pools, [str(x) for x in labels], configs, rounds, k], sort_keys=True)
@@ -41,15 +43,15 @@ def grid_root(spark: SparkSession, sf_dir: str, configs: list[dict], rounds: int
 
 
 def run_grid(spark: SparkSession, sf_dir: str, configs: list[dict], rounds: int = 10, k: int = 10,
-             root: str | None = None) -> DataFrame:
+             root: str | None = None, fingerprints: dict[str, tuple[str, int]] | None = None) -> DataFrame:
     """All configurations in lockstep: a round is one chain of plans for every run. Each repeat has its own
     seed, for the topic fit as for the draws; runs of one dataset, method and seed share the assignment.
     A grid of the same content and configurations that was cut short goes on, a finished one is read."""
-    root = root or grid_root(spark, sf_dir, configs, rounds, k)
-    results = run_lockstep(spark, sf_dir, configs, root, rounds, k)
-    cols = ("dataset", "method", "balance", "filter_label", "repeat")
-    names = spark.createDataFrame([(c["run_id"], *(c[x] for x in cols)) for c in configs],
-                                  "run_id string, dataset string, method string, balance boolean, filter_label boolean, repeat int")
+    fingerprints = fingerprints or pool_fingerprints(spark, sf_dir, configs)
+    root = root or grid_root(spark, sf_dir, configs, rounds, k, fingerprints)
+    results = run_lockstep(spark, sf_dir, configs, root, rounds, k, fingerprints=fingerprints)
+    cols = ("run_id", "dataset", "method", "balance", "filter_label", "repeat")
+    names = local(spark, pa.table({x: pa.array([c[x] for c in configs], pa.int32() if x == "repeat" else None) for x in cols}))
     return results.join(names, "run_id")
 
 

@@ -13,7 +13,7 @@ from . import sqlbits as S
 from .flagship import active_learning as _al
 from .flagship import labeled_splits
 from .grid import grid_configs, grid_root, run_grid, summarize
-from .lockstep import LABELED_LOG, Steps, grid_tables
+from .lockstep import LABELED_LOG, Steps, grid_tables, pool_fingerprints
 from .registry import query
 
 
@@ -134,11 +134,12 @@ def grid_facts(spark, d):
     """The finished grid told from its logs, per configuration: runs, rounds, clustered pool rows, ids drawn twice by a
     run, drawn rows without a label, stored labels not kept, draws above the sample size, rows outside the round's arm."""
     configs = grid_configs(**GRID)
-    root = grid_root(spark, d, configs, 10, 10)
-    res = run_grid(spark, d, configs, root=root)
+    pools = pool_fingerprints(spark, d, configs)
+    root = grid_root(spark, d, configs, 10, 10, pools)
+    res = run_grid(spark, d, configs, root=root, fingerprints=pools)
     steps, names = Steps(spark, f"{root}/rounds"), ["dataset", "method", "balance", "filter_label"]
     runs = res.select("run_id", *names, F.concat_ws("-", "dataset", "method", "repeat").alias("pool")).distinct()
-    tables = grid_tables(spark, d, configs, root, 10)
+    tables = grid_tables(spark, d, configs, root, 10, pools)
     labeled = steps.read("labeled", 1, 10, LABELED_LOG).join(runs, "run_id")
     stored = tables["labels"].groupBy("dataset", "id").agg(F.max("label").alias("least"), F.min("label").alias("most"))
     home = tables["assignment"].select("pool", "id", "label_cluster")
