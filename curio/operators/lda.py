@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Largest mean change of a document's topic weights by a plain update at which it is settled.
 TOLERANCE = 1e-3
@@ -53,14 +54,24 @@ class TopicModel:
         """Topic weights that every document starts from."""
         return np.random.default_rng([self.seed, 1]).gamma(GAMMA_SHAPE, 1 / GAMMA_SHAPE, len(self.alpha))
 
-    def term_weights(self, terms: np.ndarray | slice = slice(None)) -> np.ndarray:
-        """What a topic is expected to give a term: exp of the expected logarithm, (terms, k)."""
-        return np.exp(digamma(self.weight[terms]) - digamma(self.weight.sum(0)))
+    def term_weights(self, terms: np.ndarray | None = None) -> np.ndarray:
+        """What a topic is expected to give a term: exp of the expected logarithm, (terms, k). Taken by ranges of terms: the
+        driver holds no other table of that size."""
+        out = self.weight.copy() if terms is None else self.weight[terms]
+        total = digamma(self.weight.sum(0))
+        for i in range(0, len(out), RANGE):
+            out[i:i + RANGE] = np.exp(digamma(out[i:i + RANGE]) - total)
+        return out
 
     def learn(self, turn: int, sums: np.ndarray, scale: float, logs: np.ndarray, n: float) -> None:
-        """Blend in one pass (from 1): expected counts by term and topic, and the sum of the documents' log topic shares."""
+        """Blend in one pass (from 1): expected counts by term and topic (the table is used up), and the sum of the documents'
+        log topic shares."""
         rate = (OFFSET + turn) ** -DECAY
-        self.weight = (1 - rate) * self.weight + rate * (sums * scale + 1 / len(self.alpha))
+        sums *= scale
+        sums += 1 / len(self.alpha)
+        sums *= rate
+        self.weight *= 1 - rate
+        self.weight += sums
         if n:
             slope = n * (logs / n - log_mean(self.alpha))
             c, q = n * trigamma(self.alpha.sum()), -n * trigamma(self.alpha)
@@ -289,16 +300,17 @@ def united(batches, k: int):
         yield packed(fit, first, n, met + first, values[met])
 
 
-def unpacked(rows: pa.Table, fits: int, n_terms: int, k: int) -> list[tuple | None]:
-    """(sums by term, log topic shares, documents) of each fit; nothing for a fit that drew none."""
-    out = [[np.zeros((n_terms, k)), np.zeros(k), 0] for _ in range(fits)]
-    for fit, first, n, terms, values in zip(*[rows[c].to_pylist() for c in ("fit", "first", "n", "terms", "vals")]):
-        values = np.frombuffer(values, np.int64).reshape(-1, k) / POINT
-        if first < 0:
-            out[fit][1], out[fit][2] = values[0], n
+def unpacked(rows: pa.Table, fit: int, n_terms: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sums by term, log topic shares, documents) of a fit."""
+    sums, logs, n = np.zeros((n_terms, k)), np.zeros(k), 0
+    own = rows.filter(pc.equal(rows["fit"], fit))
+    for first, drawn, terms, values in zip(*[own[c] for c in ("first", "n", "terms", "vals")]):
+        values = np.frombuffer(values.as_buffer(), np.int64).reshape(-1, k) / POINT
+        if first.as_py() < 0:
+            logs, n = values[0], drawn.as_py()
         else:
-            out[fit][0][np.frombuffer(terms, np.int32)] = values
-    return [tuple(x) if x[2] else None for x in out]
+            sums[np.frombuffer(terms.as_buffer(), np.int32)] = values
+    return sums, logs, n
 
 
 def dominant(batches, models: list[tuple], bow: int, out: str):

@@ -17,8 +17,10 @@ equals the same run alone.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
+import threading
 from collections import Counter
 from concurrent.futures import Future, ThreadPoolExecutor
 
@@ -120,7 +122,7 @@ def grid_tables(spark: SparkSession, sf_dir: str, configs: list[dict], root: str
     found = fingerprints or pool_fingerprints(spark, sf_dir, configs)
     version, rows = {ds: f[0] for ds, f in found.items()}, {ds: f[1] for ds, f in found.items()}
     inputs = {ds: loop_tables(spark, sf_dir, ds) for ds in datasets}
-    union = DataFrame.unionByName
+    union, term_tables = DataFrame.unionByName, threading.Lock()
 
     def text_table(ds: str) -> DataFrame:
         pre = P.feature_text(P.preprocess_pool(inputs[ds][0]), ds)
@@ -132,9 +134,11 @@ def grid_tables(spark: SparkSession, sf_dir: str, configs: list[dict], root: str
     def assign(ds: str, method: str) -> DataFrame:
         seeds = [s for m, s in pools_of(configs, ds) if m == method]
         emb = vectors[ds].result() if method != "lda" else None
-        return io.cluster_cache(spark, root, ds, method, k,
-                                lambda: TP.cluster(texts[ds].result(), method, k, "topic_text", seed=seeds, embeddings=emb).hint("rebalance", "label_cluster"),
-                                version=f"{version[ds]}-seed{'-'.join(map(str, seeds))}", rows=rows[ds] * len(seeds))
+        # topic models are fitted one dataset after the other: the driver holds tables of all terms for them
+        with term_tables if method == "lda" else contextlib.nullcontext():
+            return io.cluster_cache(spark, root, ds, method, k,
+                                    lambda: TP.cluster(texts[ds].result(), method, k, "topic_text", seed=seeds, embeddings=emb).hint("rebalance", "label_cluster"),
+                                    version=f"{version[ds]}-seed{'-'.join(map(str, seeds))}", rows=rows[ds] * len(seeds))
 
     def label_table() -> DataFrame:
         parts = [inputs[ds][2].select(F.lit(ds).alias("dataset"), "id", "label") for ds in datasets]
