@@ -264,12 +264,17 @@ def all_terms(batches, n_terms: int):
     yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()])], names=["seen"])
 
 
+def places(vocabulary: np.ndarray, n_terms: int) -> np.ndarray:
+    """The place of each term among those of the vocabulary."""
+    out = np.zeros(n_terms, np.int32)
+    out[vocabulary] = np.arange(len(vocabulary), dtype=np.int32)
+    return out
+
+
 def packed_sums(batches, models: list[tuple], vocabulary: np.ndarray, n_terms: int):
     """A task's part of a pass of several models, from batches of (times drawn under each, term counts). The models' weights
     are those of the ``vocabulary``, the terms that occur at all."""
-    parts = [Sums(*m) for m in models]
-    place = np.zeros(n_terms, np.int32)
-    place[vocabulary] = np.arange(len(vocabulary), dtype=np.int32)
+    parts, place = [Sums(*m) for m in models], places(vocabulary, n_terms)
     for b in batches:
         terms, counts, ends = flat(b.column(len(parts)))
         terms = place[terms]
@@ -313,17 +318,19 @@ def unpacked(rows: pa.Table, fit: int, n_terms: int, k: int) -> tuple[np.ndarray
     return sums, logs, n
 
 
-def dominant(batches, models: list[tuple], bow: int, out: str):
+def dominant(batches, models: list[tuple], vocabulary: np.ndarray | None, n_terms: int, bow: int, out: str):
     """For each model (seed, weights, prior, start) the batches with its seed first and each document's largest topic (ties:
-    lowest; no terms: 0) in place of column ``bow``."""
+    lowest; no terms: 0) in place of column ``bow``. The weights are those of the ``vocabulary``, if there is one."""
+    place = None if vocabulary is None else places(vocabulary, n_terms)
     for b in batches:
         terms, counts, ends = flat(b.column(bow))
+        terms = terms if place is None else place[terms]
         names = b.schema.names
         kept = [i for i in range(len(names)) if i != bow]
         for seed, weight, alpha, start in models:
             best = np.zeros(b.num_rows, np.int32)
-            seen, place = met_terms(terms, len(weight))
-            for rows, gamma, *_ in infer(place, counts, ends, weight[seen], alpha, start):
+            seen, at = met_terms(terms, len(weight))
+            for rows, gamma, *_ in infer(at, counts, ends, weight[seen], alpha, start):
                 best[rows] = gamma.argmax(1)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, seed, np.int64)), *[b.column(i) for i in kept], pa.array(best)],
                                              names=["seed", *[names[i] for i in kept], out])

@@ -123,6 +123,8 @@ def grid_tables(spark: SparkSession, sf_dir: str, configs: list[dict], root: str
     version, rows = {ds: f[0] for ds, f in found.items()}, {ds: f[1] for ds, f in found.items()}
     inputs = {ds: loop_tables(spark, sf_dir, ds) for ds in datasets}
     union, term_tables = DataFrame.unionByName, threading.Lock()
+    passing = spark.newSession()   # what a pass has shuffled is of no use after it
+    passing.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
     def text_table(ds: str) -> DataFrame:
         pre = P.feature_text(P.preprocess_pool(inputs[ds][0]), ds)
@@ -133,11 +135,13 @@ def grid_tables(spark: SparkSession, sf_dir: str, configs: list[dict], root: str
 
     def assign(ds: str, method: str) -> DataFrame:
         seeds = [s for m, s in pools_of(configs, ds) if m == method]
-        emb = vectors[ds].result() if method != "lda" else None
+        emb, docs = vectors[ds].result() if method != "lda" else None, texts[ds].result()
+        if method == "lda":
+            docs = passing.read.schema(docs.schema).parquet(*docs.inputFiles())
         # topic models are fitted one dataset after the other: the driver holds tables of all terms for them
         with term_tables if method == "lda" else contextlib.nullcontext():
             return io.cluster_cache(spark, root, ds, method, k,
-                                    lambda: TP.cluster(texts[ds].result(), method, k, "topic_text", seed=seeds, embeddings=emb).hint("rebalance", "label_cluster"),
+                                    lambda: TP.cluster(docs, method, k, "topic_text", seed=seeds, embeddings=emb).hint("rebalance", "label_cluster"),
                                     version=f"{version[ds]}-seed{'-'.join(map(str, seeds))}", rows=rows[ds] * len(seeds))
 
     def label_table() -> DataFrame:
